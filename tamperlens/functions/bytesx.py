@@ -20,7 +20,7 @@ def latin1(content: Column) -> Column:
 
 def utf8(content: Column) -> Column:
     """Text of bytes that should be UTF-8; malformed bytes become U+FFFD."""
-    return F.decode(content, "UTF-8")
+    return F.make_valid_utf8(content.cast("string"))
 
 
 def literal_text(raw: bytes) -> Column:

@@ -54,3 +54,13 @@ def join_per_key(df: DataFrame, per_key: DataFrame, keys: list[str], salt: Colum
     spread = df.withColumn("_salt", F.pmod(salt.cast("bigint"), F.lit(salts)).cast("int"))
     copies = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
+def small_table(spark, rows: list[tuple], schema: str) -> DataFrame:
+    """A fixed table made of literals, so that no Python worker has to run for it."""
+    fields = spark.createDataFrame([], schema).schema.fields
+    cells = [
+        F.struct(*[F.lit(value).cast(field.dataType).alias(field.name) for value, field in zip(row, fields)])
+        for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*cells)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamperlens.functions.groups import small_table
 from tamperlens.rules import markers as M
 
 # Metric defaults.
@@ -86,13 +87,13 @@ def score(rows: DataFrame, vector: str = "cvss_vector") -> DataFrame:
 
 
 def presets(spark: SparkSession) -> DataFrame:
-    return score(spark.createDataFrame(M.CVSS_PRESETS, "preset string, cvss_vector string"))
+    return score(small_table(spark, M.CVSS_PRESETS, "preset string, cvss_vector string"))
 
 
 # Lowest and highest score of each level.
 def level_ranges(spark: SparkSession) -> DataFrame:
     rows = [("Critical", 9.0, 10.0), ("High", 7.0, 8.9), ("Medium", 4.0, 6.9), ("Low", 0.1, 3.9), ("Info", 0.0, 0.0)]
-    return spark.createDataFrame(rows, "level string, low double, high double")
+    return small_table(spark, rows, "level string, low double, high double")
 
 
 def distribution(scored: DataFrame) -> DataFrame:

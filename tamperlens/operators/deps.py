@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamperlens.functions.findings import as_findings
+from tamperlens.functions.groups import small_table
 from tamperlens.functions.ordered import carry_forward
 from tamperlens.functions.paths import base_name
 from tamperlens.functions.text import any_contains, first_match
@@ -51,8 +52,8 @@ def requirements(texts: DataFrame) -> DataFrame:
     return _deps(_lines(texts).select("path", "source", dep.alias("dep")))
 
 
-def pyproject(texts: DataFrame) -> DataFrame:
-    """Quoted requirements inside dependency lists.
+def quoted_requirements(texts: DataFrame) -> DataFrame:
+    """(path, source, quoted): the quoted strings of dependency lists.
 
     Whether a line lies in a list is the latest opening or closing line above
     it, so files of any length are handled line by line.
@@ -60,12 +61,15 @@ def pyproject(texts: DataFrame) -> DataFrame:
     opens = F.contains(F.lower("line"), F.lit("dependencies")) & F.contains("line", F.lit("="))
     closes = F.startswith(F.trim("line"), F.lit("]"))
     turn = F.when(opens, True).when(closes, False)
-    lines = carry_forward(
-        _lines(texts), ["path", "source"], "line_no", turn, "inside", include_current=True
-    )
+    lines = carry_forward(_lines(texts), ["path", "source"], "line_no", turn, "inside")
     quoted = F.regexp_extract("line", r'"([^"]+)"', 1)
-    kept = lines.where(F.col("inside") & ~opens & (quoted != ""))
-    return _deps(kept.select("path", "source", _requirement(quoted).alias("dep")))
+    return lines.where(F.col("inside") & ~opens & (quoted != "")).select("path", "source", quoted.alias("quoted"))
+
+
+def pyproject(texts: DataFrame) -> DataFrame:
+    """(path, source, name, raw, dep_type) of the dependency lists of project files."""
+    rows = quoted_requirements(texts)
+    return _deps(rows.select("path", "source", _requirement(F.col("quoted")).alias("dep")))
 
 
 def setup_py(texts: DataFrame) -> DataFrame:
@@ -140,7 +144,7 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def popular_packages(spark: SparkSession, names: list[str] = M.POPULAR_PACKAGES) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in names], "popular string")
+    return small_table(spark, [(n,) for n in names], "popular string")
 
 
 def _candidates(names: DataFrame, popular: DataFrame) -> DataFrame:

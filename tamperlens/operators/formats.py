@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from tamperlens.functions import bytesx as B
 from tamperlens.functions.paths import base_name, extension, full_suffix, parent_dir
 from tamperlens.functions.text import first_match
+from tamperlens.functions.groups import small_table
 from tamperlens.rules import markers as M
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
     """The format table: one row per extension."""
-    return spark.createDataFrame(
-        [(i, *row) for i, row in enumerate(M.CATALOGUE)],
+    return small_table(
+        spark, [(i, *row) for i, row in enumerate(M.CATALOGUE)],
         "position int, extension string, name string, framework string, "
         "is_archive boolean, can_execute_code boolean",
     )

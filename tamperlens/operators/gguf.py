@@ -193,6 +193,12 @@ def _size(dims: Column) -> Column:
     return F.aggregate(dims, _number(1), multiply)
 
 
+def _before_marker(dims: Column) -> Column:
+    """The dimensions in front of the first marker value; all of them when there is none."""
+    at = F.array_position(F.transform(dims, _is_marker), True)
+    return F.when(at > 0, F.slice(dims, F.lit(1), (at - 1).cast("int"))).otherwise(dims)
+
+
 def tensor_sizes(tensors: DataFrame) -> DataFrame:
     return tensors.withColumn("size", _size(F.coalesce("dims", F.array().cast("array<decimal(20,0)>"))))
 
@@ -208,13 +214,14 @@ def tensor_checks(tensors: DataFrame) -> DataFrame:
             dims > M.GGUF_MAX_DIMS, "GGUF - Tensor Dimension Overflow (CVE-2024-21802)", "Critical", 9.0,
             "CWE-122", dims, "CVE-2024-21802",
         ),
-        _violation(bad_dim.isNotNull(), "GGUF - Tensor Dimension Exploit Value", "Critical", 9.0, "CWE-190", bad_dim),
+        # Dimensions are judged in order: an overflow in front of a marker comes first.
         _violation(
-            F.col("size") > _number(M.SIGNED_64_MAX), "GGUF - Integer Overflow in Tensor Size", "Critical", 9.0,
-            "CWE-190", F.lit("size overflow"), "CVE-2025-53630",
+            _size(_before_marker(F.coalesce("dims", F.array().cast("array<decimal(20,0)>")))) > _number(M.SIGNED_64_MAX),
+            "GGUF - Integer Overflow in Tensor Size", "Critical", 9.0, "CWE-190", F.lit("size overflow"), "CVE-2025-53630",
         ),
+        _violation(bad_dim.isNotNull(), "GGUF - Tensor Dimension Exploit Value", "Critical", 9.0, "CWE-190", bad_dim),
     ]
-    return _first_violations(tensor_sizes(tensors), checks, "tensor_index")
+    return _first_violations(tensors, checks, "tensor_index")
 
 
 def cumulative(sizes: DataFrame) -> DataFrame:
@@ -257,17 +264,23 @@ def template_injection(texts: DataFrame) -> DataFrame:
         # The offset is the length of what precedes the first match.
         before = F.length(F.regexp_extract(text, f"^([\\s\\S]*?){pattern}", 1))
         tests.append((found, F.struct(F.lit(number).alias("rule"), F.lit(literal).alias("pattern"), before.alias("offset"))))
-    rows = (
-        _view(texts)
-        .select("path", "source", "text", first_match(tests).alias("hit"))
-        .where(F.col("hit").isNotNull())
+    view = _view(texts)
+    start = F.col("start") if "start" in view.columns else F.lit(0).cast("bigint")
+    rows = view.select("path", "source", "text", start.alias("_start"), first_match(tests).alias("hit")).where(
+        F.col("hit").isNotNull()
     )
+    if "start" in view.columns:  # several chunks of one file: the first rule, then the first place
+        rows = first_per_key(
+            rows.withColumns({"_rule": F.col("hit.rule"), "_at": F.col("_start") + F.col("hit.offset")}),
+            ["path", "source"], ["_rule", "_at"],
+        )
+    place = F.col("_start") + F.col("hit.offset")
     context = F.substr("text", F.greatest(F.col("hit.offset") - 49, F.lit(1)), F.lit(200))
     return as_findings(
         rows, SCANNER, "GGUF - Jinja2 SSTI Remote Code Execution", "Critical", 10.0,
         F.concat(F.lit("Template holds "), F.col("hit.pattern")),
-        location={"offset": F.col("hit.offset")},
-        evidence={"pattern": F.col("hit.pattern"), "offset": F.col("hit.offset"), "context": context},
+        location={"offset": place},
+        evidence={"pattern": F.col("hit.pattern"), "offset": place, "context": context},
         advice="Do not render this template.",
         references=["https://nvd.nist.gov/vuln/detail/CVE-2024-25123"],
         cwe="CWE-94", cve="CVE-2024-25123",

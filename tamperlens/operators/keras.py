@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamperlens.functions.bytesx import utf8
 from tamperlens.functions.findings import as_findings
 from tamperlens.functions.text import first_match
 from tamperlens.operators import jsonwalk
@@ -31,7 +32,7 @@ def config_texts(member_contents: DataFrame) -> DataFrame:
     return member_contents.where(F.endswith("entry", F.lit("config.json")) & F.col("content").isNotNull()).select(
         "path",
         F.concat_ws(":", "path", "entry").alias("source"),
-        F.decode("content", "UTF-8").alias("text"),
+        utf8(F.col("content")).alias("text"),
     )
 
 
@@ -74,7 +75,7 @@ def lambda_bodies(nodes: DataFrame) -> DataFrame:
     get = lambda key: F.try_variant_get("node", f"$.config.function{key}", "string")
     body = F.try_variant_get("node", "$.config.function", "variant")
     whole = F.when(jsonwalk.is_string(body), get(""))
-    decoded = F.decode(F.try_to_binary(whole, F.lit("base64")), "UTF-8")
+    decoded = utf8(F.try_to_binary(whole, F.lit("base64")))
     named = F.concat(F.lit("Function: "), F.coalesce(get(".module"), F.lit("")), F.lit("."), get(".function_name"))
     text = F.coalesce(
         decoded,

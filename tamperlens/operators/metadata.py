@@ -58,7 +58,7 @@ def embedded_script(fields: DataFrame) -> DataFrame:
     rows = fields.withColumn("script_type", first_match(_script_tests(F.col("value")))).where(
         F.col("script_type").isNotNull()
     )
-    preview = F.decode(F.substring(F.encode("value", "UTF-8"), 1, 200), "UTF-8")
+    preview = B.utf8(F.substring(F.encode("value", "UTF-8"), 1, 200))
     return as_findings(
         rows, SCANNER, "Metadata - Embedded Script", "High", 7.0,
         F.concat(F.lit("Field "), F.col("name"), F.lit(" holds "), F.col("script_type")),

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tamperlens.functions import bytesx as B
 from tamperlens.functions.findings import as_findings
-from tamperlens.functions.ordered import carry_forward, previous_value, running_sum
+from tamperlens.functions.groups import capped_lists
+from tamperlens.functions.ordered import annotate, boxed, carry_forward, running_sum
 from tamperlens.rules import markers as M
 
 # Opcodes by what they do to the stack and the memo.
@@ -34,21 +35,20 @@ def _values_pushed(opcodes: DataFrame) -> DataFrame:
     """
     pushed = F.when(F.col("opcode").isin(STRING_PUSH), F.col("arg"))
     is_put = F.col("opcode").isin([*MEMO_PUT, "MEMOIZE"])
-    numbered = running_sum(
+    with_previous = annotate(
         opcodes.select("source", "seq", "opcode", "arg"),
         ["source"],
         "seq",
-        is_put.cast("bigint"),
-        "puts",
+        sums={"puts": is_put.cast("bigint")},
+        carries={"before": (boxed(pushed), False)},
     )
-    with_previous = previous_value(numbered, ["source"], "seq", pushed, "stored")
     slot = (
         F.when(F.col("opcode") == "MEMOIZE", F.col("puts") - 1)
         .when(F.col("opcode").isin([*MEMO_PUT, *MEMO_GET]), F.expr("try_cast(arg AS bigint)"))
     )
     slots = (
         with_previous.withColumn("slot", slot)
-        .withColumn("stored", F.when(is_put, F.struct(F.col("stored").alias("text"))))
+        .withColumn("stored", F.when(is_put, F.struct(F.col("before")["v"].alias("text"))))
         .where(F.col("slot").isNotNull())
         .select("source", "seq", "slot", "opcode", "stored")
     )
@@ -204,13 +204,18 @@ def obfuscation(counts: DataFrame, marks: DataFrame) -> DataFrame:
     return joined.select("source", reasons.alias("reasons")).where(F.size("reasons") > 0)
 
 
-def _names(imports: DataFrame, column: str) -> DataFrame:
-    # The distinct names come from fixed lists or are counted away before the shuffle;
-    # 100 are listed, the count is of all.
-    from tamperlens.functions.groups import capped_lists
+def _judged(found: DataFrame) -> DataFrame:
+    """(source, dangerous, n_dangerous, suspicious, n_suspicious): named imports per source.
 
-    return capped_lists(
-        imports, ["source"], _pair(F.col("module"), F.col("name")), 100, column, f"n_{column}", f"d_{column}"
+    Both kinds are counted in one pass; 100 names are listed, the counts are of all.
+    """
+    kind = F.when(is_dangerous(), "dangerous").when(F.col("module").isin(M.SUSPICIOUS_MODULES), "suspicious")
+    rows = found.withColumn("kind", kind).where(F.col("kind").isNotNull())
+    lists = capped_lists(rows, ["source", "kind"], _pair(F.col("module"), F.col("name")), 100, "names", "n", "d")
+    pick = lambda name, column: F.max(F.when(F.col("kind") == name, F.col(column)))
+    return lists.groupBy("source").agg(
+        pick("dangerous", "names").alias("dangerous"), pick("dangerous", "n").alias("n_dangerous"),
+        pick("suspicious", "names").alias("suspicious"), pick("suspicious", "n").alias("n_suspicious"),
     )
 
 
@@ -220,8 +225,7 @@ def verdicts(opcodes: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     marks = opcode_text_marks(opcodes) if marks is None else marks
     per_source = (
         dangerous_opcodes(opcodes)
-        .join(_names(dangerous_imports(found), "dangerous"), "source", "left")
-        .join(_names(suspicious_imports(found), "suspicious"), "source", "left")
+        .join(_judged(found), "source")
         .withColumn("path", F.col("source"))
     )
     critical = F.col("n_dangerous") > 0

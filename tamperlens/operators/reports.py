@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tamperlens import __version__
 from tamperlens.functions.text import first_match
 from tamperlens.operators.algebra import summary
+from tamperlens.functions.groups import small_table
 from tamperlens.rules import markers as M
 
 TOOL = "tamperlens"
@@ -72,7 +73,7 @@ def sarif_results(findings: DataFrame, prefix: str = "RULE") -> DataFrame:
 
 def sarif_rules(spark, prefix: str = "RULE") -> DataFrame:
     rows = [(f"{prefix}{number:03d}", name, level, score) for number, name, level, score in M.SARIF_RULES]
-    return spark.createDataFrame(rows, "rule_id string, name string, default_level string, security_severity string")
+    return small_table(spark, rows, "rule_id string, name string, default_level string, security_severity string")
 
 
 def _parts(rows: DataFrame, size: int) -> DataFrame:

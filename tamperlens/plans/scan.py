@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamperlens.functions.bytesx import utf8
 from tamperlens.operators import (
     algebra,
     archives,
@@ -60,7 +61,7 @@ def scan(
         ]
         inside = members.member_contents(files.where(suffix == ".keras"))
         json_texts = inside.where(F.endswith("entry", F.lit(".json")) & F.col("content").isNotNull()).select(
-            "path", F.concat_ws(":", "path", "entry").alias("source"), F.decode("content", "UTF-8").alias("text")
+            "path", F.concat_ws(":", "path", "entry").alias("source"), utf8(F.col("content")).alias("text")
         )
         found.append(metadata.field_findings(metadata.json_fields(json_texts)))
     if "lambda_layer" in takes:
@@ -120,7 +121,7 @@ def dependencies(contents: DataFrame) -> DataFrame:
     readable = contents.where(F.col("content").isNotNull())
     chosen = deps.dependency_files(readable.select("path", "entry").distinct())
     texts = readable.join(chosen, ["path", "entry"]).select(
-        "path", F.col("path").alias("source"), "parser", F.decode("content", "UTF-8").alias("text")
+        "path", F.col("path").alias("source"), "parser", utf8(F.col("content")).alias("text")
     )
     return deps.requirements(texts.where(F.col("parser") == "requirements")).unionByName(
         deps.wheel(texts.where(F.col("parser") == "wheel"))

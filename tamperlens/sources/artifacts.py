@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamperlens.functions.bytesx import utf8
 from tamperlens.functions.paths import full_suffix
 from tamperlens.rules import markers as M
 
@@ -26,7 +27,7 @@ def artifacts(spark: SparkSession, path: str, extensions: list[str] | None = Non
 
 def texts_of(artifacts: DataFrame) -> DataFrame:
     """(path, source, text) with content read as UTF-8."""
-    return artifacts.select("path", F.col("path").alias("source"), F.decode("content", "UTF-8").alias("text"))
+    return artifacts.select("path", F.col("path").alias("source"), utf8(F.col("content")).alias("text"))
 
 
 def byte_texts_of(artifacts: DataFrame) -> DataFrame:

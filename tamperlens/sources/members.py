@@ -25,7 +25,7 @@ _CENTRAL, _LOCAL = r"PK\x01\x02", r"PK\x03\x04"
 
 def _name(piece: Column, start: int, length: Column) -> Column:
     raw = F.substr(piece, F.lit(start + 1), length)
-    return F.decode(F.encode(raw, "ISO-8859-1"), "UTF-8")
+    return B.utf8(F.encode(raw, "ISO-8859-1"))
 
 
 def _records(artifacts: DataFrame, signature: str, fixed: int) -> DataFrame:
@@ -86,7 +86,7 @@ def zip_members(artifacts: DataFrame) -> DataFrame:
 
 def _field(block: Column, start: int, width: int) -> Column:
     raw = F.substring_index(F.substring(block, start + 1, width), "\x00", 1)
-    return F.decode(F.encode(raw, "ISO-8859-1"), "UTF-8")
+    return B.utf8(F.encode(raw, "ISO-8859-1"))
 
 
 def tar_members(artifacts: DataFrame) -> DataFrame:

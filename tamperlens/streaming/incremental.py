@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,11 @@ def checkpoint_dir(spark: SparkSession, name: str, fallback: str | None = None)
     return f"{shared.rstrip('/')}/{name}"
 
 
+def stamp() -> str:
+    """A name for the folders of one run."""
+    return str(time.time_ns())
+
+
 def artifact_stream(spark: SparkSession, path: str, pattern: str = "*", files_per_batch: int = 1000) -> DataFrame:
     """New files under a path, as they appear."""
     return (
