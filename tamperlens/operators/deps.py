@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tamperlens.functions.findings import as_findings
 from tamperlens.functions.groups import small_table
@@ -135,7 +136,7 @@ def _normal(name: Column) -> Column:
     return F.translate(F.lower(name), "-_", "")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Matching-blocks similarity of two names; no built-in computes it."""
     return pd.Series(
