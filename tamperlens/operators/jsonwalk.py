@@ -1,8 +1,8 @@
 """Walking JSON documents of bounded depth as variants.
 
-Each text is parsed once. A level is one generator: a container is kept and, in
-the same step, replaced by its members; everything else passes through. The
-walk is one narrow stage, without joins or shuffles.
+Each text is parsed once. A level is one generator: every open node is replaced
+by its members, a node without members is a leaf, and rows that are done pass
+through. The walk is one narrow stage, without joins or shuffles.
 """
 
 from __future__ import annotations
@@ -13,81 +13,89 @@ from pyspark.sql import functions as F
 DEPTH = 12
 
 
-def is_container(node: Column) -> Column:
-    kind = F.schema_of_variant(node)
-    return F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
-
-
-def is_object(node: Column) -> Column:
-    return F.startswith(F.schema_of_variant(node), F.lit("OBJECT"))
-
-
 def is_string(node: Column) -> Column:
     return F.schema_of_variant(node) == "STRING"
 
 
-def _open(nodes: DataFrame, follow: list[str] | None) -> DataFrame:
-    """Keep every row; add the members of the containers reached last."""
-    opened = nodes.withColumn(
-        "_open",
-        F.explode(
-            F.when(F.col("fresh") & is_container(F.col("node")), F.array(F.lit(False), F.lit(True)))
-            .otherwise(F.array(F.lit(False)))
-        ),
-    )
-    table = nodes.sparkSession.tvf
-    members = opened.lateralJoin(
-        table.variant_explode_outer(F.when(F.col("_open"), F.col("node")).outer())
-    )
-    key, pos = F.col("key"), F.col("pos")
-    is_member = F.col("_open") & pos.isNotNull()
-    step = F.when(key.isNull(), F.concat(F.lit("["), pos.cast("string"), F.lit("]"))).otherwise(
-        F.concat(F.lit("/"), key)
-    )
-    walked = members.select(
+def _roots(texts: DataFrame) -> DataFrame:
+    parsed = texts.select("path", "source", F.try_parse_json("text").alias("node"))
+    return parsed.where(F.col("node").isNotNull()).select(
         "path",
         "source",
-        F.when(is_member, F.concat("json_path", step)).otherwise(F.col("json_path")).alias("json_path"),
-        F.when(is_member, key).otherwise(F.col("name")).alias("name"),
-        F.when(is_member, key.isNull()).otherwise(F.col("in_list")).alias("in_list"),
-        F.when(is_member, F.col("value")).otherwise(F.col("node")).alias("node"),
-        F.when(F.col("_open"), is_member).otherwise(F.lit(False)).alias("fresh"),
-        (F.col("_open") & pos.isNull()).alias("_empty"),
-    ).where(~F.col("_empty"))
-    if follow is not None:
-        wanted = ~F.col("fresh") | F.col("in_list") | F.col("name").isin(follow)
-        walked = walked.where(wanted)
-    return walked.drop("_empty")
-
-
-def walk(texts: DataFrame, depth: int = DEPTH, follow: list[str] | None = None) -> DataFrame:
-    """Every node of the JSON in ``text``, the root included.
-
-    (path, source, json_path, name, in_list, node VARIANT, fresh); ``fresh`` marks
-    nodes at the depth bound, whose members were not opened. ``follow`` limits the
-    object keys that are entered. Texts that are not JSON give no rows.
+        F.lit("").alias("json_path"),
+        F.lit(None).cast("string").alias("name"),
+        F.lit(False).alias("in_list"),
+        "node",
+        F.lit(True).alias("open"),
+    )
+
+
+def _members(nodes: DataFrame) -> DataFrame:
+    """Add (pos, key, value) of the members of open nodes; other rows keep NULLs."""
+    table = nodes.sparkSession.tvf
+    return nodes.lateralJoin(table.variant_explode_outer(F.when(F.col("open"), F.col("node")).outer()))
+
+
+def _step() -> Column:
+    index = F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))
+    return F.concat("json_path", F.coalesce(F.concat(F.lit("/"), F.col("key")), index))
+
+
+def leaves(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Scalars of the JSON in ``text``: (path, source, json_path, name, in_list, value, open).
+
+    ``value`` is set for strings only. Rows still ``open`` lie below the depth
+    bound. Texts that are not JSON give no rows.
     """
-    nodes = (
-        texts.select("path", "source", F.try_parse_json("text").alias("node"))
-        .where(F.col("node").isNotNull())
-        .select(
+    nodes = _roots(texts).withColumn("value_text", F.lit(None).cast("string"))
+    for _ in range(depth + 1):
+        member = F.col("pos").isNotNull()
+        # Only leaves reach the type test, so it never walks a whole subtree.
+        leaf = F.col("open") & ~member
+        text = F.when(leaf & is_string(F.col("node")), F.try_variant_get("node", "$", "string"))
+        nodes = _members(nodes).select(
             "path",
             "source",
-            F.lit("").alias("json_path"),
-            F.lit(None).cast("string").alias("name"),
-            F.lit(False).alias("in_list"),
-            "node",
-            F.lit(True).alias("fresh"),
+            F.when(member, _step()).otherwise(F.col("json_path")).alias("json_path"),
+            F.when(member, F.col("key")).otherwise(F.col("name")).alias("name"),
+            F.when(member, F.col("key").isNull()).otherwise(F.col("in_list")).alias("in_list"),
+            F.col("value").alias("node"),
+            member.alias("open"),
+            F.when(leaf, text).otherwise(F.col("value_text")).alias("value_text"),
+        )
+    return nodes.select("path", "source", "json_path", "name", "in_list", F.col("value_text").alias("value"), "open")
+
+
+def objects(texts: DataFrame, follow: list[str], depth: int = DEPTH) -> DataFrame:
+    """Objects of the JSON in ``text``: (path, source, json_path, node, open).
+
+    Only members under the ``follow`` keys are entered; lists are entered whole.
+    Rows still ``open`` lie below the depth bound.
+    """
+    nodes = _roots(texts)
+    for _ in range(depth + 1):
+        member = F.col("pos").isNotNull()
+        entered = member & (F.col("key").isNull() | F.col("key").isin(follow))
+        # An object is emitted beside its first member; one without members is a leaf.
+        first = member & (F.col("pos") == 0) & F.col("key").isNotNull()
+        empty = F.col("open") & ~member & (F.schema_of_variant("node") == "OBJECT<>")
+        done = ~F.col("open")
+        child = F.struct(_step().alias("json_path"), F.col("value").alias("node"), F.lit(True).alias("open"))
+        itself = F.struct(F.col("json_path"), F.col("node"), F.lit(False).alias("open"))
+        out = (
+            F.when(first & entered, F.array(itself, child))
+            .when(first | empty | done, F.array(itself))
+            .when(entered, F.array(child))
+        )
+        nodes = _members(nodes).select("path", "source", F.explode(out).alias("n")).select(
+            "path", "source", F.col("n.json_path").alias("json_path"), F.col("n.node").alias("node"), F.col("n.open").alias("open")
         )
-    )
-    for _ in range(depth):
-        nodes = _open(nodes, follow)
     return nodes
 
 
 def depth_issues(nodes: DataFrame, scanner: str) -> DataFrame:
-    """Issues for containers at the depth bound that were not opened."""
-    return nodes.where(F.col("fresh") & is_container(F.col("node"))).select(
+    """Issues for nodes below the depth bound."""
+    return nodes.where("open").select(
         "path",
         F.lit(scanner).alias("scanner"),
         F.lit("warning").alias("kind"),

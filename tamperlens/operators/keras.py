@@ -42,7 +42,7 @@ def _text_of(node: Column, path: str) -> Column:
 
 def config_nodes(texts: DataFrame, depth: int = jsonwalk.DEPTH) -> DataFrame:
     """Objects of a configuration: (path, source, config_path, class_name, module, node)."""
-    nodes = jsonwalk.walk(texts, depth, M.KERAS_CHILD_KEYS).where(jsonwalk.is_object(F.col("node")))
+    nodes = jsonwalk.objects(texts, M.KERAS_CHILD_KEYS, depth).where(~F.col("open"))
     return nodes.select(
         "path",
         "source",

@@ -23,11 +23,9 @@ def json_fields(texts: DataFrame, depth: int = jsonwalk.DEPTH) -> DataFrame:
 
     Strings that stand directly in lists are not fields.
     """
-    nodes = jsonwalk.walk(texts, depth)
-    kept = nodes.where(F.col("name").isNotNull() & ~F.col("in_list") & jsonwalk.is_string(F.col("node")))
-    return kept.select(
-        "path", "source", "json_path", "name", F.try_variant_get("node", "$", "string").alias("value")
-    )
+    rows = jsonwalk.leaves(texts, depth)
+    kept = rows.where(~F.col("open") & F.col("name").isNotNull() & F.col("value").isNotNull())
+    return kept.select("path", "source", "json_path", "name", "value")
 
 
 def field_length(fields: DataFrame, limit: int = MAX_FIELD) -> DataFrame:

@@ -22,6 +22,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tamperlens")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
     )

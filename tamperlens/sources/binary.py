@@ -20,20 +20,7 @@ from pyspark.sql import functions as F
 from tamperlens.rules import markers as M
 from tamperlens.schema import GGUF_KV, GGUF_TENSORS, OPCODES, WEIGHT_SLICES
 from tamperlens.sources.chunks import _open
-
-_ROWS = 10_000
-
-
-def _frames(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
-    """Rows in frames of bounded length."""
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) == _ROWS:
-            yield pd.DataFrame(held, columns=columns)
-            held = []
-    yield pd.DataFrame(held, columns=columns)
-
+from tamperlens.sources.frames import frames
 
 def pickle_streams(artifacts: DataFrame, member_contents: DataFrame) -> DataFrame:
     """(source, content): pickle files, and the pickles inside PyTorch zips.
@@ -59,12 +46,16 @@ def _ops_of(source: str, content: bytes) -> Iterator[tuple]:
 def opcodes(streams: DataFrame) -> DataFrame:
     """Opcode rows of every stream."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for source, content in zip(batch["source"], batch["content"]):
-                yield from _frames(_ops_of(source, content), OPCODES.names)
+    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (
+            row
+            for batch in batches
+            for source, content in zip(batch["source"], batch["content"])
+            for row in _ops_of(source, content)
+        )
+        return frames(rows, OPCODES.names)
 
-    return streams.select("source", "content").mapInPandas(rows, OPCODES)
+    return streams.select("source", "content").mapInPandas(job, OPCODES)
 
 
 class _Cursor:
@@ -158,18 +149,31 @@ def _directory(content: bytes) -> tuple[_Cursor, int, int] | None:
     return _Cursor(content, 24), n_tensors, n_kv
 
 
+def _per_file(entries, columns: list[str]):
+    """A job that runs ``entries(path, content)`` over files and frames the rows."""
+
+    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (
+            row
+            for batch in batches
+            for path, content in zip(batch["path"], batch["content"])
+            for row in entries(path, content)
+        )
+        return frames(rows, columns)
+
+    return job
+
+
 def gguf_kv(artifacts: DataFrame) -> DataFrame:
     """Metadata directory rows of GGUF content; every entry, not the first thousand."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                found = _directory(content)
-                if found:
-                    cursor, _, n_kv = found
-                    yield from _frames(_kv_of(path, cursor, n_kv), GGUF_KV.names)
+    def entries(path: str, content: bytes) -> Iterator[tuple]:
+        found = _directory(content)
+        if found:
+            cursor, _, n_kv = found
+            yield from _kv_of(path, cursor, n_kv)
 
-    kv = artifacts.select("path", "content").mapInPandas(rows, GGUF_KV)
+    kv = artifacts.select("path", "content").mapInPandas(_per_file(entries, GGUF_KV.names), GGUF_KV)
     sensitive = F.exists(
         F.array(*[F.lit(k) for k in M.GGUF_SENSITIVE_KEYS]), lambda k: F.contains("key", k)
     )
@@ -179,17 +183,15 @@ def gguf_kv(artifacts: DataFrame) -> DataFrame:
 def gguf_tensors(artifacts: DataFrame) -> DataFrame:
     """Tensor directory rows of GGUF content."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                found = _directory(content)
-                if found:
-                    cursor, n_tensors, n_kv = found
-                    for _ in _kv_of(path, cursor, n_kv):
-                        pass
-                    yield from _frames(_tensors_of(path, cursor, n_tensors), GGUF_TENSORS.names)
+    def entries(path: str, content: bytes) -> Iterator[tuple]:
+        found = _directory(content)
+        if found:
+            cursor, n_tensors, n_kv = found
+            for _ in _kv_of(path, cursor, n_kv):
+                pass
+            yield from _tensors_of(path, cursor, n_tensors)
 
-    return artifacts.select("path", "content").mapInPandas(rows, GGUF_TENSORS)
+    return artifacts.select("path", "content").mapInPandas(_per_file(entries, GGUF_TENSORS.names), GGUF_TENSORS)
 
 
 _TENSOR = "struct<dtype:string,shape:array<bigint>,data_offsets:array<bigint>>"
@@ -249,29 +251,32 @@ def _exploded(slices: DataFrame) -> DataFrame:
 def read_slices(slices: DataFrame) -> DataFrame:
     """Weights of the slices, read by range; the slices of one tensor go to many tasks."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def values(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for r in batch.itertuples():
                 with _open(r.path) as handle:
                     handle.seek(int(r.begin))
-                    values = _decode(handle.read(int(r.size)), r.dtype)
-                yield pd.DataFrame({"path": [r.path], "layer": [r.layer], "first_pos": [r.first_pos], "values": [values]})
+                    yield r.path, r.layer, r.first_pos, _decode(handle.read(int(r.size)), r.dtype)
+
+    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return frames(values(batches), WEIGHT_SLICES.names, heavy=3)
 
     spread = slices.repartition("path", "layer", "first_pos")
-    return _exploded(spread.mapInPandas(rows, WEIGHT_SLICES))
+    return _exploded(spread.mapInPandas(job, WEIGHT_SLICES))
 
 
 def decode_slices(slices: DataFrame) -> DataFrame:
     """Weights of slices whose bytes are a column ``data``."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def values(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for r in batch.itertuples():
-                yield pd.DataFrame(
-                    {"path": [r.path], "layer": [r.layer], "first_pos": [r.first_pos], "values": [_decode(r.data, r.dtype)]}
-                )
+                yield r.path, r.layer, r.first_pos, _decode(r.data, r.dtype)
+
+    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return frames(values(batches), WEIGHT_SLICES.names, heavy=3)
 
-    return _exploded(slices.select("path", "layer", "dtype", "first_pos", "data").mapInPandas(rows, WEIGHT_SLICES))
+    return _exploded(slices.select("path", "layer", "dtype", "first_pos", "data").mapInPandas(job, WEIGHT_SLICES))
 
 
 def pytorch_weights(member_contents: DataFrame, window: int = 1024 * 1024, values: int = 1 << 16) -> DataFrame:

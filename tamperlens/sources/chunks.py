@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamperlens.schema import CHUNKS
+from tamperlens.sources.frames import frames
 
 # Bytes of a chunk, and of the overlap behind it.
 CHUNK, HALO = 8 * 1024 * 1024, 1024
@@ -40,18 +41,19 @@ def head_and_tail(plan: DataFrame) -> DataFrame:
 def read(plan: DataFrame, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:
     """Chunks with their bytes; the chunks of one file are spread over the tasks."""
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             for path, number, offset in zip(batch["path"], batch["chunk_no"], batch["offset"]):
                 with _open(path) as handle:
                     handle.seek(int(offset))
                     data = handle.read(chunk + halo)
-                yield pd.DataFrame(
-                    {"path": [path], "chunk_no": [number], "offset": [offset], "bytes": [data[:chunk]], "halo": [data[chunk:]]}
-                )
+                yield path, number, offset, data[:chunk], data[chunk:]
+
+    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return frames(pieces(batches), CHUNKS.names, heavy=3)
 
     spread = plan.select("path", "chunk_no", "offset").repartition("path", "chunk_no")
-    return spread.mapInPandas(rows, CHUNKS)
+    return spread.mapInPandas(job, CHUNKS)
 
 
 def chunks(spark: SparkSession, path: str, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tamperlens.functions import bytesx as B
 from tamperlens.operators.formats import archive_kind, magic_format
-from tamperlens.schema import MEMBER_CONTENTS
+from tamperlens.schema import MEMBER_CONTENTS, MEMBERS
+from tamperlens.sources.frames import frames
 
 # Record signatures, and offsets of fields behind the signature.
 _CENTRAL, _LOCAL = r"PK\x01\x02", r"PK\x03\x04"
@@ -125,19 +126,24 @@ def _checksum(block: Column) -> Column:
     return F.aggregate(F.split(blanked, ""), F.lit(0), lambda total, c: total + F.coalesce(F.ascii(c), F.lit(0)))
 
 
-def _compressed_tar_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["path", "ordinal", "entry", "origin", "unix_mode", "is_link", "link_target"]
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            rows = []
-            try:
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-                    for i, m in enumerate(tar):
-                        link = m.issym() or m.islnk()
-                        rows.append((path, i, m.name, "tar", m.mode, link, m.linkname if link else None))
-            except (tarfile.TarError, OSError, EOFError):
-                pass
-            yield pd.DataFrame(rows, columns=columns)
+def _tar_entries(path: str, content: bytes) -> Iterator[tuple]:
+    try:
+        with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
+            for i, m in enumerate(tar):
+                link = m.issym() or m.islnk()
+                yield path, i, m.name, "tar", m.mode, link, m.linkname if link else None
+    except (tarfile.TarError, OSError, EOFError):
+        return
+
+
+def _packed_tar_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = (
+        row
+        for batch in batches
+        for path, content in zip(batch["path"], batch["content"])
+        for row in _tar_entries(path, content)
+    )
+    return frames(rows, MEMBERS.names)
 
 
 def members(artifacts: DataFrame) -> DataFrame:
@@ -147,35 +153,37 @@ def members(artifacts: DataFrame) -> DataFrame:
     zips = zip_members(sorted_out.where(F.col("kind") == "zip"))
     tars = tar_members(sorted_out.where(F.col("kind") == "tar"))
     packed = sorted_out.where(F.col("kind").isin("tar:gz", "tar:bz2")).select("path", "content")
-    schema = "path string, ordinal int, entry string, origin string, unix_mode int, is_link boolean, link_target string"
-    return zips.unionByName(tars).unionByName(packed.mapInPandas(_compressed_tar_rows, schema))
+    return zips.unionByName(tars).unionByName(packed.mapInPandas(_packed_tar_rows, MEMBERS))
 
 
-def _content_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["path", "entry", "content", "error"]
+def _zip_contents(path: str, content: bytes) -> Iterator[tuple]:
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        for info in archive.infolist():
+            if not info.is_dir():
+                try:
+                    yield path, info.filename, archive.read(info), None
+                except Exception as problem:  # one bad member must not fail the job
+                    yield path, info.filename, None, str(problem)
+
+
+def _tar_contents(path: str, content: bytes) -> Iterator[tuple]:
+    with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
+        for m in archive:
+            if m.isfile():
+                yield path, m.name, archive.extractfile(m).read(), None
+
+
+def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
     for batch in batches:
         for path, content, kind in zip(batch["path"], batch["content"], batch["kind"]):
             try:
-                if kind == "zip":
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        for info in archive.infolist():
-                            if not info.is_dir():
-                                yield pd.DataFrame([_zip_row(archive, path, info)], columns=columns)
-                else:
-                    with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
-                        for m in archive:
-                            if m.isfile():
-                                data = archive.extractfile(m).read()
-                                yield pd.DataFrame([(path, m.name, data, None)], columns=columns)
+                yield from (_zip_contents if kind == "zip" else _tar_contents)(path, content)
             except (zipfile.BadZipFile, tarfile.TarError, OSError, EOFError, ValueError) as problem:
-                yield pd.DataFrame([(path, None, None, str(problem))], columns=columns)
+                yield path, None, None, str(problem)
 
 
-def _zip_row(archive: zipfile.ZipFile, path: str, info: zipfile.ZipInfo) -> tuple:
-    try:
-        return path, info.filename, archive.read(info), None
-    except Exception as problem:  # one bad member must not fail the job
-        return path, info.filename, None, str(problem)
+def _content_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return frames(_unpacked(batches), MEMBER_CONTENTS.names, heavy=2)
 
 
 def member_contents(artifacts: DataFrame) -> DataFrame:
