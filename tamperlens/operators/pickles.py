@@ -219,9 +219,12 @@ def _judged(found: DataFrame) -> DataFrame:
     )
 
 
-def verdicts(opcodes: DataFrame, marks: DataFrame | None = None) -> DataFrame:
-    """One import verdict per source, and an obfuscation finding beside it."""
-    found = imports(opcodes)
+def verdicts(opcodes: DataFrame, marks: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """One import verdict per source, and an obfuscation finding beside it.
+
+    ``marks`` and ``found`` stand in for the flags and imports of the opcode table.
+    """
+    found = imports(opcodes) if found is None else found
     marks = opcode_text_marks(opcodes) if marks is None else marks
     per_source = (
         dangerous_opcodes(opcodes)

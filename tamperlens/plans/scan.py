@@ -48,7 +48,7 @@ def scan(
         files = takes["pickle"]
         streams = binary.pickle_streams(files, members.member_contents(files))
         marks = pickles.text_marks(streams.withColumnRenamed("source", "path"))
-        found.append(pickles.verdicts(binary.opcodes(streams), marks))
+        found.append(pickles.verdicts(binary.opcodes(streams), marks, binary.pickle_imports(streams)))
     if "graph_injection" in takes:
         found.append(graphs.graph_findings(byte_texts_of(takes["graph_injection"])))
     if "metadata" in takes:

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamperlens.operators.pickles import MEMO_GET, MEMO_PUT, STRING_PUSH
 from tamperlens.rules import markers as M
 from tamperlens.schema import GGUF_KV, GGUF_TENSORS, OPCODES, WEIGHT_SLICES
 from tamperlens.sources.chunks import _open
@@ -58,6 +59,54 @@ def opcodes(streams: DataFrame) -> DataFrame:
     return streams.select("source", "content").mapInPandas(job, OPCODES)
 
 
+def _imports_of(source: str, content: bytes) -> Iterator[tuple]:
+    """Imports named by a pickle, read in one pass without building anything.
+
+    Only strings are followed: the last two pushed, and those put in the memo.
+    """
+    memo: dict[str, str | None] = {}
+    stored = 0
+    last: list[str] = []
+    pushed: str | None = None
+    for _, seq, _, op, arg in _ops_of(source, content):
+        now = None
+        if op == "GLOBAL" and arg and " " in arg:
+            yield (source, seq, *arg.split(" ", 1))
+        elif op == "STACK_GLOBAL" and len(last) == 2:
+            yield source, seq, last[0], last[1]
+        elif op in STRING_PUSH:
+            now = arg
+        elif op == "MEMOIZE" or op in MEMO_PUT:
+            memo[str(stored) if op == "MEMOIZE" else arg] = pushed
+            stored += 1
+        elif op in MEMO_GET:
+            text = memo.get(arg)
+            last = last if text is None else [*last, text][-2:]
+        if now is not None:
+            last = [*last, now][-2:]
+        pushed = now
+
+
+def pickle_imports(streams: DataFrame) -> DataFrame:
+    """(source, seq, module, name) straight from the streams, without a shuffle.
+
+    The same rows as ``imports(opcodes(streams))``, for when no opcode table is
+    needed.
+    """
+
+    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (
+            row
+            for batch in batches
+            for source, content in zip(batch["source"], batch["content"])
+            for row in _imports_of(source, content)
+        )
+        return frames(rows, ["source", "seq", "module", "name"])
+
+    schema = "source string, seq bigint, module string, name string"
+    return streams.select("source", "content").mapInPandas(job, schema)
+
+
 class _Cursor:
     def __init__(self, data: bytes, at: int):
         self.data, self.at = data, at
