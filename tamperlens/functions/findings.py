@@ -22,7 +22,7 @@ def _column(value) -> Column:
 
 
 def text_map(items: dict) -> Column:
-    """MAP<STRING,STRING>; arrays, maps and structs are written as JSON."""
+    """MAP<STRING,STRING> of scalar columns; pass arrays and structs as JSON text."""
     if not items:
         return F.create_map().cast("map<string,string>")
     cells = []
@@ -43,53 +43,89 @@ def severity(level, score) -> Column:
     )
 
 
-def as_findings(
-    df: DataFrame,
+DEFAULT_ADVICE = "Review this artifact before loading it."
+
+
+def hit(
     scanner: str,
     kind,
     level,
     score,
     description,
     *,
-    path="path",
-    source="source",
     location: dict | None = None,
     evidence: dict | None = None,
-    advice="Review this artifact before loading it.",
+    advice=DEFAULT_ADVICE,
     references=None,
     cwe=None,
     cve=None,
-) -> DataFrame:
-    """Project detector rows onto the fixed 13 columns.
+) -> Column:
+    """One possible finding of a row, as a struct.
 
-    The id is a digest of what was found and where, so it does not depend on
-    the order in which tasks run.
+    A detector that looks at one row at a time is a column: an array of hits.
+    Several of them can then share one pass over the content.
     """
-    path_col, source_col = F.col(path), F.col(source)
-    location_map = text_map({"file": source_col, **(location or {})})
-    vulnerability_type = _column(kind)
     if not isinstance(references, Column):
         references = F.array(*[F.lit(r) for r in references or []])
-    identity = F.concat_ws(
-        "|", source_col, F.lit(scanner), vulnerability_type, F.to_json(location_map), _column(description)
-    )
-    return df.select(
-        path_col.alias("path"),
-        source_col.alias("source"),
+    return F.struct(
         F.lit(scanner).alias("scanner"),
-        vulnerability_type.alias("vulnerability_type"),
-        severity(level, score).alias("severity"),
+        _column(kind).alias("kind"),
+        _column(level).alias("level"),
+        _column(score).cast("double").alias("score"),
         _column(description).alias("description"),
-        location_map.alias("location"),
+        text_map(location or {}).alias("location"),
         text_map(evidence or {}).alias("evidence"),
-        _column(advice).alias("recommendation"),
+        _column(advice).alias("advice"),
         references.cast("array<string>").alias("references"),
-        _column(cwe).cast("string").alias("cwe_id"),
-        _column(cve).cast("string").alias("cve_id"),
+        _column(cwe).cast("string").alias("cwe"),
+        _column(cve).cast("string").alias("cve"),
+    )
+
+
+def hits_if(*tests: tuple[Column, Column]) -> Column:
+    """Array of the hits whose test is true."""
+    return F.array_compact(F.array(*[F.when(test, found) for test, found in tests]))
+
+
+def _projected(df: DataFrame) -> DataFrame:
+    """Rows of (path, source, h) in the fixed 13 columns.
+
+    The id is a digest of what was found and where, so it does not depend on
+    the order in which tasks run.
+    """
+    h = lambda name: F.col(f"h.{name}")
+    location = F.map_concat(F.create_map(F.lit("file"), F.col("source")), h("location"))
+    identity = F.concat_ws(
+        "|", "source", h("scanner"), h("kind"), F.to_json(location), h("description")
+    )
+    return df.select(
+        "path",
+        "source",
+        h("scanner").alias("scanner"),
+        h("kind").alias("vulnerability_type"),
+        severity(h("level"), h("score")).alias("severity"),
+        h("description").alias("description"),
+        location.alias("location"),
+        h("evidence").alias("evidence"),
+        h("advice").alias("recommendation"),
+        h("references").alias("references"),
+        h("cwe").alias("cwe_id"),
+        h("cve").alias("cve_id"),
         F.concat(F.lit("VULN-"), F.substring(F.sha2(identity, 256), 1, 16)).alias("finding_id"),
     )
 
 
+def findings_of(df: DataFrame, hits: Column) -> DataFrame:
+    """Findings of the hits of every row; ``df`` has ``path`` and ``source``."""
+    return _projected(df.select("path", "source", F.explode(hits).alias("h")))
+
+
+def as_findings(df: DataFrame, scanner: str, kind, level, score, description, **more) -> DataFrame:
+    """One finding per row."""
+    found = hit(scanner, kind, level, score, description, **more)
+    return _projected(df.select("path", "source", found.alias("h")))
+
+
 def empty_findings(spark) -> DataFrame:
     return spark.createDataFrame([], FINDINGS)
 

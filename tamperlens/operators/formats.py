@@ -128,40 +128,38 @@ def directory_formats(paths: DataFrame) -> DataFrame:
     )
 
 
-def routes(
-    resolved: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None
-) -> DataFrame:
-    """(path, scanner) for every detector that should see an artifact.
+def scanners_for(
+    path: Column, suffix: Column, format_name: Column,
+    include: list[str] | None = None, exclude: list[str] | None = None,
+) -> Column:
+    """Array of the detectors that take an artifact.
 
     The routing table is fixed, so it is a literal map from extension or format
     to detectors: a narrow lookup instead of a join on an OR condition.
     """
-    wanted = [
-        name
-        for name in M.ROUTES
-        if (not include or name in include) and not (exclude and name in exclude)
-    ]
     takers: dict[str, list[str]] = {}
-    for name in wanted:
-        for token in M.ROUTES[name]:
-            takers.setdefault(token, []).append(name)
+    for name, tokens in M.ROUTES.items():
+        if (not include or name in include) and not (exclude and name in exclude):
+            for token in tokens:
+                takers.setdefault(token, []).append(name)
     if not takers:
-        return resolved.select("path", F.lit(None).cast("string").alias("scanner")).where(F.lit(False))
+        return F.array().cast("array<string>")
     cells = []
     for token, names in takers.items():
         cells += [F.lit(token), F.array(*[F.lit(n) for n in names])]
     table = F.create_map(*cells)
-    keys = F.array(
-        extension(F.col("path")),
-        F.col("extension"),
-        F.col("format"),
-        F.concat(F.lit("."), F.col("format")),
-        F.lit("*"),
-    )
-    found = F.array_distinct(
+    keys = F.array(extension(path), suffix, format_name, F.concat(F.lit("."), format_name), F.lit("*"))
+    return F.array_distinct(
         F.flatten(F.array_compact(F.transform(keys, lambda key: F.try_element_at(table, key))))
     )
-    return resolved.select("path", F.explode(found).alias("scanner"))
+
+
+def routes(
+    resolved: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None
+) -> DataFrame:
+    """(path, scanner) for every detector that should see an artifact."""
+    takers = scanners_for(F.col("path"), F.col("extension"), F.col("format"), include, exclude)
+    return resolved.select("path", F.explode(takers).alias("scanner"))
 
 
 def scanners_executed(routed: DataFrame) -> DataFrame:
@@ -174,7 +172,7 @@ def is_binary(content: Column) -> Column:
     sample = B.latin1(F.substring(content, 1, 8192))
     # Bytes that count as text are 7-10, 12, 13, 27 and 32-255 without 127.
     odd = F.regexp_count(sample, F.lit(r"[\x00-\x06\x0b\x0e-\x1a\x1c-\x1f\x7f]"))
-    return F.contains(sample, F.lit("\x00")) | (odd / F.length(sample) > 0.30) & (F.length(sample) > 0)
+    return F.contains(sample, F.lit("\x00")) | (odd > F.length(sample) * 0.30)
 
 
 def pattern_offsets(artifacts: DataFrame, patterns: list[bytes]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamperlens.functions import bytesx as B
-from tamperlens.functions.findings import as_findings
+from tamperlens.functions.findings import as_findings, findings_of, hit, hits_if
 from tamperlens.functions.groups import first_per_key
 from tamperlens.functions.ordered import running_sum
 from tamperlens.functions.text import first_match
@@ -58,71 +58,77 @@ def _hex(value: Column) -> Column:
     return F.concat(F.lit("0x"), F.conv(value.cast("string"), 10, 16))
 
 
-def version_check(headers: DataFrame) -> DataFrame:
+def header_columns(version: Column, n_tensors: Column, n_kv: Column, length: Column) -> Column:
+    """Hits of the three header fields."""
+    return F.concat(
+        version_columns(version), tensor_count_columns(n_tensors, length), kv_count_columns(n_kv)
+    )
+
+
+def version_columns(version: Column) -> Column:
     low, high = M.GGUF_VERSIONS
-    marker = _is_marker(F.col("version"))
-    invalid = ~F.col("version").between(low, high)
-    rows = headers.where(marker | invalid)
-    far = F.col("version") > 1000
-    return as_findings(
-        rows, SCANNER,
+    marker = _is_marker(version)
+    far = version > 1000
+    found = hit(
+        SCANNER,
         F.when(marker, "GGUF - Version Corruption Exploit").otherwise("GGUF - Invalid Version"),
         F.when(marker, "Critical").when(far, "High").otherwise("Medium"),
         F.when(marker, 9.0).when(far, 7.5).otherwise(5.0),
-        F.concat(F.lit("Version field is "), F.col("version").cast("string")),
-        location={"offset": F.lit(4)},
-        evidence={"value": F.col("version"), "hex": _hex(F.col("version"))}, cwe="CWE-20",
+        F.concat(F.lit("Version field is "), version.cast("string")),
+        location={"offset": 4}, evidence={"value": version, "hex": _hex(version)}, cwe="CWE-20",
     )
+    return hits_if((marker | ~version.between(low, high), found))
 
 
-def tensor_count_check(headers: DataFrame) -> DataFrame:
+def tensor_count_columns(n_tensors: Column, length: Column) -> Column:
     """Marker, product overflow, too many, or too many for the file; the last two may both hold."""
-    n = F.col("n_tensors").cast(_BIG)
+    n = n_tensors.cast(_BIG)
     marker = _is_marker(n)
     overflow = ~marker & (n > _number(M.SIGNED_64_MAX // M.GGUF_TENSOR_STRUCT))
     plain = ~marker & ~overflow
 
     def case(test, kind, level, score, cwe, cve=None):
-        return F.when(
-            test,
-            F.struct(
-                F.lit(kind).alias("kind"), F.lit(level).alias("level"), F.lit(score).alias("score"),
-                F.lit(cwe).alias("cwe"), F.lit(cve).cast("string").alias("cve"),
-            ),
+        return test, hit(
+            SCANNER, kind, level, score,
+            F.concat(F.lit("Header claims "), n.cast("string"), F.lit(" tensors")),
+            location={"offset": 8}, evidence={"value": n, "file_size": length}, cwe=cwe, cve=cve,
         )
 
     cve = "CVE-2024-21836"
-    cases = F.array(
+    return hits_if(
         case(marker, f"GGUF - Tensor Count Integer Overflow Exploit ({cve})", "Critical", 9.8, "CWE-190", cve),
         case(overflow, f"GGUF - Tensor Count Integer Overflow ({cve})", "Critical", 9.8, "CWE-190", cve),
         case(plain & (n > M.GGUF_MAX_COUNT), "GGUF - Excessive Tensor Count (DoS)", "High", 7.5, "CWE-400"),
         case(
-            plain & (n * M.GGUF_TENSOR_BYTES > F.col("length").cast(_BIG) * 100),
+            plain & (n * M.GGUF_TENSOR_BYTES > length.cast(_BIG) * 100),
             "GGUF - Tensor Count/File Size Mismatch", "High", 7.0, "CWE-20",
         ),
     )
-    rows = headers.withColumn("hit", F.explode(F.array_compact(cases)))
-    return as_findings(
-        rows, SCANNER, F.col("hit.kind"), F.col("hit.level"), F.col("hit.score"),
-        F.concat(F.lit("Header claims "), F.col("n_tensors").cast("string"), F.lit(" tensors")),
-        location={"offset": F.lit(8)},
-        evidence={"value": F.col("n_tensors"), "file_size": F.col("length")},
-        cwe=F.col("hit.cwe"), cve=F.col("hit.cve"),
-    )
 
 
-def kv_count_check(headers: DataFrame) -> DataFrame:
-    n = F.col("n_kv")
-    marker = _is_marker(n)
-    rows = headers.where(marker | (n > M.GGUF_MAX_COUNT))
-    return as_findings(
-        rows, SCANNER,
+def kv_count_columns(n_kv: Column) -> Column:
+    marker = _is_marker(n_kv)
+    found = hit(
+        SCANNER,
         F.when(marker, "GGUF - Metadata Count Integer Overflow (DoS)").otherwise("GGUF - Excessive Metadata Count (DoS)"),
         F.when(marker, "Critical").otherwise("High"),
         F.when(marker, 9.0).otherwise(7.5),
-        F.concat(F.lit("Header claims "), n.cast("string"), F.lit(" metadata entries")),
-        location={"offset": F.lit(16)}, evidence={"value": n}, cwe="CWE-400",
+        F.concat(F.lit("Header claims "), n_kv.cast("string"), F.lit(" metadata entries")),
+        location={"offset": 16}, evidence={"value": n_kv}, cwe="CWE-400",
     )
+    return hits_if((marker | (n_kv > M.GGUF_MAX_COUNT), found))
+
+
+def version_check(headers: DataFrame) -> DataFrame:
+    return findings_of(headers, version_columns(F.col("version")))
+
+
+def tensor_count_check(headers: DataFrame) -> DataFrame:
+    return findings_of(headers, tensor_count_columns(F.col("n_tensors"), F.col("length")))
+
+
+def kv_count_check(headers: DataFrame) -> DataFrame:
+    return findings_of(headers, kv_count_columns(F.col("n_kv")))
 
 
 def _violation(test: Column, kind: str, level: str, score: float, cwe: str, value: Column, cve=None) -> Column:
@@ -253,9 +259,8 @@ def _view(texts: DataFrame) -> DataFrame:
     return texts.withColumn("source", F.col("path")).withColumn("text", B.latin1(F.col("content")))
 
 
-def template_injection(texts: DataFrame) -> DataFrame:
-    """First template-injection pattern, in rule order, with its offset and context."""
-    text = F.col("text")
+def _template_match(text: Column) -> Column:
+    """STRUCT<rule, pattern, offset> of the first pattern, in rule order, that occurs."""
     tests = []
     for number, literal in enumerate(R.TEMPLATE_INJECTION):
         anchor = max(literal.split(".*"), key=len)
@@ -263,81 +268,120 @@ def template_injection(texts: DataFrame) -> DataFrame:
         found = F.contains(text, F.lit(anchor)) & F.rlike(text, F.lit(pattern))
         # The offset is the length of what precedes the first match.
         before = F.length(F.regexp_extract(text, f"^([\\s\\S]*?){pattern}", 1))
-        tests.append((found, F.struct(F.lit(number).alias("rule"), F.lit(literal).alias("pattern"), before.alias("offset"))))
-    view = _view(texts)
-    start = F.col("start") if "start" in view.columns else F.lit(0).cast("bigint")
-    rows = view.select("path", "source", "text", start.alias("_start"), first_match(tests).alias("hit")).where(
-        F.col("hit").isNotNull()
-    )
-    if "start" in view.columns:  # several chunks of one file: the first rule, then the first place
-        rows = first_per_key(
-            rows.withColumns({"_rule": F.col("hit.rule"), "_at": F.col("_start") + F.col("hit.offset")}),
-            ["path", "source"], ["_rule", "_at"],
+        tests.append(
+            (found, F.struct(F.lit(number).alias("rule"), F.lit(literal).alias("pattern"), before.alias("offset")))
         )
-    place = F.col("_start") + F.col("hit.offset")
-    context = F.substr("text", F.greatest(F.col("hit.offset") - 49, F.lit(1)), F.lit(200))
-    return as_findings(
-        rows, SCANNER, "GGUF - Jinja2 SSTI Remote Code Execution", "Critical", 10.0,
-        F.concat(F.lit("Template holds "), F.col("hit.pattern")),
+    return first_match(tests)
+
+
+def _template_hit(text: Column, match: Column, start: Column) -> Column:
+    place = start + match["offset"]
+    return hit(
+        SCANNER, "GGUF - Jinja2 SSTI Remote Code Execution", "Critical", 10.0,
+        F.concat(F.lit("Template holds "), match["pattern"]),
         location={"offset": place},
-        evidence={"pattern": F.col("hit.pattern"), "offset": place, "context": context},
+        evidence={
+            "pattern": match["pattern"], "offset": place,
+            "context": F.substr(text, F.greatest(match["offset"] - 49, F.lit(1)), F.lit(200)),
+        },
         advice="Do not render this template.",
         references=["https://nvd.nist.gov/vuln/detail/CVE-2024-25123"],
         cwe="CWE-94", cve="CVE-2024-25123",
     )
 
 
-def path_traversal(texts: DataFrame) -> DataFrame:
-    """One finding per path-traversal pattern and source."""
-    text = F.col("text")
-    tests = [F.when(F.rlike(text, F.lit(f"(?i){p}")), F.lit(p)) for p in R.PATH_TRAVERSAL]
-    rows = _view(texts).select("path", "source", F.explode(F.array_compact(F.array(*tests))).alias("pattern"))
-    return as_findings(
-        rows, SCANNER, "GGUF - Path Traversal in Metadata", "High", 8.0,
-        F.concat(F.lit("Metadata holds "), F.col("pattern")),
-        evidence={"pattern": F.col("pattern")}, cwe="CWE-22",
+def template_columns(text: Column) -> Column:
+    found = F.array_compact(F.array(_template_match(text)))
+    return F.transform(found, lambda m: _template_hit(text, m, F.lit(0).cast("bigint")))
+
+
+def template_injection(texts: DataFrame) -> DataFrame:
+    """First template-injection pattern of every source, with its offset and context.
+
+    Chunks of a file (rows with ``start``) give the first rule at its first place.
+    """
+    view = _view(texts)
+    if "start" not in view.columns:
+        return findings_of(view, template_columns(F.col("text")))
+    rows = view.withColumn("match", _template_match(F.col("text"))).where(F.col("match").isNotNull())
+    rows = first_per_key(
+        rows.withColumns({"_rule": F.col("match.rule"), "_at": F.col("start") + F.col("match.offset")}),
+        ["path", "source"], ["_rule", "_at"],
     )
+    return findings_of(rows, F.array(_template_hit(F.col("text"), F.col("match"), F.col("start"))))
 
 
-def byte_markers(artifacts: DataFrame, chunked: bool = False) -> DataFrame:
-    """First offset of each byte signature; a chunked read seeks only the long ones."""
-    text = F.col("_text")
-    tests = []
-    for raw, kind, in_chunks in M.GGUF_BYTE_MARKERS:
-        if chunked and not in_chunks:
-            continue
-        severe = "CVE" in kind or "Overflow" in kind
-        at = B.find_offset(text, raw)
-        tests.append(
-            F.when(
-                at.isNotNull(),
-                F.struct(
-                    F.lit(kind).alias("kind"), F.lit("Critical" if severe else "High").alias("level"),
-                    F.lit(9.5 if severe else 8.0).alias("score"), F.lit(raw.hex()).alias("pattern_hex"),
-                    at.cast("bigint").alias("offset"), F.lit(len(raw) < 8).alias("weak"),
+def traversal_columns(text: Column) -> Column:
+    return hits_if(
+        *[
+            (
+                F.rlike(text, F.lit(f"(?i){p}")),
+                hit(
+                    SCANNER, "GGUF - Path Traversal in Metadata", "High", 8.0, f"Metadata holds {p}",
+                    evidence={"pattern": p}, cwe="CWE-22",
                 ),
             )
-        )
-    start = F.col("offset") if "offset" in artifacts.columns else F.lit(0)
-    content = F.concat("bytes", "halo") if "halo" in artifacts.columns else F.col("content")
-    rows = artifacts.select("path", start.cast("bigint").alias("_start"), B.latin1(content).alias("_text")).select(
-        "path", "_start", F.explode(F.array_compact(F.array(*tests))).alias("hit")
+            for p in R.PATH_TRAVERSAL
+        ]
     )
-    # The lowest offset over all chunks of a file.
-    best = rows.groupBy("path", F.col("hit.kind").alias("kind")).agg(
-        F.min(F.col("_start") + F.col("hit.offset")).alias("offset"),
-        F.first("hit.level").alias("level"), F.first("hit.score").alias("score"),
-        F.first("hit.pattern_hex").alias("pattern_hex"), F.first("hit.weak").alias("weak"),
-    ).withColumn("source", F.col("path"))
-    return as_findings(
-        best, SCANNER, F.col("kind"), F.col("level"), F.col("score"),
-        F.concat(F.lit("Bytes "), F.col("pattern_hex"), F.lit(" at "), F.col("offset").cast("string")),
-        location={"offset": F.col("offset")},
-        evidence={"pattern_hex": F.col("pattern_hex"), "offset": F.col("offset"), "weak_signature": F.col("weak")},
+
+
+def path_traversal(texts: DataFrame) -> DataFrame:
+    """One finding per path-traversal pattern and source."""
+    view = _view(texts)
+    found = findings_of(view, traversal_columns(F.col("text")))
+    return found.dropDuplicates(["finding_id"]) if "start" in view.columns else found
+
+
+def _marker_hit(raw: bytes, kind: str, offset: Column) -> Column:
+    severe = "CVE" in kind or "Overflow" in kind
+    return hit(
+        SCANNER, kind, "Critical" if severe else "High", 9.5 if severe else 8.0,
+        F.concat(F.lit(f"Bytes {raw.hex()} at "), offset.cast("string")),
+        location={"offset": offset},
+        evidence={"pattern_hex": raw.hex(), "offset": offset, "weak_signature": str(len(raw) < 8).lower()},
         cwe="CWE-190",
     )
 
 
+def marker_columns(text: Column) -> Column:
+    """Hits of the byte signatures in a byte view, each at its first offset."""
+    tests = []
+    for raw, kind, _ in M.GGUF_BYTE_MARKERS:
+        at = B.find_offset(text, raw)
+        tests.append((at.isNotNull(), _marker_hit(raw, kind, at)))
+    return hits_if(*tests)
+
+
+def byte_markers(artifacts: DataFrame) -> DataFrame:
+    """Findings of byte signatures in whole contents."""
+    view = _view(artifacts.select("path", "content")).withColumn("start", F.lit(0).cast("bigint"))
+    return _lowest_markers(view, range(len(M.GGUF_BYTE_MARKERS)))
+
+
+def chunk_byte_markers(chunk_texts: DataFrame) -> DataFrame:
+    """The long byte signatures over chunks."""
+    return _lowest_markers(chunk_texts, [i for i, (*_, long) in enumerate(M.GGUF_BYTE_MARKERS) if long])
+
+
+def _lowest_markers(views: DataFrame, markers) -> DataFrame:
+    """Each signature at its lowest offset in its file; only hits are shuffled."""
+    places = [
+        F.struct(F.lit(i).alias("marker"), (F.col("start") + B.find_offset(F.col("text"), M.GGUF_BYTE_MARKERS[i][0])).alias("at"))
+        for i in markers
+    ]
+    lowest = (
+        views.select("path", "source", F.explode(F.filter(F.array(*places), lambda p: p["at"].isNotNull())).alias("p"))
+        .groupBy("path", "source", F.col("p.marker").alias("marker"))
+        .agg(F.min("p.at").alias("at"))
+    )
+    found = [
+        (F.col("marker") == i, _marker_hit(raw, kind, F.col("at")))
+        for i, (raw, kind, _) in enumerate(M.GGUF_BYTE_MARKERS)
+    ]
+    return findings_of(lowest, hits_if(*found))
+
+
 def chunk_texts(chunks: DataFrame) -> DataFrame:
     """Texts of chunks with their overlap, so that a match may cross a boundary."""
     return chunks.select(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamperlens.functions.findings import as_findings
+from tamperlens.functions.findings import findings_of, hit, hits_if
 from tamperlens.functions.paths import base_name, parent_dir
 from tamperlens.rules import markers as M
 
@@ -18,41 +18,27 @@ def graph_ops(texts: DataFrame) -> DataFrame:
     return texts.select("path", "source", F.explode(F.array_compact(F.array(*tests))).alias("op"))
 
 
-def graph_findings(texts: DataFrame) -> DataFrame:
-    """One finding per class of operator and source.
-
-    The names are fixed and few, so each text is judged in place: no shuffle.
-    """
-    checks = []
+def graph_columns(text: Column) -> Column:
+    """Hits per class of operator in one text."""
+    tests = []
     for title, level, score, cwe, ops in M.GRAPH_CLASSES:
-        present = F.array_sort(
-            F.array_compact(F.array(*[F.when(F.contains("text", F.lit(op)), F.lit(op)) for op in ops]))
+        present = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(op)), F.lit(op)) for op in sorted(ops)]))
+        found = hit(
+            "graph_injection", f"Graph Injection - {title}", level, score,
+            F.concat(F.lit("Graph uses "), F.array_join(present, ", ")),
+            evidence={"ops": F.array_join(present, ","), "count": F.size(present)},
+            advice="Run only in a sandbox, or remove these operators.", cwe=cwe,
         )
-        checks.append(
-            F.struct(
-                F.lit(f"Graph Injection - {title}").alias("kind"),
-                F.lit(level).alias("level"),
-                F.lit(score).alias("score"),
-                F.lit(cwe).alias("cwe"),
-                present.alias("ops"),
-            )
-        )
-    hits = (
-        texts.select("path", "source", F.explode(F.array(*checks)).alias("hit"))
-        .select("path", "source", "hit.*")
-        .where(F.size("ops") > 0)
-    )
-    return as_findings(
-        hits,
-        "graph_injection",
-        F.col("kind"),
-        F.col("level"),
-        F.col("score"),
-        F.concat(F.lit("Graph uses "), F.array_join("ops", ", ")),
-        evidence={"ops": F.array_join("ops", ","), "count": F.size("ops")},
-        advice="Run only in a sandbox, or remove these operators.",
-        cwe=F.col("cwe"),
-    )
+        any_op = F.lit(False)
+        for op in ops:
+            any_op = any_op | F.contains(text, F.lit(op))
+        tests.append((any_op, found))
+    return hits_if(*tests)
+
+
+def graph_findings(texts: DataFrame) -> DataFrame:
+    """One finding per class of operator and source."""
+    return findings_of(texts, graph_columns(F.col("text")))
 
 
 def saved_models(paths: DataFrame) -> DataFrame:

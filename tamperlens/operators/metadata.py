@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamperlens.functions import bytesx as B
-from tamperlens.functions.findings import as_findings
+from tamperlens.functions.findings import as_findings, findings_of, hit
 from tamperlens.functions.text import first_match
 from tamperlens.operators import jsonwalk
 from tamperlens.rules import text_rules as R
@@ -103,45 +103,56 @@ def safetensors_findings(artifacts: DataFrame) -> DataFrame:
     return oversized.unionByName(field_findings(fields))
 
 
-def long_segment(artifacts: DataFrame, window: int | None = HEADER_WINDOW, limit: int = MAX_FIELD) -> DataFrame:
-    """First long, mostly printable run between NUL bytes; ``window=None`` reads it all."""
-    content = F.col("content") if window is None else F.substring("content", 1, window)
-    segments = F.filter(
-        F.transform(
-            F.split(B.latin1(content), "\x00"),
-            lambda piece, i: F.struct(i.cast("bigint").alias("index"), piece.alias("text")),
-        ),
-        lambda s: F.length(s["text"]) > limit,
+def _window(content: Column, window: int | None) -> Column:
+    return content if window is None else F.substring(content, 1, window)
+
+
+def long_segment_columns(text: Column, limit: int = MAX_FIELD) -> Column:
+    """The first long, mostly printable run between NUL bytes of a byte view."""
+    printable = lambda t: F.length(F.regexp_replace(t, "[^ -~]", ""))
+    segments = F.transform(
+        F.split(text, "\x00"),
+        lambda piece, i: F.struct(i.cast("bigint").alias("index"), piece.alias("text")),
     )
-    printable = lambda s: F.length(F.regexp_replace(s["text"], "[^ -~]", ""))
-    textual = F.filter(segments, lambda s: printable(s) / F.length(s["text"]) > 0.7)
-    rows = artifacts.select("path", F.col("path").alias("source"), F.try_element_at(textual, F.lit(1)).alias("s")).where(
-        F.col("s").isNotNull()
+    textual = F.filter(
+        segments, lambda s: (F.length(s["text"]) > limit) & (printable(s["text"]) / F.length(s["text"]) > 0.7)
     )
-    return as_findings(
-        rows, SCANNER, "Metadata - Long Text Segment", "Low", 3.5,
-        F.concat(F.length("s.text").cast("string"), F.lit(" bytes of text without a break")),
-        location={"segment_index": F.col("s.index")},
-        evidence={"length": F.length("s.text"), "preview": F.substring("s.text", 1, 100)},
-        cwe="CWE-120",
+    return F.transform(
+        F.slice(textual, 1, 1),
+        lambda s: hit(
+            SCANNER, "Metadata - Long Text Segment", "Low", 3.5,
+            F.concat(F.length(s["text"]).cast("string"), F.lit(" bytes of text without a break")),
+            location={"segment_index": s["index"]},
+            evidence={"length": F.length(s["text"]), "preview": F.substring(s["text"], 1, 100)}, cwe="CWE-120",
+        ),
     )
 
 
-def code_pattern(artifacts: DataFrame, window: int | None = HEADER_WINDOW) -> DataFrame:
-    """First script marker in the content, with how often it occurs."""
-    content = F.col("content") if window is None else F.substring("content", 1, window)
-    text = F.col("_text")
-    counts = [
-        (F.rlike(text, F.lit(f"(?i){p}")), F.struct(F.lit(d).alias("type"), F.regexp_count(text, F.lit(f"(?i){p}")).alias("n")))
+def code_pattern_columns(text: Column) -> Column:
+    """The first script marker in a byte view, with how often it occurs."""
+    found = [
+        (
+            F.rlike(text, F.lit(f"(?i){p}")),
+            hit(
+                SCANNER, "Metadata - Embedded Code Pattern", "Medium", 5.0, f"Content holds {d}",
+                evidence={"pattern_type": d, "count": F.regexp_count(text, F.lit(f"(?i){p}"))}, cwe="CWE-94",
+            ),
+        )
         for p, d in R.SCRIPTS
     ]
-    rows = (
-        artifacts.select("path", F.col("path").alias("source"), B.latin1(content).alias("_text"))
-        .select("path", "source", first_match(counts).alias("hit"))
-        .where(F.col("hit").isNotNull())
-    )
-    return as_findings(
-        rows, SCANNER, "Metadata - Embedded Code Pattern", "Medium", 5.0,
-        F.concat(F.lit("Content holds "), F.col("hit.type")),
-        evidence={"pattern_type": F.col("hit.type"), "count": F.col("hit.n")}, cwe="CWE-94",
-    )
+    return F.array_compact(F.array(first_match(found)))
+
+
+def _viewed(artifacts: DataFrame, window: int | None) -> DataFrame:
+    view = B.latin1(_window(F.col("content"), window)).alias("_text")
+    return artifacts.select("path", F.col("path").alias("source"), view)
+
+
+def long_segment(artifacts: DataFrame, window: int | None = HEADER_WINDOW, limit: int = MAX_FIELD) -> DataFrame:
+    """Findings of long segments; ``window=None`` reads whole contents."""
+    return findings_of(_viewed(artifacts, window), long_segment_columns(F.col("_text"), limit))
+
+
+def code_pattern(artifacts: DataFrame, window: int | None = HEADER_WINDOW) -> DataFrame:
+    """Findings of script markers; ``window=None`` reads whole contents."""
+    return findings_of(_viewed(artifacts, window), code_pattern_columns(F.col("_text")))

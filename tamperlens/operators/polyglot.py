@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamperlens.functions import bytesx as B
-from tamperlens.functions.findings import as_findings
+from tamperlens.functions.findings import as_findings, findings_of, hit, hits_if
 from tamperlens.functions.paths import extension
 from tamperlens.rules import markers as M
 
@@ -42,132 +42,126 @@ def _weak(format_name: Column) -> Column:
     return format_name.isin(M.WEAK_SIGNATURES).cast("string")
 
 
-def mismatch(signed: DataFrame) -> DataFrame:
-    rows = (
-        signed.withColumn("ext", extension(F.col("path")))
-        .withColumn("claimed", claimed_format(F.col("ext")))
-        .where(
-            F.col("claimed").isNotNull()
-            & (F.size("formats") > 0)
-            & ~F.array_contains("formats", F.col("claimed"))
-        )
-    )
-    return as_findings(
-        rows,
-        _SCANNER,
-        "Polyglot - Format Mismatch",
-        "Medium",
-        6.0,
-        F.concat(F.lit("Suffix says "), F.col("claimed"), F.lit(", content says "), F.array_join("formats", ",")),
+def mismatch_columns(path: Column, content: Column, formats: Column) -> Column:
+    ext = extension(path)
+    claimed = claimed_format(ext)
+    test = claimed.isNotNull() & (F.size(formats) > 0) & ~F.array_contains(formats, claimed)
+    listed = F.array_join(formats, ",")
+    found = hit(
+        _SCANNER, "Polyglot - Format Mismatch", "Medium", 6.0,
+        F.concat(F.lit("Suffix says "), claimed, F.lit(", content says "), listed),
         evidence={
-            "extension": F.col("ext"),
-            "claimed_format": F.col("claimed"),
-            "detected_formats": F.array_join("formats", ","),
-            "magic_bytes": F.lower(F.hex(F.substring("content", 1, 16))),
+            "extension": ext,
+            "claimed_format": claimed,
+            "detected_formats": listed,
+            "magic_bytes": F.lower(F.hex(F.substring(content, 1, 16))),
         },
         cwe=_CWE,
     )
+    return hits_if((test, found))
 
 
-def multiple(signed: DataFrame) -> DataFrame:
-    return as_findings(
-        signed.where(F.size("formats") > 1),
-        _SCANNER,
-        "Polyglot - Multiple Format Signatures",
-        "Medium",
-        5.5,
-        F.concat(F.lit("Content opens like "), F.array_join("formats", ",")),
-        evidence={"detected_formats": F.array_join("formats", ",")},
-        cwe=_CWE,
+def multiple_columns(formats: Column) -> Column:
+    listed = F.array_join(formats, ",")
+    found = hit(
+        _SCANNER, "Polyglot - Multiple Format Signatures", "Medium", 5.5,
+        F.concat(F.lit("Content opens like "), listed), evidence={"detected_formats": listed}, cwe=_CWE,
     )
+    return hits_if((F.size(formats) > 1, found))
 
 
-def embedded(signed: DataFrame, start: int = 64, window: int = 64 * 1024, tail: int = 1024) -> DataFrame:
-    """Foreign signatures inside the first 64 KB, else inside the last KB."""
-    views = signed.select(
-        "path",
-        "source",
-        "formats",
-        B.latin1(F.substring("content", 1, window)).alias("_head"),
-        B.latin1(F.right(F.col("content"), F.lit(tail))).alias("_tail"),
-    )
+# Where foreign signatures are sought, in bytes.
+SEARCH_FROM, SEARCH_HEAD, SEARCH_TAIL = 64, 64 * 1024, 1024
+
+
+def embedded_columns(head: Column, tail: Column, formats: Column) -> Column:
+    """Hits of foreign signatures in the byte view of the head, else of the tail."""
     tests = []
     for name, signatures in M.SIGNATURES:
         places = []
         for raw in signatures:
-            head = B.find_offset(F.col("_head"), raw, start)
-            end = B.find_offset(F.col("_tail"), raw)
-            places.append(
-                F.when(head.isNotNull(), head.cast("string")).when(
-                    end.isNotNull(), F.concat(F.lit("tail+"), end.cast("string"))
-                )
-            )
+            first = B.find_offset(head, raw, SEARCH_FROM)
+            last = B.find_offset(tail, raw)
+            places += [first.cast("string"), F.concat(F.lit("tail+"), last.cast("string"))]
         place = F.coalesce(*places)
-        tests.append(
-            F.when(
-                ~F.array_contains("formats", name) & place.isNotNull(),
-                F.struct(F.lit(name).alias("embedded"), place.alias("offset")),
-            )
+        risky = name in M.RISKY_EMBEDDED
+        found = hit(
+            _SCANNER, "Polyglot - Embedded Format", "High" if risky else "Medium", 7.5 if risky else 5.0,
+            F.concat(F.lit(f"Content holds {name} at "), place),
+            location={"offset": place},
+            evidence={
+                "primary_format": F.coalesce(F.try_element_at(formats, F.lit(1)), F.lit("unknown")),
+                "embedded_format": name,
+                "offset": place,
+                "weak_signature": str(name in M.WEAK_SIGNATURES).lower(),
+            },
+            cwe=_CWE,
         )
-    rows = views.select(
-        "path", "source", "formats", F.explode(F.array_compact(F.array(*tests))).alias("hit")
-    ).select("path", "source", "formats", "hit.*")
-    risky = F.col("embedded").isin(M.RISKY_EMBEDDED)
-    return as_findings(
-        rows,
-        _SCANNER,
-        "Polyglot - Embedded Format",
-        F.when(risky, "High").otherwise("Medium"),
-        F.when(risky, 7.5).otherwise(5.0),
-        F.concat(F.lit("Content holds "), F.col("embedded"), F.lit(" at "), F.col("offset")),
-        location={"offset": F.col("offset")},
-        evidence={
-            "primary_format": F.coalesce(F.try_element_at("formats", F.lit(1)), F.lit("unknown")),
-            "embedded_format": F.col("embedded"),
-            "offset": F.col("offset"),
-            "weak_signature": _weak(F.col("embedded")),
-        },
-        cwe=_CWE,
-    )
+        tests.append((~F.array_contains(formats, name) & place.isNotNull(), found))
+    return hits_if(*tests)
 
 
-def trailing(signed: DataFrame) -> DataFrame:
-    """Data of over 10 bytes behind the end marker of a picture."""
-    text = F.col("_text")
-    has = lambda name: F.array_contains("formats", name)
+def _behind_picture(text: Column, formats: Column) -> Column:
+    """Byte view of what follows the end marker of a picture; NULL for other files."""
+    has = lambda name: F.array_contains(formats, name)
     after_last = lambda raw: F.substring_index(text, raw.decode("latin-1"), -1)
     iend = F.locate("IEND", text)
-    rest = (
-        F.when(has("jpeg") & F.contains(text, B.literal_text(b"\xff\xd9")), after_last(b"\xff\xd9"))
-        .when(has("jpeg"), F.lit(None))
-        .when(has("png") & (iend > 0), F.substr(text, iend + 8))
-        .when(has("png"), F.lit(None))
-        .when(has("gif") & F.contains(text, F.lit(";")), after_last(b";"))
+    return (
+        F.when(has("jpeg"), F.when(F.contains(text, B.literal_text(b"\xff\xd9")), after_last(b"\xff\xd9")))
+        .when(has("png"), F.when(iend > 0, F.substr(text, iend + 8)))
+        .when(has("gif"), F.when(F.contains(text, F.lit(";")), after_last(b";")))
     )
-    rows = (
-        signed.where(has("jpeg") | has("png") | has("gif"))
-        .select("path", "source", "formats", B.latin1(F.col("content")).alias("_text"))
-        .withColumn("_rest", rest)
-        .where(F.length("_rest") > 10)
-        .withColumn("_found", signature_formats(F.encode("_rest", "ISO-8859-1")))
-        .withColumn("trailing_format", F.coalesce(F.try_element_at("_found", F.lit(1)), F.lit("unknown")))
-        .withColumn("trailing_size", F.length("_rest"))
+
+
+def trailing_columns(text: Column, formats: Column) -> Column:
+    """A hit for over 10 bytes behind the end marker of a picture."""
+    rest = F.filter(F.array(_behind_picture(text, formats)), lambda r: F.length(r) > 10)
+    named = F.transform(
+        rest,
+        lambda r: F.struct(
+            F.coalesce(F.try_element_at(signature_formats(F.encode(F.substring(r, 1, 32), "ISO-8859-1")), F.lit(1)), F.lit("unknown")).alias("format"),
+            F.length(r).alias("size"),
+        ),
     )
-    risky = F.col("trailing_format").isin(M.RISKY_TRAILING)
-    return as_findings(
-        rows,
-        _SCANNER,
-        "Polyglot - Trailing Data",
-        F.when(risky, "High").otherwise("Medium"),
-        F.when(risky, 7.0).otherwise(5.5),
-        F.concat(F.col("trailing_size").cast("string"), F.lit(" bytes follow the picture")),
-        evidence={
-            "trailing_format": F.col("trailing_format"),
-            "trailing_size": F.col("trailing_size"),
-            "weak_signature": _weak(F.col("trailing_format")),
-        },
-        cwe=_CWE,
+
+    def found(t: Column) -> Column:
+        risky = t["format"].isin(M.RISKY_TRAILING)
+        return hit(
+            _SCANNER, "Polyglot - Trailing Data", F.when(risky, "High").otherwise("Medium"),
+            F.when(risky, 7.0).otherwise(5.5),
+            F.concat(t["size"].cast("string"), F.lit(" bytes follow the picture")),
+            evidence={"trailing_format": t["format"], "trailing_size": t["size"], "weak_signature": _weak(t["format"])},
+            cwe=_CWE,
+        )
+
+    return F.transform(named, found)
+
+
+def mismatch(signed: DataFrame) -> DataFrame:
+    """Findings of suffixes that the content contradicts."""
+    return findings_of(signed, mismatch_columns(F.col("path"), F.col("content"), F.col("formats")))
+
+
+def multiple(signed: DataFrame) -> DataFrame:
+    """Findings of contents that open like several formats."""
+    return findings_of(signed, multiple_columns(F.col("formats")))
+
+
+def embedded(signed: DataFrame) -> DataFrame:
+    """Findings of foreign signatures inside files."""
+    views = signed.select(
+        "path", "source", "formats",
+        B.latin1(F.substring("content", 1, SEARCH_HEAD)).alias("_head"),
+        B.latin1(F.right(F.col("content"), F.lit(SEARCH_TAIL))).alias("_tail"),
     )
+    return findings_of(views, embedded_columns(F.col("_head"), F.col("_tail"), F.col("formats")))
+
+
+def trailing(signed: DataFrame) -> DataFrame:
+    """Findings of data behind pictures."""
+    pictures = signed.where(F.arrays_overlap("formats", F.array(*[F.lit(p) for p in ("jpeg", "png", "gif")])))
+    views = pictures.select("path", "source", "formats", B.latin1(F.col("content")).alias("_text"))
+    return findings_of(views, trailing_columns(F.col("_text"), F.col("formats")))
 
 
 def pytorch_variants(members: DataFrame) -> DataFrame:

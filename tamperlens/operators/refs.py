@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamperlens.functions.findings import as_findings
+from tamperlens.functions.findings import as_findings, findings_of, hit, hits_if
 from tamperlens.functions.groups import capped_lists
 from tamperlens.rules import markers as M
 
@@ -121,6 +121,79 @@ def unknown_domains(urls: DataFrame, allowed: list[str] = M.SAFE_DOMAINS) -> Dat
     )
 
 
+def _sorted(items: Column) -> Column:
+    return F.array_sort(F.array_distinct(items))
+
+
+def reference_columns(found: Column, internal: Column, allowed: list[str] = M.SAFE_DOMAINS) -> Column:
+    """Hits of one text from its arrays of URLs and of internal URLs.
+
+    The lists stand in the row, so they are counted and cut there: no shuffle.
+    """
+    files = F.filter(found, lambda u: F.startswith(F.lower(u), F.lit("file://")))
+    with_hosts = F.transform(found, lambda u: F.struct(u.alias("url"), host_of(u).alias("host")))
+    outside = F.filter(
+        with_hosts,
+        lambda p: (p["host"] != "")
+        & ~F.startswith(F.lower(p["url"]), F.lit("file://"))
+        & ~is_internal(p["url"])
+        & ~is_allowed(p["host"], allowed),
+    )
+
+    def lines(group: Column) -> Column:
+        domains = _sorted(F.transform(group, lambda p: p["host"]))
+        few = F.size(domains) <= 3
+        return hit(
+            "external_ref", "External Reference - Unknown Domains", F.when(few, "Medium").otherwise("High"),
+            F.when(few, 5.5).otherwise(7.0),
+            F.concat(F.size(domains).cast("string"), F.lit(" unexpected domains")),
+            evidence={
+                "domains": F.to_json(F.slice(domains, 1, 20)),
+                "sample_urls": F.to_json(F.slice(_sorted(F.transform(group, lambda p: p["url"])), 1, 10)),
+                "n_domains": F.size(domains),
+                "total_urls": F.size(group),
+            },
+            advice="Check these references; put expected domains on the allow-list.", cwe="CWE-829",
+        )
+
+    def listed(kind: str, score: float, urls: Column, key: str, words: str, advice: str, cwe: str) -> Column:
+        return hit(
+            "external_ref", kind, "High", score, F.concat(F.size(urls).cast("string"), F.lit(words)),
+            evidence={key: F.to_json(F.slice(_sorted(urls), 1, 10)), "total_found": F.size(urls)}, advice=advice, cwe=cwe,
+        )
+
+    ssrf_hit = listed(
+        "External Reference - SSRF Vector", 7.5, internal, "ssrf_urls", " URLs lead to internal hosts",
+        "Load only where internal services cannot be reached.", "CWE-918",
+    )
+    some = lambda items: F.filter(F.array(items), lambda g: F.size(g) > 0)
+    file_hits = F.transform(
+        some(files),
+        lambda g: listed(
+            "External Reference - Local File Access", 7.0, g, "file_urls", " file URLs",
+            "Check that these paths are meant.", "CWE-22",
+        ),
+    )
+    return F.concat(hits_if((F.size(internal) > 0, ssrf_hit)), file_hits, F.transform(some(outside), lines))
+
+
+def urls_in(text: Column) -> Column:
+    """Array of the URLs of a text; NULL when it holds none at all."""
+    return _all_matches(text, M.URL_PATTERNS)
+
+
+def internal_urls_in(text: Column) -> Column:
+    return _all_matches(text, M.SSRF_PATTERNS)
+
+
+def url_arrays(texts: DataFrame) -> DataFrame:
+    """(path, source, found, internal) of the texts that hold any URL."""
+    return texts.where(F.contains("text", F.lit("://"))).select(
+        "path", "source", _all_matches(F.col("text"), M.URL_PATTERNS).alias("found"),
+        _all_matches(F.col("text"), M.SSRF_PATTERNS).alias("internal"),
+    )
+
+
 def reference_findings(texts: DataFrame, allowed: list[str] = M.SAFE_DOMAINS) -> DataFrame:
-    found = urls(texts)
-    return ssrf(texts).unionByName(local_files(found)).unionByName(unknown_domains(found, allowed))
+    """Findings of every kind for texts that are each a source of their own: one narrow pass."""
+    return findings_of(url_arrays(texts), reference_columns(F.col("found"), F.col("internal"), allowed))

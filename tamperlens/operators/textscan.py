@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamperlens.functions.findings import as_findings
+from tamperlens.functions.findings import findings_of, hit, hits_if
 from tamperlens.rules import text_rules as R
 
 # "." excludes only the line feed; letters match in either case.
@@ -65,60 +65,72 @@ def enrich(hits: DataFrame) -> DataFrame:
     )
 
 
-def _graded(hits: DataFrame) -> DataFrame:
-    level, score = F.lit("Medium"), F.lit(5.5)
-    for word, (name, value) in R.RULE_SCORES.items():
-        level = F.when(F.col("level") == word, name).otherwise(level)
-        score = F.when(F.col("level") == word, value).otherwise(score)
-    return hits.withColumns({"grade": level, "score": score})
+def rule_columns(text: Column, lowered: Column, rules: list[R.Rule] = R.ALL_RULES) -> Column:
+    """Hits of the rules in one text: one per (category, description)."""
+    # Two rules may share a description: they make one hit.
+    merged: dict[tuple[str, str], Column] = {}
+    details: list[Column] = []
+    for rule in rules:
+        key, test = (rule.category, rule.description), _matches(text, lowered, rule)
+        if key in merged:
+            merged[key] = merged[key] | test
+            continue
+        merged[key] = test
+        level, score = R.RULE_SCORES[rule.level]
+        details.append(
+            hit(
+                "lambda_layer",
+                f"Keras Exploit Payload - {rule.category} (targets load_model())",
+                level,
+                score,
+                f"Text matches a signature: {rule.description}",
+                evidence={"category": rule.category, "pattern": rule.description},
+                advice=R.CATEGORY_ADVICE[rule.category],
+                references=R.CATEGORY_REFERENCES.get(rule.category),
+                cwe=R.CATEGORY_CWE[rule.category],
+            )
+        )
+    # The tests give rule numbers; what they stand for is one constant table.
+    numbers = F.array_compact(F.array(*[F.when(test, F.lit(i)) for i, test in enumerate(merged.values(), 1)]))
+    table = F.array(*details)
+    return F.transform(numbers, lambda i: F.element_at(table, i))
+
+
+def _matches(text: Column, lowered: Column, rule: R.Rule) -> Column:
+    return F.contains(lowered, F.lit(rule.anchor)) & F.rlike(text, F.lit(_FLAGS + rule.pattern))
 
 
 def rules_scan(texts: DataFrame, rules: list[R.Rule] = R.ALL_RULES, unique_source: bool = True) -> DataFrame:
-    """Findings of the given rules, one per (category, description) and source."""
-    hits = _graded(enrich(rule_hits(texts, rules, unique_source)))
-    return as_findings(
-        hits,
-        "lambda_layer",
-        F.concat(F.lit("Keras Exploit Payload - "), F.col("category"), F.lit(" (targets load_model())")),
-        F.col("grade"),
-        F.col("score"),
-        F.concat(F.lit("Text matches a signature: "), F.col("description")),
-        evidence={"category": F.col("category"), "pattern": F.col("description")},
-        advice=F.col("advice"),
-        references=F.col("reference_urls"),
-        cwe=F.col("cwe"),
-    )
+    """Findings of the given rules, one per (category, description) and source.
+
+    ``unique_source=False`` when several rows share a source (chunks of one file).
+    """
+    rows = texts.select("path", "source", "text", F.lower("text").alias("_lower"))
+    found = findings_of(rows, rule_columns(F.col("text"), F.col("_lower"), rules))
+    return found if unique_source else found.dropDuplicates(["finding_id"])
 
 
-def secrets_scan(texts: DataFrame, rules: list[R.Rule] = R.SECRETS) -> DataFrame:
-    """Credentials in text; the evidence keeps four characters and hides the rest."""
-    lowered = texts.select("path", "source", "text", F.lower("text").alias("_lower"))
+def secret_columns(text: Column, lowered: Column, rules: list[R.Rule] = R.SECRETS) -> Column:
+    """Hits of credentials in one text; the evidence keeps four characters of the first."""
     tests = []
     for rule in rules:
-        pattern = F.lit(_FLAGS + rule.pattern)
-        tests.append(
-            F.when(
-                F.contains(F.col("_lower"), F.lit(rule.anchor)) & F.rlike(F.col("text"), pattern),
-                F.struct(
-                    F.lit(rule.description).alias("description"),
-                    F.regexp_replace(
-                        F.regexp_extract(F.col("text"), _FLAGS + rule.pattern, 0), r"(?s)^(.{4}).*$", "$1***"
-                    ).alias("masked"),
-                    F.regexp_count(F.col("text"), pattern).cast("bigint").alias("matches"),
-                ),
-            )
+        pattern = _FLAGS + rule.pattern
+        masked = F.concat(F.substring(F.regexp_extract(text, pattern, 0), 1, 4), F.lit("***"))
+        found = hit(
+            "secrets",
+            f"Secrets - {rule.description}",
+            "Critical",
+            9.5,
+            f"Text holds a credential: {rule.description}",
+            evidence={"masked": masked, "matches": F.regexp_count(text, F.lit(pattern))},
+            advice="Revoke the credential and remove it from the artifact.",
+            cwe="CWE-798",
         )
-    hits = lowered.select(
-        "path", "source", F.explode(F.array_compact(F.array(*tests))).alias("hit")
-    ).select("path", "source", "hit.*")
-    return as_findings(
-        hits,
-        "secrets",
-        F.concat(F.lit("Secrets - "), F.col("description")),
-        "Critical",
-        9.5,
-        F.concat(F.lit("Text holds a credential: "), F.col("description")),
-        evidence={"masked": F.col("masked"), "matches": F.col("matches")},
-        advice="Revoke the credential and remove it from the artifact.",
-        cwe="CWE-798",
-    )
+        tests.append((_matches(text, lowered, rule), found))
+    return hits_if(*tests)
+
+
+def secrets_scan(texts: DataFrame, rules: list[R.Rule] = R.SECRETS) -> DataFrame:
+    """Findings of credentials in texts."""
+    rows = texts.select("path", "source", "text", F.lower("text").alias("_lower"))
+    return findings_of(rows, secret_columns(F.col("text"), F.col("_lower"), rules))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamperlens.functions import bytesx as B
 from tamperlens.functions.bytesx import utf8
+from tamperlens.functions.findings import findings_of
 from tamperlens.operators import (
     algebra,
     archives,
@@ -21,101 +23,178 @@ from tamperlens.operators import (
     textscan,
     weights,
 )
+from tamperlens.rules import markers as M
 from tamperlens.sources import binary, members
-from tamperlens.sources.artifacts import byte_texts_of, texts_of
+from tamperlens.sources.artifacts import artifacts as read_artifacts
+from tamperlens.sources.chunks import plan as plan_chunks
+from tamperlens.sources.chunks import read as read_chunks
+
+
+# Files above this size are read in chunks.
+LARGE = 256 * 1024 * 1024
+
+
+def _routed(artifacts: DataFrame, include: list[str] | None, exclude: list[str] | None) -> DataFrame:
+    """Artifacts with ``scanners``, the detectors that take them; found without a shuffle."""
+    resolved = formats.resolve(artifacts.select("path", "length", "content"))
+    return resolved.withColumn("source", F.col("path")).withColumn(
+        "scanners", formats.scanners_for(F.col("path"), F.col("extension"), F.col("format"), include, exclude)
+    )
+
+
+def narrow_findings(routed: DataFrame) -> DataFrame:
+    """Everything that one file can show by itself, in one pass over its bytes.
+
+    Each detector is an array of hits computed in the row, so the content is
+    read once, nothing is shuffled, and only hits leave the stage.
+    """
+    content = F.col("content")
+    views = routed.select(
+        "path", "source", "length", "scanners", "content",
+        (F.col("archive_kind") == "zip").alias("zipped"),
+        B.latin1(content).alias("bytes"),
+        B.latin1(F.substring(content, 1, metadata.HEADER_WINDOW)).alias("window"),
+        B.latin1(F.substring(content, 1, polyglot.SEARCH_HEAD)).alias("head"),
+        B.latin1(F.right(content, F.lit(polyglot.SEARCH_TAIL))).alias("tail"),
+        polyglot.signature_formats(F.substring(content, 1, 32)).alias("formats"),
+    ).withColumns(
+        {
+            "lowered": F.lower("bytes"),
+            "found": refs.urls_in(F.col("bytes")),
+            "internal": refs.internal_urls_in(F.col("bytes")),
+        }
+    )
+    text, signed = F.col("bytes"), F.col("formats")
+    on = lambda name, hits: F.when(F.array_contains("scanners", name), hits)
+    is_gguf = B.starts_with(content, b"GGUF")
+    header = gguf.header_columns(
+        B.unsigned_le(content, 4, 4).cast("bigint"), B.unsigned_le(content, 8, 8), B.unsigned_le(content, 16, 8), F.col("length")
+    )
+    unzipped = ~F.coalesce(F.col("zipped"), F.lit(False)) & F.col("found").isNotNull()
+    groups = [
+        on("lambda_layer", textscan.rule_columns(text, F.col("lowered"))),
+        on("secrets", textscan.secret_columns(text, F.col("lowered"))),
+        on("graph_injection", graphs.graph_columns(text)),
+        on("metadata", F.concat(metadata.long_segment_columns(F.col("window")), metadata.code_pattern_columns(F.col("window")))),
+        on("gguf", F.concat(gguf.template_columns(text), gguf.traversal_columns(text), gguf.marker_columns(text))),
+        on("gguf", F.when(is_gguf, header)),
+        on(
+            "polyglot",
+            F.concat(
+                polyglot.mismatch_columns(F.col("path"), content, signed),
+                polyglot.multiple_columns(signed),
+                polyglot.embedded_columns(F.col("head"), F.col("tail"), signed),
+                polyglot.trailing_columns(text, signed),
+            ),
+        ),
+        on("external_ref", F.when(unzipped, refs.reference_columns(F.col("found"), F.col("internal")))),
+    ]
+    return findings_of(views, F.flatten(F.array_compact(F.array(*groups))))
+
+
+def _member_texts(contents: DataFrame, view) -> DataFrame:
+    return contents.where(F.col("content").isNotNull()).select(
+        "path", "entry", F.concat_ws(":", "path", "entry").alias("source"), view(F.col("content")).alias("text")
+    )
 
 
 def scan(
-    artifacts: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None
+    artifacts: DataFrame,
+    include: list[str] | None = None,
+    exclude: list[str] | None = None,
+    work: str | None = None,
 ) -> DataFrame:
     """Findings of every detector over the artifacts routed to it.
 
-    Routing comes first: a parser only sees files it can read. Members of
-    archives are scanned beside the files that hold them.
+    Rules that need only the bytes of a file share one pass. What has to be
+    parsed (archives, opcodes, directories, weights) is parsed for the files
+    routed there; with a ``work`` folder on shared storage it is written once and
+    read back, so that a lost executor costs no second parse.
     """
-    resolved = formats.resolve(artifacts.select("path", "length", "content"))
-    routed = formats.routes(resolved, include, exclude)
-    takes = {
-        name: resolved.join(routed.where(F.col("scanner") == name).select("path"), "path", "left_semi").select(
-            "path", "length", "content"
-        )
-        for name in ("pickle", "graph_injection", "metadata", "lambda_layer", "dependency", "gguf", "polyglot",
-                     "backdoor", "zip_slip", "external_ref", "secrets")
-        if (not include or name in include) and not (exclude and name in exclude)
-    }
-    found: list[DataFrame] = []
-    if "pickle" in takes:
-        files = takes["pickle"]
-        streams = binary.pickle_streams(files, members.member_contents(files))
+    spark = artifacts.sparkSession
+    routed = _routed(artifacts, include, exclude)
+    wanted = [n for n in M.ROUTES if (not include or n in include) and not (exclude and n in exclude)]
+
+    def taken_by(*names: str) -> DataFrame:
+        names_wanted = [n for n in names if n in wanted]
+        return routed.where(F.arrays_overlap("scanners", F.array(*[F.lit(n) for n in names_wanted]))) if names_wanted else routed.where(F.lit(False))
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        if work is None:
+            return df
+        df.write.mode("overwrite").parquet(f"{work}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{work}/{name}")
+
+    suffix = formats.full_suffix(F.col("path"))
+    found = [narrow_findings(routed)]
+    readers = ("pickle", "metadata", "lambda_layer", "dependency", "backdoor", "external_ref")
+    contents = kept(members.member_contents(taken_by(*readers)), "member_contents")
+    if "zip_slip" in wanted or "polyglot" in wanted or "lambda_layer" in wanted:
+        listed = kept(members.members(taken_by("zip_slip", "polyglot", "lambda_layer")), "members")
+        if "zip_slip" in wanted:
+            found.append(archives.archive_findings(listed))
+        if "polyglot" in wanted:
+            found.append(polyglot.pytorch_findings(listed))
+        if "lambda_layer" in wanted:
+            found.append(keras.zip_traversal(listed.where(suffix == ".keras")))
+    if "pickle" in wanted:
+        streams = binary.pickle_streams(taken_by("pickle"), contents.where(suffix.isin(".pth", ".pt", ".bin")))
+        opcodes = kept(binary.opcodes(streams), "opcodes")
+        imports = kept(binary.pickle_imports(streams), "imports")
         marks = pickles.text_marks(streams.withColumnRenamed("source", "path"))
-        found.append(pickles.verdicts(binary.opcodes(streams), marks, binary.pickle_imports(streams)))
-    if "graph_injection" in takes:
-        found.append(graphs.graph_findings(byte_texts_of(takes["graph_injection"])))
-    if "metadata" in takes:
-        files = takes["metadata"]
-        suffix = formats.full_suffix(F.col("path"))
-        found += [
-            metadata.safetensors_findings(files.where(suffix == ".safetensors")),
-            metadata.long_segment(files),
-            metadata.code_pattern(files),
-        ]
-        inside = members.member_contents(files.where(suffix == ".keras"))
-        json_texts = inside.where(F.endswith("entry", F.lit(".json")) & F.col("content").isNotNull()).select(
-            "path", F.concat_ws(":", "path", "entry").alias("source"), utf8(F.col("content")).alias("text")
-        )
-        found.append(metadata.field_findings(metadata.json_fields(json_texts)))
-    if "lambda_layer" in takes:
-        files = takes["lambda_layer"]
-        found += [
-            textscan.rules_scan(byte_texts_of(files)),
-            keras.zip_traversal(members.zip_members(files)),
-            keras.config_findings(keras.config_texts(members.member_contents(files))),
-        ]
-    if "dependency" in takes:
-        files = takes["dependency"]
-        declared = dependencies(members.member_contents(files))
-        found.append(deps.dependency_findings(declared, deps.popular_packages(artifacts.sparkSession)))
-    if "gguf" in takes:
-        files = takes["gguf"]
-        head = gguf.headers(files)
-        tensors = binary.gguf_tensors(files)
+        found.append(pickles.verdicts(opcodes, marks, imports))
+    if "metadata" in wanted:
+        files = taken_by("metadata").where(suffix == ".safetensors")
+        json_texts = _member_texts(contents.where((suffix == ".keras") & F.endswith("entry", F.lit(".json"))), utf8)
+        found += [metadata.safetensors_findings(files), metadata.field_findings(metadata.json_fields(json_texts))]
+    if "lambda_layer" in wanted:
+        configs = keras.config_texts(contents.where(suffix == ".keras"))
+        found.append(keras.config_findings(configs))
+    if "dependency" in wanted:
+        declared = dependencies(contents.where(suffix.isin(".whl", ".zip")))
+        found.append(deps.dependency_findings(declared, deps.popular_packages(spark)))
+    if "gguf" in wanted:
+        files = taken_by("gguf")
+        tensors = kept(binary.gguf_tensors(files), "gguf_tensors")
         found += [
-            gguf.version_check(head),
-            gguf.tensor_count_check(head),
-            gguf.kv_count_check(head),
             gguf.kv_checks(binary.gguf_kv(files)),
             gguf.tensor_checks(tensors),
             gguf.cumulative(gguf.tensor_sizes(tensors)),
-            gguf.template_injection(files),
-            gguf.path_traversal(files),
-            gguf.byte_markers(files),
         ]
-    if "polyglot" in takes:
-        found.append(polyglot.polyglot_findings(takes["polyglot"]))
-        found.append(polyglot.pytorch_findings(members.members(takes["polyglot"])))
-    if "backdoor" in takes:
-        files = takes["backdoor"]
-        suffix = formats.full_suffix(F.col("path"))
-        headers = metadata.safetensors_headers(files.where(suffix == ".safetensors")).where(F.col("text").isNotNull())
+    if "backdoor" in wanted:
+        files = taken_by("backdoor").where(suffix == ".safetensors")
+        headers = metadata.safetensors_headers(files).where(F.col("text").isNotNull())
         numbers = binary.read_slices(binary.tensor_slices(binary.tensor_table(headers))).unionByName(
-            binary.pytorch_weights(members.member_contents(files.where(suffix.isin(".pth", ".pt"))))
-        )
-        found.append(weights.verdicts(weights.anomalies(numbers)))
-    if "zip_slip" in takes:
-        found.append(archives.archive_findings(members.members(takes["zip_slip"])))
-    if "external_ref" in takes:
-        files = takes["external_ref"]
-        zipped = formats.archive_kind(F.col("path"), formats.magic_format(F.col("content"))) == "zip"
-        plain = byte_texts_of(files.where(~F.coalesce(zipped, F.lit(False))))
-        inside = members.member_contents(files.where(zipped)).where(F.col("content").isNotNull()).select(
-            "path", F.concat_ws(":", "path", "entry").alias("source"), F.decode("content", "ISO-8859-1").alias("text")
+            binary.pytorch_weights(contents.where(suffix.isin(".pth", ".pt")))
         )
-        found.append(refs.reference_findings(plain.unionByName(inside)))
-    if "secrets" in takes:
-        found.append(textscan.secrets_scan(texts_of(takes["secrets"])))
+        found.append(weights.verdicts(weights.anomalies(kept(numbers, "weights"))))
+    if "external_ref" in wanted:
+        found.append(refs.reference_findings(_member_texts(contents, B.latin1)))
     return algebra.union(found)
 
 
+def scan_chunks(chunks: DataFrame) -> DataFrame:
+    """Text and byte rules over the chunks of files too large for one row."""
+    texts = gguf.chunk_texts(chunks)
+    return algebra.union(
+        [
+            textscan.rules_scan(texts, unique_source=False),
+            gguf.template_injection(texts),
+            gguf.path_traversal(texts),
+            gguf.chunk_byte_markers(texts),
+        ]
+    )
+
+
+def scan_path(spark: SparkSession, path: str, work: str | None = None, **options) -> DataFrame:
+    """Scan a file or folder; files above ``LARGE`` bytes are cut into chunks."""
+    files = read_artifacts(spark, path)
+    # The size filters reach the reader: large contents are never loaded as one value.
+    small = scan(files.where(F.col("length") <= LARGE), work=work, **options)
+    large = files.where(F.col("length") > LARGE).select("path", "length")
+    return small.unionByName(scan_chunks(read_chunks(plan_chunks(large))))
+
+
 def dependencies(contents: DataFrame) -> DataFrame:
     """Dependencies declared in the members of wheels and zips."""
     readable = contents.where(F.col("content").isNotNull())
