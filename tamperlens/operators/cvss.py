@@ -15,12 +15,14 @@ DEFAULTS = {"AV": "N", "AC": "L", "PR": "N", "UI": "N", "S": "U", "C": "N", "I":
 def components(vector: Column) -> Column:
     """STRUCT of the eight base metrics; a metric that is missing takes its default."""
     # A later value of the same metric wins, as when the parts are read in order.
-    body = F.regexp_replace(vector, r"^CVSS:3\.[01]/", "")
-    pick = lambda key: F.regexp_extract(body, rf"^(?:.*/)?{key}:([^/]*)", 1)
-    given = lambda key: F.rlike(body, F.lit(rf"^(?:.*/)?{key}:"))
-    return F.struct(
-        *[F.when(given(key), pick(key)).otherwise(value).alias(key) for key, value in DEFAULTS.items()]
-    )
+    body = F.concat(F.lit("/"), F.regexp_replace(vector, r"^CVSS:3\.[01]/", ""))
+
+    def metric(key: str, default: str) -> Column:
+        value = F.regexp_extract(body, f"^.*/{key}:([^/]*)", 1)
+        # An empty result is either an empty value or no value at all.
+        return F.when(value != "", value).when(F.contains(body, F.lit(f"/{key}:")), "").otherwise(default)
+
+    return F.struct(*[metric(key, value).alias(key) for key, value in DEFAULTS.items()])
 
 
 def _weight(metric: Column, table: dict[str, float], default: float) -> Column:
@@ -96,7 +98,14 @@ def level_ranges(spark: SparkSession) -> DataFrame:
     return small_table(spark, rows, "level string, low double, high double")
 
 
-def distribution(scored: DataFrame) -> DataFrame:
+def distribution(rows: DataFrame, vector: str = "cvss_vector") -> DataFrame:
+    """Vectors and mean score per level.
+
+    Equal vectors are counted together first: each is scored once, and a vector
+    that makes up most of the rows is one row after the partial count.
+    """
+    counted = rows.groupBy(vector).agg(F.count(F.lit(1)).alias("n"))
+    scored = score(counted, vector)
     return scored.groupBy("level").agg(
-        F.count(F.lit(1)).alias("vectors"), F.round(F.avg("score"), 6).alias("mean_score")
+        F.sum("n").alias("vectors"), F.round(F.sum(F.col("score") * F.col("n")) / F.sum("n"), 6).alias("mean_score")
     )

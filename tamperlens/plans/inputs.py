@@ -16,8 +16,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Hand a table of few splits to all cores; a table of many stays as it is.
+
+    The detectors are bound by computing. A file that is read by one or two
+    tasks would leave the other cores idle, and it is small enough to move.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

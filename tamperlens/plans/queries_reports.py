@@ -192,13 +192,13 @@ _VECTORS = _SCORED.format(I.portable(I.VECTORS))
 
 @query("cvss_score", f"WITH {_VECTORS} SELECT cvss_vector, normal_vector, score, level, count(*) AS n FROM r GROUP BY ALL")
 def cvss_score(spark, sf_dir):
-    scored = cvss.score(I.derive(spark, sf_dir, I.VECTORS).select("cvss_vector"))
-    return scored.groupBy("cvss_vector", "normal_vector", "score", "level").agg(F.count(F.lit(1)).alias("n"))
+    counted = I.derive(spark, sf_dir, I.VECTORS).groupBy("cvss_vector").agg(F.count(F.lit(1)).alias("n"))
+    return cvss.score(counted).select("cvss_vector", "normal_vector", "score", "level", "n")
 
 
 @query("cvss_distribution", f"WITH {_VECTORS} SELECT level, count(*) AS vectors, round(avg(score), 6) AS mean_score FROM r GROUP BY level")
 def cvss_distribution(spark, sf_dir):
-    return cvss.distribution(cvss.score(I.derive(spark, sf_dir, I.VECTORS).select("cvss_vector")))
+    return cvss.distribution(I.derive(spark, sf_dir, I.VECTORS).select("cvss_vector"))
 
 
 @query(
