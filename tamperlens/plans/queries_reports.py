@@ -311,7 +311,7 @@ def src_external_guarddog(spark, sf_dir):
 @query("stream_scan", secrets_sql("SELECT 'doc/' || doc_id AS source, text FROM documents"))
 def stream_scan(spark, sf_dir):
     """Secrets in the documents, read as a stream and written by batches."""
-    run = incremental.checkpoint_dir(spark, "stream_scan", tempfile.mkdtemp(prefix="tamperlens-"))
+    run = incremental.checkpoint_dir(spark, "stream_scan", lambda: tempfile.mkdtemp(prefix="tamperlens-"))
     work = f"{run}/{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}-{incremental.stamp()}"
     documents = (
         spark.readStream.schema(I.table(spark, sf_dir, "documents").schema)

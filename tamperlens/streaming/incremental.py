@@ -15,12 +15,14 @@ from tamperlens.schema import ARTIFACTS
 Detector = Callable[[DataFrame], DataFrame]
 
 
-def checkpoint_dir(spark: SparkSession, name: str, fallback: str | None = None) -> str:
+def checkpoint_dir(spark: SparkSession, name: str, fallback: Callable[[], str] | None = None) -> str:
     """Folder for the progress of a stream, inside the one the cluster shares.
 
-    ``fallback`` counts only where the cluster names none, as in tests.
+    ``fallback`` names a folder where the session has none, as in tests.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and fallback is not None:
+        shared = fallback()
     if not shared:
         raise ValueError("set spark.checkpoint.dir to a shared folder")
     return f"{shared.rstrip('/')}/{name}"
