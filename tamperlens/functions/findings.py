@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamperlens.schema import FINDINGS
-
 # Default vector of each level.
 LEVEL_VECTORS = {
     "Critical": "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H",
@@ -126,10 +124,6 @@ def as_findings(df: DataFrame, scanner: str, kind, level, score, description, **
     return _projected(df.select("path", "source", found.alias("h")))
 
 
-def empty_findings(spark) -> DataFrame:
-    return spark.createDataFrame([], FINDINGS)
-
-
 def flat(findings: DataFrame, *evidence: str, **location: str) -> DataFrame:
     """Scalar view of findings: severity unpacked, chosen map keys as columns."""
     return findings.select(

@@ -185,11 +185,10 @@ def _best(pairs: DataFrame, score: str) -> DataFrame:
 
     A name meets each popular name once, so its group is as short as that list.
     """
-    best = F.max(F.struct(F.col(score).alias("similarity"), (-F.col("_rank")).alias("_rank"), F.col("popular")))
-    order = F.array_position(F.array_sort(F.array(*[F.lit(p) for p in M.POPULAR_PACKAGES])), F.col("popular"))
+    best = F.min(F.struct((-F.col(score)).alias("distance"), F.col("popular")))
     return (
-        pairs.withColumn("_rank", order).groupBy("name").agg(best.alias("best"))
-        .select("name", F.col("best.popular").alias("target"), F.col("best.similarity").alias("similarity"))
+        pairs.groupBy("name").agg(best.alias("best"))
+        .select("name", F.col("best.popular").alias("target"), (-F.col("best.distance")).alias("similarity"))
     )
 
 
