@@ -32,7 +32,8 @@ NONE = 2**31 - 1
 SLICE = 8_000_000
 # A word longer than this is merged with a heap: a fold takes time with the square of its length.
 LONG = 512
-_PRIMES = (499_979, 611_953)
+_PRIMES = (149_993, 160_001)
+_RANK = 2**17
 
 
 @lru_cache
@@ -55,21 +56,23 @@ def pair_ranks(path: str) -> dict[tuple[int, int], int]:
 
 
 @lru_cache
-def rank_table(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and ranks of a two-place (cuckoo) table: key k lies at k mod p or at p + k mod q."""
+def rank_table(path: str) -> str:
+    """The literal map as text: a two-place (cuckoo) table of key * 2^17 + rank; key k lies at k mod p or at
+    p + k mod q, empty places hold -1."""
     p, q = _PRIMES
-    keys, values = np.full(p + q, -1, np.int64), np.full(p + q, NONE, np.int32)
+    table = [-1] * (p + q)
     for (a, b), rank in pair_ranks(path).items():
-        key, at = a * 65536 + b, (a * 65536 + b) % p
-        for _ in range(500):
-            keys[at], key = key, int(keys[at])
-            values[at], rank = rank, int(values[at])
-            if key < 0:
+        entry = (a * 65536 + b) * _RANK + rank
+        at = entry // _RANK % p
+        for _ in range(1000):
+            table[at], entry = entry, table[at]
+            if entry < 0:
                 break
+            key = entry // _RANK
             at = p + key % q if at < p else key % p
         else:
             raise RuntimeError("the table is too small")
-    return keys, values
+    return ",".join(map(str, table))
 
 
 def heap_merge(ids: list[int], known: dict[tuple[int, int], int]) -> list[int]:
@@ -153,29 +156,36 @@ def _bind(value: Column, use) -> Column:
 
 def fold(word: Column, path: str) -> Column:
     """Ids of a word out of the ids of its bytes."""
-    keys, values = (F.lit(x) for x in rank_table(path))
+    table = F.split(F.lit(rank_table(path)), ",").cast("array<bigint>")
     p, q = _PRIMES
 
-    def rank(a: Column, b: Column) -> Column:
+    def rank(keys: Column) -> Column:
+        """Rank of every key of an array of pairs."""
+
         def probe(key: Column) -> Column:
-            one, two = (key % p).cast("int"), (F.lit(p) + key % q).cast("int")
-            return F.when(F.get(keys, one) == key, F.get(values, one)).when(
-                F.get(keys, two) == key, F.get(values, two)
-            ).otherwise(F.lit(NONE))
+            places = F.array((key % p).cast("int"), (F.lit(p) + key % q).cast("int"))
+            met = F.filter(F.transform(places, lambda k: F.get(table, k)), lambda e: F.shiftright(e, 17) == key)
+            return F.coalesce(F.get(met, F.lit(0)).bitwiseAND(F.lit(_RANK - 1)).cast("int"), F.lit(NONE))
+
+        return F.transform(keys, probe)
 
-        return _bind(a.cast("long") * 65536 + b, probe)
+    def pair(a: Column, b: Column) -> Column:
+        return a.cast("long") * 65536 + b
 
     def merge(state: Column) -> Column:
         ids, found, least, at = state["ids"], state["found"], state["least"], state["at"]
         n = F.size(ids)
-        none = F.array().cast("array<int>")
+        none = F.array().cast("array<bigint>")
         merged = F.concat(
             F.slice(ids, F.lit(1), at - 1), F.array(least), F.slice(ids, at + 2, F.greatest(n - at - 1, F.lit(0)))
         )
+        beside = F.concat(
+            F.when(at > 1, F.array(pair(F.get(ids, at - 2), least))).otherwise(none),
+            F.when(at < n - 1, F.array(pair(least, F.get(ids, at + 1)))).otherwise(none),
+        )
         renewed = F.concat(
             F.slice(found, F.lit(1), F.greatest(at - 2, F.lit(0))),
-            F.when(at > 1, F.array(rank(F.get(ids, at - 2), least))).otherwise(none),
-            F.when(at < n - 1, F.array(rank(least, F.get(ids, at + 1)))).otherwise(none),
+            rank(beside),
             F.slice(found, at + 2, F.greatest(n - at - 2, F.lit(0))),
         )
         return F.struct(merged.alias("ids"), renewed.alias("found"))
@@ -191,7 +201,7 @@ def fold(word: Column, path: str) -> Column:
             lambda s: F.when(F.coalesce(s["least"], F.lit(NONE)) == NONE, state).otherwise(merge(s)),
         )
 
-    first = F.transform(F.slice(word, F.lit(2), F.greatest(F.size(word) - 1, F.lit(0))), lambda b, k: rank(F.get(word, k), b))
+    first = rank(F.transform(F.slice(word, F.lit(2), F.greatest(F.size(word) - 1, F.lit(0))), lambda b, k: pair(F.get(word, k), b)))
     start = F.struct(word.alias("ids"), first.alias("found"))
     return F.aggregate(first, start, step, lambda s: s["ids"])
 
