@@ -52,10 +52,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
             lambda x: F.sha2(canonical(x).cast("binary"), 256),
         ).alias("lines"),
     )
-    # All known notices fit one literal-sized row, so that the look-up stays in the row of the document.
-    notices = known(spark, NOTICES).agg(F.map_from_entries(F.collect_list(F.struct("digest", "licence"))).alias("named"))
-    joined = rows.join(F.broadcast(known(spark, LICENCES)), "digest", "left").crossJoin(F.broadcast(notices))
-    found = F.filter(F.transform("lines", lambda d: F.element_at("named", d)), lambda x: x.isNotNull())
+    named = F.create_map(*[x for name, t in NOTICES.items() for x in (F.sha2(canonical(F.lit(t)).cast("binary"), 256), F.lit(name))])
+    joined = rows.join(F.broadcast(known(spark, LICENCES)), "digest", "left")
+    found = F.filter(F.transform("lines", lambda d: F.element_at(named, d)), lambda x: x.isNotNull())
     return joined.withColumn("found", F.coalesce(found, F.array().cast("array<string>"))).select(
         "doc_id",
         "licence",

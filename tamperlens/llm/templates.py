@@ -79,10 +79,10 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     found = (
         lines.withColumn("line_key", F.xxhash64("masked"))
         .join(gone, ["line_key", "masked"], "left_semi")
-        .groupBy("doc_id")
+        .groupBy(F.col("doc_id").alias("_id"))
         .agg(F.collect_set("masked").alias("gone"))
     )
-    out = texts.join(found, texts["doc_id"].eqNullSafe(found["doc_id"]), "left").select(texts["doc_id"], "text", "gone")
+    out = texts.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "gone")
     parts = F.split("text", "\n")
     stay = F.filter(parts, lambda x: ~F.array_contains(F.coalesce("gone", F.array().cast("array<string>")), mask(x)))
     return out.withColumns({"parts": parts, "stay": F.when(F.col("gone").isNull(), parts).otherwise(stay)}).select(
