@@ -1,14 +1,14 @@
 """Byte-level BPE in Spark expressions: a fold of ranked merges over the bytes of distinct words.
 
-Tasks cut texts into words and number the distinct ones of a slice of texts, as
-arrays of byte ids. A higher-order fold merges each distinct word: it looks up
-the rank of every pair in a literal map, merges the leftmost pair of least rank
-and renews the two ranks beside it, until none is left. Ids of a document are
-the ids of its words, and decoding joins the bytes of its ids.
-
-The literal map is two literal arrays, keyed by pairs of ids: a key lies in one
-of two places, so a look-up reads two elements at most, where a map column of
-this size would be searched from end to end.
+Tasks cut texts into words and number the distinct ones, which go on once per
+task, as arrays of byte ids. A higher-order fold merges each distinct word: it
+looks up the rank of every pair in a literal map, merges the leftmost pair of
+least rank and renews the two ranks beside it, until none is left. The ids of a
+document are those of its words, and decoding joins the bytes of its ids.
+
+The literal map is a literal array keyed by pairs of ids: a key lies in one of
+two places, so a look-up reads two elements, where a map column of this size
+would be searched from end to end.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ from tamperlens.llm.common import slices
 from tamperlens.llm.packing import chunks
 
 NONE = 2**31 - 1
-# Bytes of text per slice: its distinct words are folded once.
-SLICE = 8_000_000
+# Bytes of text per slice, and distinct words that a task remembers.
+SLICE, KNOWN = 4_000_000, 400_000
 # A word longer than this is merged with a heap: a fold takes time with the square of its length.
 LONG = 512
 _PRIMES = (149_993, 160_001)
@@ -97,11 +97,17 @@ def heap_merge(ids: list[int], known: dict[tuple[int, int], int]) -> list[int]:
 
 
 class _Words:
-    """Distinct words of a slice, in order of appearance, as arrays of ids of their bytes."""
+    """Numbers the distinct words that a task has met; each is handed on once, as an array of ids of its bytes.
+
+    ``number`` gives the words that are new and, per text, the numbers of all its
+    words. When ``KNOWN`` words are exceeded it starts again, and says so.
+    """
 
     def __init__(self, path: str, pattern: str) -> None:
         self.path, self.known, self.find = path, ranks(path), regex.compile(pattern).findall
         self.single = [self.known[bytes([k])] for k in range(256)]
+        self.words: dict[str, int] = {}
+        self.split: dict[str, list[int]] = {}
 
     def start(self, word: str) -> list[int]:
         data = word.encode("utf-8", "replace")
@@ -110,19 +116,27 @@ class _Words:
         ids = [self.single[x] for x in data]
         return heap_merge(ids, pair_ranks(self.path)) if len(ids) > LONG else ids
 
-    def number(self, texts: list[str]) -> tuple[list[list[int]], list[np.ndarray]]:
-        words: dict[str, int] = {}
-        split: dict[str, list[int]] = {}
-        rows = []
+    def number(self, texts: list[str]) -> tuple[bool, list[list[int]], list[np.ndarray]]:
+        again = len(self.words) > KNOWN
+        if again:
+            self.words.clear()
+            self.split.clear()
+        words, split, new, rows = self.words, self.split, [], []
         for text in texts:
             row: list[int] = []
             for chunk in chunks(text):
                 found = split.get(chunk)
                 if found is None:
-                    found = split[chunk] = [words.setdefault(w, len(words)) for w in self.find(chunk)]
+                    found = split[chunk] = []
+                    for w in self.find(chunk):
+                        at = words.get(w)
+                        if at is None:
+                            at = words[w] = len(words)
+                            new.append(self.start(w))
+                        found.append(at)
                 row += found
             rows.append(np.array(row, np.int32))
-        return [self.start(w) for w in words], rows
+        return again, new, rows
 
 
 def _lists(values: list, kind: pa.DataType) -> pa.ListArray:
@@ -131,79 +145,100 @@ def _lists(values: list, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
 
 
+def _one(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
 def _number(path: str, pattern: str):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = _Words(path, pattern)
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
-                words, rows = maker.number([x or "" for x in batch.column("text").to_pylist()])
+                again, words, rows = maker.number([x or "" for x in batch.column("text").to_pylist()])
                 docs = pa.StructArray.from_arrays([batch.column("doc_id"), _lists(rows, pa.int32())], ["doc_id", "at"])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), _lists(words, pa.int32())),
-                        pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), docs),
-                    ],
-                    ["words", "docs"],
-                )
+                columns = [pa.array([again]), _one(_lists(words, pa.int32())), _one(docs)]
+                yield pa.RecordBatch.from_arrays(columns, ["again", "words", "docs"])
 
     return run
 
 
+def _spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids of documents out of the numbers of their words, with the folded words of the task so far."""
+    flat, starts, sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+    for batch in batches:
+        for k in range(batch.num_rows):
+            if batch.column("again")[k].as_py():
+                flat, starts, sizes = flat[:0], starts[:0], sizes[:0]
+            words, docs = batch.column("words")[k].values, batch.column("docs")[k].values
+            more = np.diff(words.offsets.to_numpy()).astype(np.int64)
+            starts = np.concatenate([starts, len(flat) + np.cumsum(more) - more])
+            sizes = np.concatenate([sizes, more])
+            flat = np.concatenate([flat, words.flatten().to_numpy().astype(np.int32)])
+            named, at = docs.field("doc_id"), docs.field("at")
+            for lo in range(0, len(docs), 500):
+                some = at.slice(lo, 500)
+                numbers = some.flatten().to_numpy()
+                counts = np.diff(some.offsets.to_numpy())
+                long = sizes[numbers]
+                ends = np.concatenate([[0], np.cumsum(long)])
+                ids = flat[np.repeat(starts[numbers] - ends[:-1], long) + np.arange(ends[-1])]
+                offsets = ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([named.slice(lo, 500), lists], ["doc_id", "ids"])
+
+
 def _bind(value: Column, use) -> Column:
     """Name a value inside a lambda, so that it is computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def fold(word: Column, path: str) -> Column:
-    """Ids of a word out of the ids of its bytes."""
+    """Ids of a word out of the ids of its bytes, at most ``LONG`` of them.
+
+    An element of the state is a number: rank of the pair that starts here, then
+    the place of its first byte (10 bits), then its id (17 bits). The least
+    element is the pair to merge, leftmost among equal ranks.
+    """
     table = F.split(F.lit(rank_table(path)), ",").cast("array<bigint>")
     p, q = _PRIMES
+    low, sign = F.lit(_RANK - 1).cast("long"), F.lit(2**63 - 1)
+    none, nothing = F.lit(_RANK - 1).cast("long"), F.lit(65_535).cast("long")
 
-    def rank(keys: Column) -> Column:
-        """Rank of every key of an array of pairs."""
-
-        def probe(key: Column) -> Column:
-            places = F.array((key % p).cast("int"), (F.lit(p) + key % q).cast("int"))
-            met = F.filter(F.transform(places, lambda k: F.get(table, k)), lambda e: F.shiftright(e, 17) == key)
-            return F.coalesce(F.get(met, F.lit(0)).bitwiseAND(F.lit(_RANK - 1)).cast("int"), F.lit(NONE))
-
-        return F.transform(keys, probe)
-
-    def pair(a: Column, b: Column) -> Column:
-        return a.cast("long") * 65536 + b
-
-    def merge(state: Column) -> Column:
-        ids, found, least, at = state["ids"], state["found"], state["least"], state["at"]
-        n = F.size(ids)
-        none = F.array().cast("array<bigint>")
-        merged = F.concat(
-            F.slice(ids, F.lit(1), at - 1), F.array(least), F.slice(ids, at + 2, F.greatest(n - at - 1, F.lit(0)))
-        )
-        beside = F.concat(
-            F.when(at > 1, F.array(pair(F.get(ids, at - 2), least))).otherwise(none),
-            F.when(at < n - 1, F.array(pair(least, F.get(ids, at + 1)))).otherwise(none),
-        )
-        renewed = F.concat(
-            F.slice(found, F.lit(1), F.greatest(at - 2, F.lit(0))),
-            rank(beside),
-            F.slice(found, at + 2, F.greatest(n - at - 2, F.lit(0))),
-        )
-        return F.struct(merged.alias("ids"), renewed.alias("found"))
+    def ranked(packed: Column) -> Column:
+        """(place, id, id of the successor) with the rank of the two ids in front, and without the successor."""
+
+        def found(place: Column, key: Column) -> Column:
+            # An entry of another key is off by at least 2^17 or negative, which is larger still without its sign.
+            return (F.get(table, place.cast("int")) - F.shiftleft(key, 17)).bitwiseAND(sign)
+
+        key = F.shiftleft(F.shiftright(packed, 17).bitwiseAND(low), 16).bitwiseOR(packed.bitwiseAND(low))
+        rank = F.least(found(key % p, key), found(key % q + p, key), none)
+        return F.shiftleft(rank, 27).bitwiseOR(F.shiftright(packed, 17))
+
+    first = F.transform(
+        word,
+        lambda b, k: ranked(
+            F.shiftleft(F.shiftleft(k.cast("long"), 17).bitwiseOR(b.cast("long")), 17).bitwiseOR(F.coalesce(F.get(word, k + 1).cast("long"), nothing))
+        ),
+    )
 
     def step(state: Column, _: Column) -> Column:
-        return _bind(
-            F.struct(
-                state["ids"].alias("ids"),
-                state["found"].alias("found"),
-                F.array_min(state["found"]).alias("least"),
-                F.array_position(state["found"], F.array_min(state["found"])).cast("int").alias("at"),
-            ),
-            lambda s: F.when(F.coalesce(s["least"], F.lit(NONE)) == NONE, state).otherwise(merge(s)),
-        )
+        def merge(at: Column) -> Column:
+            least = F.get(state, at - 1)
+            rank = F.shiftright(least, 27)
+            own = F.shiftleft(F.shiftright(least, 17).bitwiseAND(F.lit(1023).cast("long")), 34).bitwiseOR(F.shiftleft(rank, 17))
+            before = F.shiftleft(F.get(state, at - 2).bitwiseAND(F.lit(2**27 - 1)), 17).bitwiseOR(rank)
+            after = F.coalesce(F.get(state, at + 1).bitwiseAND(low), nothing)
+            beside = F.transform(F.slice(F.array(before, own.bitwiseOR(after)), F.when(at > 1, 1).otherwise(2), F.lit(2)), ranked)
+            return F.flatten(F.array(F.slice(state, F.lit(1), F.greatest(at - 2, F.lit(0))), beside, F.slice(state, at + 2, F.lit(LONG))))
 
-    first = rank(F.transform(F.slice(word, F.lit(2), F.greatest(F.size(word) - 1, F.lit(0))), lambda b, k: pair(F.get(word, k), b)))
-    start = F.struct(word.alias("ids"), first.alias("found"))
-    return F.aggregate(first, start, step, lambda s: s["ids"])
+        def some(least: Column) -> Column:
+            return F.when(least >= F.shiftleft(none, 27), state).otherwise(_bind(F.array_position(state, least).cast("int"), merge))
+
+        return _bind(F.array_min(state), some)
+
+    ids = F.aggregate(F.slice(word, F.lit(2), F.lit(LONG)), first, step)
+    return F.transform(ids, lambda e: e.bitwiseAND(low).cast("int"))
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,21 +250,13 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     of texts is handled inside one task, so nothing is shuffled.
     """
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = "words array<array<int>>, docs array<struct<doc_id: long, at: array<int>>>"
+    kind = "again boolean, words array<array<int>>, docs array<struct<doc_id: long, at: array<int>>>"
     folded = texts.mapInArrow(_number(path, pattern), kind).select(
-        F.transform("words", lambda w: F.when(F.size(w) < 2, w).when(F.size(w) > LONG, w).otherwise(fold(w, path))).alias("words"), "docs"
-    )
-    return folded.select(
-        F.inline(
-            F.transform(
-                "docs",
-                lambda d: F.struct(
-                    d["doc_id"].alias("doc_id"),
-                    F.flatten(F.transform(d["at"], lambda k: F.get(F.col("words"), k))).alias("ids"),
-                ),
-            )
-        )
+        "again",
+        F.transform("words", lambda w: F.when((F.size(w) < 2) | (F.size(w) > LONG), w).otherwise(fold(w, path))).alias("words"),
+        "docs",
     )
+    return folded.mapInArrow(_spell, "doc_id long, ids array<int>")
 
 
 def decode(ids: Column, path: str) -> Column:

@@ -101,10 +101,10 @@ members AS (
   FROM seen GROUP BY ALL
 ), totals AS (SELECT leaf, sum(docs) AS total FROM members GROUP BY leaf HAVING sum(docs) >= {templates.MIN_DOCS}),
 tokens AS (
-  SELECT leaf, masked, docs, total, unnest(string_split(masked, ' ')) AS token, unnest(range(n)) AS at FROM members JOIN totals USING (leaf)
-), constant AS (
-  SELECT leaf, at, token FROM tokens WHERE token <> '{templates.FIELD}' GROUP BY leaf, at, token, total HAVING 2 * sum(docs) >= total
-), agreed AS (SELECT leaf, masked, count(*) AS same FROM tokens JOIN constant USING (leaf, at, token) GROUP BY leaf, masked),
+  SELECT leaf, masked, docs, total, unnest(string_split(masked, ' ')) AS token, unnest(range(n)) AS pos FROM members JOIN totals USING (leaf)
+), agreeing AS (
+  SELECT leaf, pos, token FROM tokens WHERE token <> '{templates.FIELD}' GROUP BY leaf, pos, token, total HAVING 2 * sum(docs) >= total
+), agreed AS (SELECT leaf, masked, count(*) AS same FROM tokens JOIN agreeing USING (leaf, pos, token) GROUP BY leaf, masked),
 judged AS (
   SELECT leaf, masked, docs, 5 * coalesce(same, 0) >= 4 * n AS fits FROM members JOIN totals USING (leaf) LEFT JOIN agreed USING (leaf, masked)
 ), fitting AS (SELECT leaf, sum(docs) AS fitting FROM judged WHERE fits GROUP BY leaf),
