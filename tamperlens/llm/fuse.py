@@ -199,7 +199,7 @@ def exact_duplicates(
     within = per.where("n > 1").join(across.select("sha", "mark"), ["sha", "mark"], "left_anti")
     groups = stored(across.union(within.select("sha", "mark", F.col("last").alias("keep_id"), "n")), "groups")
     checked = (
-        texts.join(groups.select("sha", "mark"), ["sha", "mark"], "left_semi")
+        texts.join(groups.select("sha", "mark").hint("merge"), ["sha", "mark"], "left_semi")
         .groupBy("sha", "mark", "text")
         .agg(F.count(F.lit(1)).alias("rows"))
         .groupBy("sha", "mark")
