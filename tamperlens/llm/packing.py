@@ -24,26 +24,33 @@ from tamperlens.llm.common import slices, stored
 
 CAPACITY = 2048
 END = 0
-_MEMO_CHUNKS = 300_000
+_MEMO_CHUNKS = 600_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_UNSAFE = re.compile(r"\s\s|^\s|\s\Z")
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
+_SAFE = re.compile(r"(?<=\S) (?=\S)|(?<=\S)(?=\n\S)")
+_SPACE = re.compile(r"\s")
 
 
-def chunks(text: str) -> list[str]:
-    """Cut a text before every blank that stands between two non-blanks.
+def between(text: str) -> list[str]:
+    """Cut a text at every blank and before every line feed that stands between two non-blanks.
 
-    There a match of the tokenizers' pattern always begins, so tokens of the
-    parts, one after another, are the tokens of the text.
+    There a match of the tokenizers' pattern always begins. The blanks are left
+    out: all parts but the first follow one, unless they begin with a line feed.
     """
+    if text.replace("\n", " ").split(" ") == text.split():
+        return text.replace("\n", " \n").split(" ")
+    return _SAFE.split(text)
+
+
+def chunks(text: str) -> list[str]:
+    """The parts of a text with the blanks that begin them."""
     if not text:
         return []
-    parts = _SAFE.split(text) if _UNSAFE.search(text) else text.split(" ")
-    return [parts[0], *map(" ".__add__, parts[1:])]
+    parts = between(text)
+    return [parts[0], *(x if x[0] == "\n" else " " + x for x in parts[1:])]
 
 
-class Encoder(dict):
-    """Token ids of chunks as little-endian unsigned 32-bit numbers; remembers a bounded number of chunks."""
+class Encoder:
+    """Token ids of parts of texts as little-endian unsigned 32-bit numbers; remembers a bounded number of parts."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -51,19 +58,54 @@ class Encoder(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.known: dict[str, bytes] = {}
+        self.line = self._encode(["\n"])[0]
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _lines(self, parts: list[str], lead: str) -> list[bytes]:
+        """Ids of parts without white space, each after ``lead``, encoded as lines of one text.
+
+        A line feed between non-blanks, or before a blank and a non-blank, is a
+        match of its own, so its id stands between the parts and nowhere else.
+        """
+        ids = self._encode([lead + ("\n" + lead).join(parts)])[0]
+        ends = np.flatnonzero(ids == self.line[0]) if len(self.line) == 1 else []
+        if len(ends) != len(parts) - 1:
+            return [x.tobytes() for x in self._encode([lead + x for x in parts])]
+        raw, at = ids.tobytes(), [0, *(4 * (ends + 1)).tolist()]
+        return [raw[a:b] for a, b in zip(at, [*(4 * ends).tolist(), len(raw)])]
 
     def learn(self, parts: set[str]) -> None:
-        new = [x for x in parts if x not in self]
-        if len(self) + len(new) > _MEMO_CHUNKS:
-            self.clear()
+        """Remember parts that follow a blank or begin with a line feed."""
+        new = [x for x in parts if x not in self.known]
+        if len(self.known) + len(new) > _MEMO_CHUNKS:
+            self.known.clear()
             new = list(parts)
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for part, made in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self[part] = np.array(made.ids, "<u4").tobytes()
-
-    def ids(self, parts: list[str]) -> bytes:
-        return b"".join(map(self.__getitem__, parts))
+        after, starts, other = [], [], []
+        for x in new:
+            if not _SPACE.search(x):
+                after.append(x)
+            elif x[0] == "\n" and not _SPACE.search(x, 1):
+                starts.append(x[1:])
+            else:
+                other.append(x)
+        line = self.line.tobytes()
+        for at in range(0, len(after), 500):
+            some = after[at : at + 500]
+            self.known.update(zip(some, self._lines(some, " ")))
+        for at in range(0, len(starts), 500):
+            some = starts[at : at + 500]
+            self.known.update(("\n" + x, line + ids) for x, ids in zip(some, self._lines(some, "")))
+        found = self._encode([x if x[0] == "\n" else " " + x for x in other])
+        self.known.update((x, ids.tobytes()) for x, ids in zip(other, found))
+
+    def ids(self, texts: list[list[str]]) -> list[bytes]:
+        """Ids of texts that were cut into parts."""
+        self.learn(set().union(*(x[1:] for x in texts)))
+        heads = self._encode([x[0] for x in texts])
+        return [b"".join([h.tobytes(), *map(self.known.__getitem__, x[1:])]) for h, x in zip(heads, texts)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -88,11 +130,10 @@ def _tokenise(path: str, capacity: int, end: int):
         memo = encoder(path)
         for whole in batches:
             for batch in slices(whole, "text"):
-                split = [chunks(x or "") for x in batch.column("text").to_pylist()]
-                memo.learn(set().union(*split))
+                found = memo.ids([between(x or "") for x in batch.column("text").to_pylist()])
                 rows = []
-                for doc, parts in zip(batch.column("doc_id").to_pylist(), split):
-                    ids = memo.ids(parts) + mark
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), found):
+                    ids += mark
                     for k, (at, n) in enumerate(cuts(len(ids) // 4, capacity)):
                         rows.append((doc, k, at, n, zlib.crc32(ids[4 * at : 4 * (at + n)])))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
