@@ -217,20 +217,21 @@ def fit(rows: list[tuple[str, str]]) -> Field:
     used, slot = np.unique(ids, return_inverse=True)
     params = {"w": np.zeros((len(used), L)), "t": np.zeros((L, L)), "s": np.zeros(L)}
     state = {k: [np.zeros_like(p), np.zeros_like(p)] for k, p in params.items()}
-    onehot = np.eye(L)[labels]
+    del docs, pieces, by_label, words, ids
+    onehot = np.eye(L, dtype=np.float32)[labels]
     opens = np.cumsum(lengths) - lengths
     inner = np.ones(len(labels), bool)
     inner[opens] = False
     seen = np.zeros((L, L))
     np.add.at(seen, (labels[np.flatnonzero(inner) - 1], labels[inner]), 1)
     for step in range(1, ROUNDS + 1):
-        emission = np.add.reduceat(params["w"][slot], starts, axis=0)
+        # One label after another: arrays of all features by all labels would be the peak of the memory.
+        emission = np.stack([np.add.reduceat(params["w"][:, c][slot], starts) for c in range(L)], axis=1)
         post, moves = marginals(emission[token], lengths, params["t"], params["s"], pairs=True)
         gap = onehot - post
-        per_type = np.stack([np.bincount(token, gap[:, c], len(types)) for c in range(L)], axis=1)
-        spread = np.repeat(per_type, counts, axis=0)
+        per_type = [np.bincount(token, gap[:, c], len(types)) for c in range(L)]
         grads = {
-            "w": np.stack([np.bincount(slot, spread[:, c], len(used)) for c in range(L)], axis=1) / len(labels) - 1e-6 * params["w"],
+            "w": np.stack([np.bincount(slot, np.repeat(g, counts), len(used)) for g in per_type], axis=1) / len(labels) - 1e-6 * params["w"],
             "t": (seen - moves) / len(labels),
             "s": gap[opens].sum(axis=0) / len(labels),
         }
