@@ -90,22 +90,26 @@ def wheel(texts: DataFrame) -> DataFrame:
     return _deps(rows.select("path", "source", _requirement(spec).alias("dep")))
 
 
-def dependency_files(paths: DataFrame) -> DataFrame:
-    """(path, parser) for the files and members that hold requirements.
-
-    ``paths`` has ``path``, and ``entry`` for members (NULL for plain files).
-    """
-    name = base_name(F.col("path"))
-    entry = F.col("entry")
+def file_parser(path: Column, entry: Column) -> Column:
+    """Which parser reads a file, or a member ``entry`` of it; NULL when none does."""
+    name = base_name(path)
     plain = entry.isNull()
-    is_wheel = F.endswith(F.lower("path"), F.lit(".whl"))
-    parser = (
+    is_wheel = F.endswith(F.lower(path), F.lit(".whl"))
+    return (
         F.when(plain & (name.isin(M.REQUIREMENT_FILES) | F.rlike(name, F.lit(r"^requirements.*\.txt$"))), "requirements")
         .when(plain & (name == "pyproject.toml"), "pyproject")
         .when(plain & (name == "setup.py"), "setup_py")
         .when(is_wheel & (F.endswith(entry, F.lit("METADATA")) | F.endswith(entry, F.lit("metadata.json"))), "wheel")
         .when(~is_wheel & F.endswith(entry, F.lit("requirements.txt")), "requirements")
     )
+
+
+def dependency_files(paths: DataFrame) -> DataFrame:
+    """(path, parser) for the files and members that hold requirements.
+
+    ``paths`` has ``path``, and ``entry`` for members (NULL for plain files).
+    """
+    parser = file_parser(F.col("path"), F.col("entry"))
     return paths.select("path", "entry", parser.alias("parser")).where(F.col("parser").isNotNull())
 
 

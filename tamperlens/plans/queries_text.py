@@ -197,7 +197,7 @@ def ref_unknown_domains(spark, sf_dir):
 
 # --- findings algebra -----------------------------------------------------------
 
-_BASE_RULES = [*R.OBFUSCATION, *R.SAFE_MODE_BYPASS, *R.DOS]
+_BASE_RULES = R.ALL_RULES
 
 
 def base_findings(spark, sf_dir):

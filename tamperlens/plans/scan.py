@@ -151,7 +151,9 @@ def scan(
         configs = keras.config_texts(contents.where(suffix == ".keras"))
         found.append(keras.config_findings(configs))
     if "dependency" in wanted:
-        declared = dependencies(contents.where(suffix.isin(".whl", ".zip")))
+        plain = routed.select("path", F.lit(None).cast("string").alias("entry"), "content")
+        inside = contents.where(suffix.isin(".whl", ".zip", ".tar.gz")).select("path", "entry", "content")
+        declared = dependencies(plain.unionByName(inside))
         found.append(deps.dependency_findings(declared, deps.popular_packages(spark)))
     if "gguf" in wanted:
         files = taken_by("gguf")
@@ -195,16 +197,13 @@ def scan_path(spark: SparkSession, path: str, work: str | None = None, **options
     return small.unionByName(scan_chunks(read_chunks(plan_chunks(large))))
 
 
-def dependencies(contents: DataFrame) -> DataFrame:
-    """Dependencies declared in the members of wheels and zips."""
-    readable = contents.where(F.col("content").isNotNull())
-    chosen = deps.dependency_files(readable.select("path", "entry").distinct())
-    texts = readable.join(chosen, ["path", "entry"]).select(
-        "path", F.col("path").alias("source"), "parser", utf8(F.col("content")).alias("text")
-    )
-    return deps.requirements(texts.where(F.col("parser") == "requirements")).unionByName(
-        deps.wheel(texts.where(F.col("parser") == "wheel"))
-    )
+def dependencies(files: DataFrame) -> DataFrame:
+    """Dependencies declared in requirement files: plain ones (no ``entry``) and members of wheels and archives."""
+    texts = files.withColumn("parser", deps.file_parser(F.col("path"), F.col("entry"))).where(
+        F.col("parser").isNotNull() & F.col("content").isNotNull()
+    ).select("path", F.col("path").alias("source"), "parser", utf8(F.col("content")).alias("text"))
+    parsers = {"requirements": deps.requirements, "pyproject": deps.pyproject, "setup_py": deps.setup_py, "wheel": deps.wheel}
+    return algebra.union([parse(texts.where(F.col("parser") == name)) for name, parse in parsers.items()])
 
 
 def issues(artifacts: DataFrame) -> DataFrame:

@@ -37,9 +37,13 @@ def pickle_streams(artifacts: DataFrame, member_contents: DataFrame) -> DataFram
 
 
 def _ops_of(source: str, content: bytes) -> Iterator[tuple]:
+    """Opcodes of all pickles in the content, one after another; a later one begins behind STOP."""
+    stream, seq = io.BytesIO(content), 0
     try:
-        for seq, (op, arg, pos) in enumerate(pickletools.genops(io.BytesIO(content))):
-            yield source, seq, pos, op.name, None if arg is None else str(arg)
+        while stream.tell() < len(content):
+            for op, arg, pos in pickletools.genops(stream):
+                yield source, seq, pos, op.name, None if arg is None else str(arg)
+                seq += 1
     except Exception:  # a broken stream keeps the opcodes before the break
         return
 
@@ -125,18 +129,20 @@ class _Cursor:
 
 
 def _skip_array(cursor: _Cursor, kind: int | None, count: int | None) -> None:
-    if kind is None or count is None:
-        return
-    if kind in M.GGUF_TYPE_SIZES:
-        cursor.skip(M.GGUF_TYPE_SIZES[kind] * count)
-    elif kind in (M.GGUF_STRING, M.GGUF_ARRAY):
-        for _ in range(count):
-            if cursor.at >= len(cursor.data):
-                return
+    """Skip the items of an array; arrays within it wait on a stack, however deep they lie."""
+    waiting = [(kind, count)]
+    while waiting and cursor.at < len(cursor.data):
+        kind, count = waiting.pop()
+        if not count or kind is None:
+            continue
+        if kind in M.GGUF_TYPE_SIZES:
+            cursor.skip(M.GGUF_TYPE_SIZES[kind] * count)
+        elif kind in (M.GGUF_STRING, M.GGUF_ARRAY):
+            waiting.append((kind, count - 1))
             if kind == M.GGUF_STRING:
                 cursor.skip(cursor.number("<Q") or 0)
             else:
-                _skip_array(cursor, cursor.number("<I"), cursor.number("<Q"))
+                waiting.append((cursor.number("<I"), cursor.number("<Q")))
 
 
 def _u64(value: int | None) -> Decimal | None:
@@ -236,9 +242,12 @@ def gguf_tensors(artifacts: DataFrame) -> DataFrame:
         found = _directory(content)
         if found:
             cursor, n_tensors, n_kv = found
-            for _ in _kv_of(path, cursor, n_kv):
-                pass
-            yield from _tensors_of(path, cursor, n_tensors)
+            passed, kind = 0, None
+            for row in _kv_of(path, cursor, n_kv):
+                passed, kind = passed + 1, row[5]
+            # Behind a directory that could not be passed whole, no tensor can be located.
+            if passed == n_kv and (not n_kv or (kind is not None and kind <= M.GGUF_MAX_TYPE)):
+                yield from _tensors_of(path, cursor, n_tensors)
 
     return artifacts.select("path", "content").mapInPandas(_per_file(entries, GGUF_TENSORS.names), GGUF_TENSORS)
 

@@ -16,11 +16,26 @@ CHUNK, HALO = 8 * 1024 * 1024, 1024
 FULL_UP_TO, HEAD, TAIL = 150 * 1024 * 1024, 100 * 1024 * 1024, 50 * 1024 * 1024
 
 
+# Schemes by which Spark names stores that Arrow knows by another.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasb": "abfs", "wasbs": "abfs"}
+
+
+def arrow_uri(path: str) -> str:
+    """A path as Spark gives it, which encodes nothing, as a URI for Arrow: its scheme, and blanks and the like encoded."""
+    from urllib.parse import quote
+
+    scheme, mark, rest = path.partition(":")
+    if not mark or "/" in scheme:
+        return "file://" + quote(path)
+    rest = "//" + rest if rest.startswith("/") and not rest.startswith("//") else rest
+    return f"{SCHEMES.get(scheme, scheme)}:{quote(rest, safe='/:@')}"
+
+
 def _open(path: str):
     """A random-access reader on any filesystem Arrow knows."""
     from pyarrow import fs
 
-    filesystem, inner = fs.FileSystem.from_uri(path)
+    filesystem, inner = fs.FileSystem.from_uri(arrow_uri(path))
     return filesystem.open_input_file(inner)
 
 
