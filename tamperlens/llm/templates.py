@@ -38,7 +38,7 @@ def recurring(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     # Only leaves that can hold a recurring template are looked into; their lines are counted before they move.
     busy = hashed.groupBy("leaf_key").agg(F.sum("docs").alias("n")).where(F.col("n") >= min_docs).select("leaf_key")
     members = stored(
-        placed.withColumn("leaf_key", F.xxhash64("leaf")).join(busy, "leaf_key", "left_semi").groupBy("leaf", "masked").agg(F.count(F.lit(1)).alias("docs")),
+        placed.withColumn("leaf_key", F.xxhash64("leaf")).join(busy.hint("merge"), "leaf_key", "left_semi").groupBy("leaf", "masked").agg(F.count(F.lit(1)).alias("docs")),
         "lines",
     )
     totals = members.groupBy("leaf").agg(F.sum("docs").alias("total"))
@@ -78,11 +78,11 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     gone = stored(recurring(lines, min_docs).select(F.xxhash64("masked").alias("line_key"), "masked"), "templates")
     found = (
         lines.withColumn("line_key", F.xxhash64("masked"))
-        .join(gone, ["line_key", "masked"], "left_semi")
+        .join(gone.hint("merge"), ["line_key", "masked"], "left_semi")
         .groupBy(F.col("doc_id").alias("_id"))
         .agg(F.collect_set("masked").alias("gone"))
     )
-    out = texts.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "gone")
+    out = texts.join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "gone")
     parts = F.split("text", "\n")
     stay = F.filter(parts, lambda x: ~F.array_contains(F.coalesce("gone", F.array().cast("array<string>")), mask(x)))
     return out.withColumns({"parts": parts, "stay": F.when(F.col("gone").isNull(), parts).otherwise(stay)}).select(
