@@ -224,7 +224,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rough = in_blocks(members, "key", "n", BLOCK).mapInArrow(_verify_signs, "a long, b long")
     groups = stored(components(rough), "groups").withColumnRenamed("node", "rep").withColumnRenamed("component", "key")
     sized = groups.join(groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
-    found = texts.join(groups.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(_sets, "rep long, found binary")
+    found = texts.join(groups.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").mapInArrow(_sets, "rep long, found binary")
     exact = in_blocks(sized.join(found, "rep"), "key", "n", EXACT_BLOCK).mapInArrow(_verify_sets, "a long, b long")
     linked = components(exact).select(F.col("node").alias("rep"), "component")
     named = sets.select("set_id", "rep").join(linked, "rep", "left").select(
