@@ -135,14 +135,15 @@ def training_rows(df: DataFrame, labels: DataFrame, may_learn: Column, text_col:
     rows = df.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), chars.cast("double").alias("chars"), may_learn.alias("_may")
     ).where("_may and doc_id is not null and length(text) <= " + str(FIT_CHARS))
-    counts = {r[0]: r[1] for r in rows.select("doc_id").join(known, "doc_id").groupBy("y").count().collect()}
+    eligible = rows.select("doc_id").join(known, "doc_id")
+    counts = {r[0]: r[1] for r in eligible.groupBy("y").count().collect()}
     share = F.lit(0.0)
     for y, n in counts.items():
         share = F.when(F.col("y") == y, F.lit(min(1.0, FIT_ROWS / n))).otherwise(share)
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(2**30)) < share * 2**30
-    # Labels are thinned before they meet the texts.
-    picked = known.where(drawn)
-    found = rows.join(picked, "doc_id").select("doc_id", "text", "chars", "y").limit(4 * FIT_ROWS).collect()
+    order = F.pmod(F.xxhash64("doc_id"), F.lit(2**30))
+    # The ids are picked first, a bounded number, and sent to the texts: no text is shuffled.
+    picked = eligible.where(order < share * 2**30).distinct().orderBy(order, "doc_id").limit(4 * FIT_ROWS)
+    found = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "chars", "y").limit(4 * FIT_ROWS).collect()
     return [(r["text"], r["chars"], r["y"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"] or ""))]
 
 

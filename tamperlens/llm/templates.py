@@ -21,8 +21,9 @@ FIELD = "<*>"
 
 def mask(line: Column) -> Column:
     """A line with single blanks, and every token that has a digit as a variable field."""
-    plain = F.trim(F.regexp_replace(line, r"[ \t\n\x0B\f\r]+", " "))
-    return F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", FIELD)
+    plain = F.trim(F.regexp_replace(line, r" *+[\t\n\x0B\f\r][ \t\n\x0B\f\r]*+|  ++", " "))
+    # Starts at the beginning of a token alone and never goes back.
+    return F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", FIELD)
 
 
 def leaf(masked: Column) -> Column:
@@ -88,6 +89,6 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     return out.withColumns({"parts": parts, "stay": F.when(F.col("gone").isNull(), parts).otherwise(stay)}).select(
         "doc_id",
         F.array_join("stay", "\n").alias("text"),
-        F.coalesce(F.size(F.filter("parts", lambda x: F.trim(F.regexp_replace(x, r"[ \t\n\x0B\f\r]+", " ")) != "")), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(F.filter("parts", lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))), F.lit(0)).cast("long").alias("n_lines"),
         F.greatest(F.coalesce(F.size("parts") - F.size("stay"), F.lit(0)), F.lit(0)).cast("long").alias("n_dropped"),
     )
