@@ -198,7 +198,7 @@ def pytorch_variants(members: DataFrame) -> DataFrame:
 
 def pytorch_findings(members: DataFrame) -> DataFrame:
     """Containers that fit several layouts, or a legacy one."""
-    legacy = [name for name, _, old in M.PYTORCH_VARIANTS if old]
+    legacy = [name for name, old in M.PYTORCH_VARIANTS if old]
     variants = pytorch_variants(members)
     # At most one row per documented layout, so the lists stay short.
     per_file = variants.groupBy("path").agg(F.array_sort(F.collect_set("variant")).alias("variants"))

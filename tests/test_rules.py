@@ -9,7 +9,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import gguf_bytes
+from made_files import gguf_bytes
 from tamperlens.operators import cvss, deps, gguf, metadata, pickles, refs, textscan, weights
 from tamperlens.plans import inputs
 from tamperlens.rules import markers as M
