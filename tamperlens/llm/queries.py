@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamperlens.llm import bpe, chat, crf, factor, fuse, licences, minhash, packing, rotcodes, templates
+from tamperlens.llm import bpe, chat, crf, factor, fuse, licences, minhash, packing, repair, rotcodes, search, templates, toxicity
 from tamperlens.llm.licence_texts import LICENCES, NOTICES
 
 RANK_FILE, TOKENIZER_FILE = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -67,6 +69,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER_FILE))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    return repair.report(repair.damage(rows), rows)
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 OP4_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -141,8 +156,112 @@ SELECT d.doc_id, k.name AS licence, coalesce(f.notices, '') AS notices, CAST(coa
 FROM documents d LEFT JOIN {_values_sql(LICENCES)} AS k ON {_canonical_sql("d.text")} = k.digest LEFT JOIN found f USING (doc_id)
 """
 
+
+_ENDING = "chr(1)"
+
+
+def _edit(letter: str, cost: int, after: str, role: str | None) -> str:
+    """An edit put before what follows: cost (12 digits), audit, chr(1), repaired rows, so that LEAST picks the cheapest, then ASCII-least."""
+    said = "''" if letter == "D" else f"chr(10) || {role} || ':'" + ("" if letter == "I" else " || text")
+    end = f"instr({after}, {_ENDING})"
+    return (
+        f"lpad(CAST(CAST(substr({after}, 1, 12) AS BIGINT) + {cost} AS VARCHAR), 12, '0') || '{letter}' || substr({after}, 13, {end} - 13)"
+        f" || {_ENDING} || {said} || substr({after}, {end} + 1)"
+    )
+
+
+def _row_edits(state: int) -> str:
+    to = {0: 2, 1: 2, 2: 3, 3: 2}[state]
+    role = "'assistant'" if to == 3 else "'user'"
+    cut = "CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END"
+    kept = {0: "WHEN initial = 's' THEN 1 WHEN initial = 'u' THEN 2", 1: "WHEN initial = 'u' THEN 2", 2: "WHEN initial = 'a' THEN 3", 3: "WHEN initial = 'u' THEN 2"}[state]
+    keep = re.sub(r"THEN (\d)", lambda m: f"THEN {_edit('K', 0, f'v{m[1]}', 'role')}", kept).replace(") + 0 AS", f") + {cut} AS")
+    again = _edit("R", 3, f"v{to}", role).replace(") + 3 AS", f") + 3 + {cut} AS")
+    own = f"least({again}, {_edit('D', 4, f'v{state}', None)}, coalesce(CASE {keep} END, '~'))"
+    return f"CASE WHEN fault IN ('blank', 'duplicate') THEN {_edit('D', 4, f'v{state}', None)} ELSE {own} END AS w{state}"
+
+
+# Reflected checksum table, by its polynomial.
+_CRC = (
+    "xor(4294967295, list_reduce(list_transform(string_split(place, ''), lambda c: CAST(ascii(c) AS BIGINT)),"
+    " lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT))"
+)
+
+OP11_SQL = rf"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n::BIGINT)) AS t
+), places AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS place FROM conversations
+), kinds AS (SELECT *, {_CRC} % 20 AS kind FROM places, crc_table),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds WHERE kind <> 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i FROM damaged
+), faults AS (
+  SELECT conv_id, turn, role, text, i, substr(role, 1, 1) AS initial,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+         lead(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS next_initial
+  FROM numbered
+), walked AS (
+  SELECT conv_id, max(i) + 1 AS i, '000000000000' || {_ENDING} AS v0, '000000000006II' || {_ENDING} || chr(10) || 'user:' || chr(10) || 'assistant:' AS v1,
+         '000000000003I' || {_ENDING} || chr(10) || 'assistant:' AS v2, '000000000000' || {_ENDING} AS v3
+  FROM faults GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, least(w0, {_edit("I", 3, "u2", "'user'")}), least(w1, {_edit("I", 3, "u2", "'user'")}), u2, u3
+  FROM (
+    SELECT conv_id, i, w0, w1, least(w2, {_edit("I", 3, "w3", "'assistant'")}) AS u2, least(w3, {_edit("I", 3, "w2", "'user'")}) AS u3
+    FROM (
+      SELECT r.conv_id, r.i, {_row_edits(0)}, {_row_edits(1)}, {_row_edits(2)}, {_row_edits(3)}
+      FROM walked w JOIN faults r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i - 1
+    )
+  )
+), told AS (
+  SELECT conv_id, CAST(max(turn) - min(turn) + 1 - count(DISTINCT turn) AS BIGINT) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+         count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE next_initial IS NOT NULL AND initial || next_initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+), ends AS (
+  SELECT conv_id, CAST(substr(v0, 1, 12) AS BIGINT) AS cost, substr(v0, 13, instr(v0, {_ENDING}) - 13) AS audit,
+         sha256(substr(v0, instr(v0, {_ENDING}) + 2)) AS repaired_sha256
+  FROM walked WHERE i = 1
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+_TERMS = r"unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+
+OP12_SQL = rf"""
+WITH words AS (SELECT doc_id, {_TERMS} AS term FROM documents),
+sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sizes),
+asked AS (SELECT item_id, term, count(*) AS often FROM (SELECT item_id, {_TERMS} AS term FROM benchmark) GROUP BY ALL),
+held AS (SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM held GROUP BY term), totals
+), lengths AS (SELECT doc_id, 25 + (75 * n * docs) // words AS m FROM sizes, totals),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(often * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id) GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 10
+"""
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_language, op2_minhash, op3_rotcodes, op4_exact, op5_bpe, op6_quality, op7_chat, op8_templates, op9_licences, op10_packing)
-}
-CHECKS = {"op4_exact": OP4_SQL, "op7_chat": OP7_SQL, "op8_templates": OP8_SQL, "op9_licences": OP9_SQL}
+    for f in (
+        op1_language, op2_minhash, op3_rotcodes, op4_exact, op5_bpe, op6_quality, op7_chat, op8_templates, op9_licences, op10_packing,
+        op11_repair, op12_search, op13_toxicity,
+    )
+}
+CHECKS = {"op4_exact": OP4_SQL, "op7_chat": OP7_SQL, "op8_templates": OP8_SQL, "op9_licences": OP9_SQL, "op11_repair": OP11_SQL, "op12_search": OP12_SQL}
