@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ BUCKETS = 2**18
 # Letters of a word's beginnings that are features beside the word itself.
 BEGINNINGS = (4, 5, 6)
 # Bounds of the sample that is fitted: rows per label, characters of a row, and characters per label.
-FIT_ROWS, FIT_CHARS, FIT_TOTAL = 2500, 200_000, 12_000_000
+FIT_ROWS, FIT_CHARS, FIT_TOTAL = 2500, 200_000, 8_000_000
 # A feature counts if so many documents of the sample have it.
 LEAST_DOCS = 3
 # Steps of the fit, their size, and what a word has to earn, in documents: chance words fall back to 0.
@@ -135,7 +136,7 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
         model.bias = -40.0
         return model
     numbers: dict[bytes, int] = {}
-    words, sentence, owner = [], [], []
+    words, sentence, owner = (array("i") for _ in range(3))
     n = 0
     for doc, (text, _) in enumerate(rows):
         for part in tokens((text or "").encode("utf-8", "replace")):
@@ -151,7 +152,8 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
         model.bias = -40.0
         return model
     word, owner = np.array(words, np.int32), np.array(owner, np.int32)
-    starts = np.flatnonzero(np.append(True, np.diff(np.array(sentence, np.int64)) > 0))
+    starts = np.flatnonzero(np.append(True, np.diff(np.array(sentence, np.int32)) > 0))
+    del words, sentence
     bag = owner[starts]
     bags, first = np.unique(bag, return_index=True)
     lists = [features(w) for w in numbers]

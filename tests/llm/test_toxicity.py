@@ -36,7 +36,8 @@ def test_one_bad_sentence_makes_a_bag_toxic():
     model = toxicity.fit(rows)
     text = "The sky is blue. You utter scoundrel!\nIt rains a lot"
     at, z = model.sentences(text.encode(), model.memo())
-    assert at.tolist() == [0, 1, 2] and (z > 0).tolist() == [False, True, False]
+    # The line feed behind the mark ends an empty sentence.
+    assert at.tolist() == [0, 1, 3] and (z > 0).tolist() == [False, True, False]
     (start, length) = toxicity.spans(text, [1])[0]
     assert text[start : start + length] == "You utter scoundrel"
     p = 1 / (1 + np.exp(-z))
