@@ -57,10 +57,19 @@ def test_heap_merges_as_the_library_does(text):
     assert ids == OWN._core_bpe.encode_single_piece(text.encode())
 
 
+LATIN = st.text(alphabet=st.one_of(st.characters(max_codepoint=0x24F), st.sampled_from(" \t\n'sdt.,12ab\x1c\x85\xa0")), max_size=40)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(LATIN, st.sampled_from(["hello <|endoftext|> world", "<|endoftext|>", "你好 naïve", "a\u2009b", "İx", "'S 's"])), max_size=4))
+def test_ids_are_those_of_the_tokenizer(texts):
+    want = [x.ids for x in Tokenizer.from_file(FILE).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in packing.encoder(FILE).ids(texts)] == want
+
+
 def test_packing(awkward, empty):
     rows = packing.pack(awkward, FILE).collect()
     tokenizer = Tokenizer.from_file(FILE)
-    tokenizer.encode_special_tokens = True
     want = Counter()
     for d in awkward.collect():
         ids = tokenizer.encode(d.text or "", add_special_tokens=False).ids + [0]
