@@ -259,7 +259,7 @@ def _view(texts: DataFrame) -> DataFrame:
     return texts.withColumn("source", F.col("path")).withColumn("text", B.latin1(F.col("content")))
 
 
-def _template_match(text: Column) -> Column:
+def template_match(text: Column) -> Column:
     """STRUCT<rule, pattern, offset> of the first pattern, in rule order, that occurs."""
     tests = []
     for number, literal in enumerate(R.TEMPLATE_INJECTION):
@@ -274,24 +274,28 @@ def _template_match(text: Column) -> Column:
     return first_match(tests)
 
 
-def _template_hit(text: Column, match: Column, start: Column) -> Column:
-    place = start + match["offset"]
+def template_context(text: Column, match: Column) -> Column:
+    return F.substr(text, F.greatest(match["offset"] - 49, F.lit(1)), F.lit(200))
+
+
+def template_hit(pattern: Column, place: Column, context: Column) -> Column:
     return hit(
         SCANNER, "GGUF - Jinja2 SSTI Remote Code Execution", "Critical", 10.0,
-        F.concat(F.lit("Template holds "), match["pattern"]),
+        F.concat(F.lit("Template holds "), pattern),
         location={"offset": place},
-        evidence={
-            "pattern": match["pattern"], "offset": place,
-            "context": F.substr(text, F.greatest(match["offset"] - 49, F.lit(1)), F.lit(200)),
-        },
+        evidence={"pattern": pattern, "offset": place, "context": context},
         advice="Do not render this template.",
         references=["https://nvd.nist.gov/vuln/detail/CVE-2024-25123"],
         cwe="CWE-94", cve="CVE-2024-25123",
     )
 
 
+def _template_hit(text: Column, match: Column, start: Column) -> Column:
+    return template_hit(match["pattern"], start + match["offset"], template_context(text, match))
+
+
 def template_columns(text: Column) -> Column:
-    found = F.array_compact(F.array(_template_match(text)))
+    found = F.array_compact(F.array(template_match(text)))
     return F.transform(found, lambda m: _template_hit(text, m, F.lit(0).cast("bigint")))
 
 
@@ -303,7 +307,7 @@ def template_injection(texts: DataFrame) -> DataFrame:
     view = _view(texts)
     if "start" not in view.columns:
         return findings_of(view, template_columns(F.col("text")))
-    rows = view.withColumn("match", _template_match(F.col("text"))).where(F.col("match").isNotNull())
+    rows = view.withColumn("match", template_match(F.col("text"))).where(F.col("match").isNotNull())
     rows = first_per_key(
         rows.withColumns({"_rule": F.col("match.rule"), "_at": F.col("start") + F.col("match.offset")}),
         ["path", "source"], ["_rule", "_at"],
@@ -311,19 +315,16 @@ def template_injection(texts: DataFrame) -> DataFrame:
     return findings_of(rows, F.array(_template_hit(F.col("text"), F.col("match"), F.col("start"))))
 
 
+def traversal_test(text: Column, pattern: str) -> Column:
+    return F.rlike(text, F.lit(f"(?i){pattern}"))
+
+
+def traversal_hit(pattern: str) -> Column:
+    return hit(SCANNER, "GGUF - Path Traversal in Metadata", "High", 8.0, f"Metadata holds {pattern}", evidence={"pattern": pattern}, cwe="CWE-22")
+
+
 def traversal_columns(text: Column) -> Column:
-    return hits_if(
-        *[
-            (
-                F.rlike(text, F.lit(f"(?i){p}")),
-                hit(
-                    SCANNER, "GGUF - Path Traversal in Metadata", "High", 8.0, f"Metadata holds {p}",
-                    evidence={"pattern": p}, cwe="CWE-22",
-                ),
-            )
-            for p in R.PATH_TRAVERSAL
-        ]
-    )
+    return hits_if(*[(traversal_test(text, p), traversal_hit(p)) for p in R.PATH_TRAVERSAL])
 
 
 def path_traversal(texts: DataFrame) -> DataFrame:
@@ -333,7 +334,7 @@ def path_traversal(texts: DataFrame) -> DataFrame:
     return found.dropDuplicates(["finding_id"]) if "start" in view.columns else found
 
 
-def _marker_hit(raw: bytes, kind: str, offset: Column) -> Column:
+def marker_hit(raw: bytes, kind: str, offset: Column) -> Column:
     severe = "CVE" in kind or "Overflow" in kind
     return hit(
         SCANNER, kind, "Critical" if severe else "High", 9.5 if severe else 8.0,
@@ -349,7 +350,7 @@ def marker_columns(text: Column) -> Column:
     tests = []
     for raw, kind, _ in M.GGUF_BYTE_MARKERS:
         at = B.find_offset(text, raw)
-        tests.append((at.isNotNull(), _marker_hit(raw, kind, at)))
+        tests.append((at.isNotNull(), marker_hit(raw, kind, at)))
     return hits_if(*tests)
 
 
@@ -360,8 +361,8 @@ def byte_markers(artifacts: DataFrame) -> DataFrame:
 
 
 def chunk_byte_markers(chunk_texts: DataFrame) -> DataFrame:
-    """The long byte signatures over chunks."""
-    return _lowest_markers(chunk_texts, [i for i, (*_, long) in enumerate(M.GGUF_BYTE_MARKERS) if long])
+    """All byte signatures over chunks, each at its lowest offset."""
+    return _lowest_markers(chunk_texts, range(len(M.GGUF_BYTE_MARKERS)))
 
 
 def _lowest_markers(views: DataFrame, markers) -> DataFrame:
@@ -376,7 +377,7 @@ def _lowest_markers(views: DataFrame, markers) -> DataFrame:
         .agg(F.min("p.at").alias("at"))
     )
     found = [
-        (F.col("marker") == i, _marker_hit(raw, kind, F.col("at")))
+        (F.col("marker") == i, marker_hit(raw, kind, F.col("at")))
         for i, (raw, kind, _) in enumerate(M.GGUF_BYTE_MARKERS)
     ]
     return findings_of(lowest, hits_if(*found))

@@ -18,24 +18,36 @@ def graph_ops(texts: DataFrame) -> DataFrame:
     return texts.select("path", "source", F.explode(F.array_compact(F.array(*tests))).alias("op"))
 
 
-def graph_columns(text: Column) -> Column:
-    """Hits per class of operator in one text."""
+def ops_in(text: Column) -> Column:
+    """Sorted array of the known operator names in a text."""
+    return F.array_compact(F.array(*[F.when(F.contains(text, F.lit(op)), F.lit(op)) for op in sorted(set(_ALL_OPS))]))
+
+
+def _one_of(names):
+    return lambda op: op.isin(list(names))
+
+
+def class_columns(ops: Column) -> Column:
+    """Hits per class of operator, out of the sorted names that occur."""
     tests = []
-    for title, level, score, cwe, ops in M.GRAPH_CLASSES:
-        present = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(op)), F.lit(op)) for op in sorted(ops)]))
+    for title, level, score, cwe, of_class in M.GRAPH_CLASSES:
+        present = F.filter(ops, _one_of(of_class))
         found = hit(
             "graph_injection", f"Graph Injection - {title}", level, score,
             F.concat(F.lit("Graph uses "), F.array_join(present, ", ")),
             evidence={"ops": F.array_join(present, ","), "count": F.size(present)},
             advice="Run only in a sandbox, or remove these operators.", cwe=cwe,
         )
-        any_op = F.lit(False)
-        for op in ops:
-            any_op = any_op | F.contains(text, F.lit(op))
-        tests.append((any_op, found))
+        tests.append((F.size(present) > 0, found))
     return hits_if(*tests)
 
 
+def graph_columns(text: Column) -> Column:
+    """Hits per class of operator in one text."""
+    found = F.filter(F.array(ops_in(text)), lambda ops: F.size(ops) > 0)
+    return F.flatten(F.transform(found, class_columns))
+
+
 def graph_findings(texts: DataFrame) -> DataFrame:
     """One finding per class of operator and source."""
     return findings_of(texts, graph_columns(F.col("text")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from tamperlens.functions.findings import as_findings, findings_of, hit
 from tamperlens.functions.text import first_match
 from tamperlens.operators import jsonwalk
 from tamperlens.rules import text_rules as R
+from tamperlens.schema import SAFETENSORS_HEADERS
+from tamperlens.sources.paged import Pages, per_file
 
 SCANNER = "metadata"
 # Limits in bytes.
@@ -69,13 +74,23 @@ def field_findings(fields: DataFrame) -> DataFrame:
     return field_length(fields).unionByName(format_string(fields)).unionByName(embedded_script(fields))
 
 
+def _header_of(path: str, data: Pages | bytes) -> Iterator[tuple]:
+    if len(data) >= 8:
+        size = int.from_bytes(data[:8], "little")
+        yield path, Decimal(size), data[8 : 8 + size].decode("utf-8", "replace") if size <= MAX_HEADER else None
+
+
 def safetensors_headers(artifacts: DataFrame) -> DataFrame:
     """(path, source, header_size, text): the header as JSON text, NULL when oversized.
 
-    The size is read from the first 8 bytes; at most 10 MB of header is decoded.
+    The size is read from the first 8 bytes; a header is decoded whole. Without a
+    ``content`` column it is read from the file by its path.
     """
+    if "content" not in artifacts.columns:
+        found = per_file(artifacts, _header_of, SAFETENSORS_HEADERS)
+        return found.select("path", F.col("path").alias("source"), "header_size", "text")
     size = B.unsigned_le(F.col("content"), 0, 8)
-    window = F.least(F.col("header_size"), F.lit(10 * 1024 * 1024)).cast("int")
+    window = F.least(F.col("header_size"), F.lit(MAX_HEADER)).cast("int")
     return (
         artifacts.withColumn("source", F.col("path"))
         .withColumn("header_size", size)

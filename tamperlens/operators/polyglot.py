@@ -119,22 +119,51 @@ def trailing_columns(text: Column, formats: Column) -> Column:
     named = F.transform(
         rest,
         lambda r: F.struct(
-            F.coalesce(F.try_element_at(signature_formats(F.encode(F.substring(r, 1, 32), "ISO-8859-1")), F.lit(1)), F.lit("unknown")).alias("format"),
+            format_of(F.substring(r, 1, 32)).alias("format"),
             F.length(r).alias("size"),
         ),
     )
 
-    def found(t: Column) -> Column:
-        risky = t["format"].isin(M.RISKY_TRAILING)
-        return hit(
-            _SCANNER, "Polyglot - Trailing Data", F.when(risky, "High").otherwise("Medium"),
-            F.when(risky, 7.0).otherwise(5.5),
-            F.concat(t["size"].cast("string"), F.lit(" bytes follow the picture")),
-            evidence={"trailing_format": t["format"], "trailing_size": t["size"], "weak_signature": _weak(t["format"])},
-            cwe=_CWE,
+    return F.transform(named, lambda t: trailing_hit(t["format"], t["size"]))
+
+
+def trailing_hit(kind: Column, size: Column) -> Column:
+    risky = kind.isin(M.RISKY_TRAILING)
+    return hit(
+        _SCANNER, "Polyglot - Trailing Data", F.when(risky, "High").otherwise("Medium"),
+        F.when(risky, 7.0).otherwise(5.5),
+        F.concat(size.cast("string"), F.lit(" bytes follow the picture")),
+        evidence={"trailing_format": kind, "trailing_size": size, "weak_signature": _weak(kind)},
+        cwe=_CWE,
+    )
+
+
+def picture_ends(own: Column, behind: Column, formats: Column) -> Column:
+    """End marker of a picture in a chunk: STRUCT<format, at, text> of where data may follow, counted from the chunk, and what does.
+
+    ``own`` is the byte view of the chunk's own bytes and a few more, ``behind`` that of all that was read. The last marker of a JPEG
+    or GIF counts, the first one of a PNG.
+    """
+    has = lambda name: F.array_contains(formats, name)
+
+    def place(name: str, at: Column) -> Column:
+        return F.when(has(name) & at.isNotNull(), F.struct(F.lit(name).alias("format"), at.cast("bigint").alias("at"), F.substr(behind, at.cast("int") + 1, F.lit(32)).alias("text")))
+
+    def last(raw: bytes) -> Column:
+        held = F.contains(own, B.literal_text(raw))
+        return F.when(held, F.length(own) - F.length(F.substring_index(own, raw.decode("latin-1"), -1)))
+
+    first = F.locate("IEND", own)
+    return F.array_compact(
+        F.array(
+            F.when(has("jpeg"), place("jpeg", last(b"\xff\xd9"))).when(has("png"), place("png", F.when(first > 0, first + 7))).when(has("gif"), place("gif", last(b";")))
         )
+    )
+
 
-    return F.transform(named, found)
+def format_of(opening: Column) -> Column:
+    """Name of the format that a byte view opens like, or ``unknown``."""
+    return F.coalesce(F.try_element_at(signature_formats(F.encode(opening, "ISO-8859-1")), F.lit(1)), F.lit("unknown"))
 
 
 def mismatch(signed: DataFrame) -> DataFrame:

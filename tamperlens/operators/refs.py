@@ -33,9 +33,13 @@ def is_internal(url: Column) -> Column:
 
 def urls(texts: DataFrame) -> DataFrame:
     """(path, source, url, host, is_ssrf, is_file) for every URL occurrence."""
+    return described(texts.select("path", "source", F.explode(_all_matches(F.col("text"), M.URL_PATTERNS)).alias("url")))
+
+
+def described(urls: DataFrame) -> DataFrame:
+    """Add ``host``, ``is_ssrf`` and ``is_file`` to rows with ``url``."""
     return (
-        texts.select("path", "source", F.explode(_all_matches(F.col("text"), M.URL_PATTERNS)).alias("url"))
-        .withColumn("host", host_of(F.col("url")))
+        urls.withColumn("host", host_of(F.col("url")))
         .withColumn("is_ssrf", is_internal(F.col("url")))
         .withColumn("is_file", F.startswith(F.lower("url"), F.lit("file://")))
     )
@@ -43,9 +47,11 @@ def urls(texts: DataFrame) -> DataFrame:
 
 def ssrf(texts: DataFrame) -> DataFrame:
     """One finding per source with URLs to internal hosts."""
-    rows = texts.select(
-        "path", "source", F.explode(_all_matches(F.col("text"), M.SSRF_PATTERNS)).alias("url")
-    )
+    return ssrf_of(texts.select("path", "source", F.explode(_all_matches(F.col("text"), M.SSRF_PATTERNS)).alias("url")))
+
+
+def ssrf_of(rows: DataFrame) -> DataFrame:
+    """The same for rows (path, source, url) of internal URLs."""
     per_source = capped_lists(rows, ["path", "source"], F.col("url"), 10)
     return as_findings(
         per_source,

@@ -65,19 +65,23 @@ def enrich(hits: DataFrame) -> DataFrame:
     )
 
 
-def rule_columns(text: Column, lowered: Column, rules: list[R.Rule] = R.ALL_RULES) -> Column:
-    """Hits of the rules in one text: one per (category, description)."""
+def rule_numbers(text: Column, lowered: Column, rules: list[R.Rule] = R.ALL_RULES) -> Column:
+    """Numbers, from 1, of the (category, description) pairs that a text matches, in order of the rules."""
     # Two rules may share a description: they make one hit.
     merged: dict[tuple[str, str], Column] = {}
-    details: list[Column] = []
     for rule in rules:
-        key, test = (rule.category, rule.description), _matches(text, lowered, rule)
-        if key in merged:
-            merged[key] = merged[key] | test
-            continue
-        merged[key] = test
+        key, test = (rule.category, rule.description), matches_rule(text, lowered, rule)
+        merged[key] = merged[key] | test if key in merged else test
+    return F.array_compact(F.array(*[F.when(test, F.lit(i)) for i, test in enumerate(merged.values(), 1)]))
+
+
+def rule_details(rules: list[R.Rule] = R.ALL_RULES) -> Column:
+    """Constant table of the hits that the numbers stand for."""
+    details: dict[tuple[str, str], Column] = {}
+    for rule in rules:
         level, score = R.RULE_SCORES[rule.level]
-        details.append(
+        details.setdefault(
+            (rule.category, rule.description),
             hit(
                 "lambda_layer",
                 f"Keras Exploit Payload - {rule.category} (targets load_model())",
@@ -88,15 +92,18 @@ def rule_columns(text: Column, lowered: Column, rules: list[R.Rule] = R.ALL_RULE
                 advice=R.CATEGORY_ADVICE[rule.category],
                 references=R.CATEGORY_REFERENCES.get(rule.category),
                 cwe=R.CATEGORY_CWE[rule.category],
-            )
+            ),
         )
-    # The tests give rule numbers; what they stand for is one constant table.
-    numbers = F.array_compact(F.array(*[F.when(test, F.lit(i)) for i, test in enumerate(merged.values(), 1)]))
-    table = F.array(*details)
-    return F.transform(numbers, lambda i: F.element_at(table, i))
+    return F.array(*details.values())
+
 
+def rule_columns(text: Column, lowered: Column, rules: list[R.Rule] = R.ALL_RULES) -> Column:
+    """Hits of the rules in one text: one per (category, description)."""
+    table = rule_details(rules)
+    return F.transform(rule_numbers(text, lowered, rules), lambda i: F.element_at(table, i))
 
-def _matches(text: Column, lowered: Column, rule: R.Rule) -> Column:
+
+def matches_rule(text: Column, lowered: Column, rule: R.Rule) -> Column:
     return F.contains(lowered, F.lit(rule.anchor)) & F.rlike(text, F.lit(_FLAGS + rule.pattern))
 
 
@@ -110,24 +117,29 @@ def rules_scan(texts: DataFrame, rules: list[R.Rule] = R.ALL_RULES, unique_sourc
     return found if unique_source else found.dropDuplicates(["finding_id"])
 
 
+def secret_matches(text: Column, rule: R.Rule) -> tuple[Column, Column]:
+    """Four characters of the first match, and how many there are."""
+    pattern = _FLAGS + rule.pattern
+    masked = F.concat(F.substring(F.regexp_extract(text, pattern, 0), 1, 4), F.lit("***"))
+    return masked, F.regexp_count(text, F.lit(pattern))
+
+
+def secret_hit(rule: R.Rule, masked: Column, matches: Column) -> Column:
+    return hit(
+        "secrets",
+        f"Secrets - {rule.description}",
+        "Critical",
+        9.5,
+        f"Text holds a credential: {rule.description}",
+        evidence={"masked": masked, "matches": matches},
+        advice="Revoke the credential and remove it from the artifact.",
+        cwe="CWE-798",
+    )
+
+
 def secret_columns(text: Column, lowered: Column, rules: list[R.Rule] = R.SECRETS) -> Column:
     """Hits of credentials in one text; the evidence keeps four characters of the first."""
-    tests = []
-    for rule in rules:
-        pattern = _FLAGS + rule.pattern
-        masked = F.concat(F.substring(F.regexp_extract(text, pattern, 0), 1, 4), F.lit("***"))
-        found = hit(
-            "secrets",
-            f"Secrets - {rule.description}",
-            "Critical",
-            9.5,
-            f"Text holds a credential: {rule.description}",
-            evidence={"masked": masked, "matches": F.regexp_count(text, F.lit(pattern))},
-            advice="Revoke the credential and remove it from the artifact.",
-            cwe="CWE-798",
-        )
-        tests.append((_matches(text, lowered, rule), found))
-    return hits_if(*tests)
+    return hits_if(*[(matches_rule(text, lowered, rule), secret_hit(rule, *secret_matches(text, rule))) for rule in rules])
 
 
 def secrets_scan(texts: DataFrame, rules: list[R.Rule] = R.SECRETS) -> DataFrame:

@@ -23,15 +23,11 @@ from tamperlens.operators import (
     textscan,
     weights,
 )
+from tamperlens.plans import large
 from tamperlens.rules import markers as M
 from tamperlens.sources import binary, members
 from tamperlens.sources.artifacts import artifacts as read_artifacts
-from tamperlens.sources.chunks import plan as plan_chunks
-from tamperlens.sources.chunks import read as read_chunks
-
-
-# Files above this size are read in chunks.
-LARGE = 256 * 1024 * 1024
+from tamperlens.sources.chunks import CHUNK
 
 
 def _routed(artifacts: DataFrame, include: list[str] | None, exclude: list[str] | None) -> DataFrame:
@@ -104,56 +100,118 @@ def scan(
     exclude: list[str] | None = None,
     work: str | None = None,
 ) -> DataFrame:
-    """Findings of every detector over the artifacts routed to it.
+    """Findings of every detector over the artifacts routed to it; each row holds a file.
 
     Rules that need only the bytes of a file share one pass. What has to be
     parsed (archives, opcodes, directories, weights) is parsed for the files
     routed there; with a ``work`` folder on shared storage it is written once and
     read back, so that a lost executor costs no second parse.
     """
-    spark = artifacts.sparkSession
     routed = _routed(artifacts, include, exclude)
-    wanted = [n for n in M.ROUTES if (not include or n in include) and not (exclude and n in exclude)]
+    wanted = _wanted(include, exclude)
+    streams = _taken(routed, wanted, "pickle")
+    return algebra.union(
+        [
+            narrow_findings(routed),
+            *_parsed(
+                routed, wanted, _keeper(artifacts.sparkSession, work),
+                listed=members.members, contents=members.member_contents,
+                marks=lambda inside: pickles.text_marks(binary.pickle_streams(streams, inside).withColumnRenamed("source", "path")),
+                plain=lambda files: files.select("path", F.lit(None).cast("string").alias("entry"), "content"),
+            ),
+        ]
+    )
+
+
+def scan_files(
+    files: DataFrame,
+    include: list[str] | None = None,
+    exclude: list[str] | None = None,
+    work: str | None = None,
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """The same findings for files (path, length) of any size: they are read in chunks and pages, never whole.
+
+    Signals and parsed tables are used more than once, so give a ``work`` folder
+    for large inputs. The context quoted with a template may be shorter at the
+    border of a chunk.
+    """
+    keep = _keeper(files.sparkSession, work)
+    routed = keep(large.routed_files(files, include, exclude), "routed")
+    wanted = _wanted(include, exclude)
+    signals = keep(large.signals(large.chunks_of(routed, chunk)), "signals")
+    by_path = routed.drop("content", "tail")
+    kind = F.when(F.col("archive_kind") == "zip", "zip").otherwise("tar")
+
+    def marks(inside: DataFrame) -> DataFrame:
+        streams = binary.pickle_streams(routed.where(F.lit(False)), inside)
+        return large.pickle_marks(signals).unionByName(pickles.text_marks(streams.withColumnRenamed("source", "path")))
 
-    def taken_by(*names: str) -> DataFrame:
-        names_wanted = [n for n in names if n in wanted]
-        return routed.where(F.arrays_overlap("scanners", F.array(*[F.lit(n) for n in names_wanted]))) if names_wanted else routed.where(F.lit(False))
+    return algebra.union(
+        [
+            large.head_findings(routed),
+            large.signal_findings(signals, routed.select("path", "length")),
+            *_parsed(
+                by_path, wanted, keep,
+                listed=lambda some: large.listings(some, chunk),
+                contents=lambda some: members.member_contents(some.where(F.col("archive_kind").isNotNull()).select("path", kind.alias("kind"))),
+                marks=marks,
+                plain=lambda some: large.whole_files(some.where(deps.file_parser(F.col("path"), F.lit(None).cast("string")).isNotNull())).select("path", "entry", "content"),
+            ),
+        ]
+    )
+
+
+def _wanted(include: list[str] | None, exclude: list[str] | None) -> list[str]:
+    return [n for n in M.ROUTES if (not include or n in include) and not (exclude and n in exclude)]
+
+
+def _taken(routed: DataFrame, wanted: list[str], *names: str) -> DataFrame:
+    """Files that one of the named detectors takes."""
+    some = [n for n in names if n in wanted]
+    return routed.where(F.arrays_overlap("scanners", F.array(*[F.lit(n) for n in some]))) if some else routed.where(F.lit(False))
 
+
+def _keeper(spark: SparkSession, work: str | None):
     def kept(df: DataFrame, name: str) -> DataFrame:
         if work is None:
             return df
         df.write.mode("overwrite").parquet(f"{work}/{name}")
         return spark.read.schema(df.schema).parquet(f"{work}/{name}")
 
+    return kept
+
+
+def _parsed(routed: DataFrame, wanted: list[str], kept, listed, contents, marks, plain) -> list[DataFrame]:
+    """Findings of what has to be parsed. Parsers read ``content``, or the path of files that have no such column."""
+    spark = routed.sparkSession
+    taken_by = lambda *names: _taken(routed, wanted, *names)
     suffix = formats.full_suffix(F.col("path"))
-    found = [narrow_findings(routed)]
+    found = []
     readers = ("pickle", "metadata", "lambda_layer", "dependency", "backdoor", "external_ref")
-    contents = kept(members.member_contents(taken_by(*readers)), "member_contents")
+    inner = kept(contents(taken_by(*readers)), "member_contents")
     if "zip_slip" in wanted or "polyglot" in wanted or "lambda_layer" in wanted:
-        listed = kept(members.members(taken_by("zip_slip", "polyglot", "lambda_layer")), "members")
+        members_of = kept(listed(taken_by("zip_slip", "polyglot", "lambda_layer")), "members")
         if "zip_slip" in wanted:
-            found.append(archives.archive_findings(listed))
+            found.append(archives.archive_findings(members_of))
         if "polyglot" in wanted:
-            found.append(polyglot.pytorch_findings(listed))
+            found.append(polyglot.pytorch_findings(members_of))
         if "lambda_layer" in wanted:
-            found.append(keras.zip_traversal(listed.where(suffix == ".keras")))
+            found.append(keras.zip_traversal(members_of.where(suffix == ".keras")))
     if "pickle" in wanted:
-        streams = binary.pickle_streams(taken_by("pickle"), contents.where(suffix.isin(".pth", ".pt", ".bin")))
-        opcodes = kept(binary.opcodes(streams), "opcodes")
-        imports = kept(binary.pickle_imports(streams), "imports")
-        marks = pickles.text_marks(streams.withColumnRenamed("source", "path"))
-        found.append(pickles.verdicts(opcodes, marks, imports))
+        inside = inner.where(suffix.isin(".pth", ".pt", ".bin"))
+        opcodes, imports = (kept(f, name) for f, name in zip(_pickled(taken_by("pickle"), inside), ("opcodes", "imports")))
+        found.append(pickles.verdicts(opcodes, marks(inside), imports))
     if "metadata" in wanted:
         files = taken_by("metadata").where(suffix == ".safetensors")
-        json_texts = _member_texts(contents.where((suffix == ".keras") & F.endswith("entry", F.lit(".json"))), utf8)
+        json_texts = _member_texts(inner.where((suffix == ".keras") & F.endswith("entry", F.lit(".json"))), utf8)
         found += [metadata.safetensors_findings(files), metadata.field_findings(metadata.json_fields(json_texts))]
     if "lambda_layer" in wanted:
-        configs = keras.config_texts(contents.where(suffix == ".keras"))
+        configs = keras.config_texts(inner.where(suffix == ".keras"))
         found.append(keras.config_findings(configs))
     if "dependency" in wanted:
-        plain = routed.select("path", F.lit(None).cast("string").alias("entry"), "content")
-        inside = contents.where(suffix.isin(".whl", ".zip", ".tar.gz")).select("path", "entry", "content")
-        declared = dependencies(plain.unionByName(inside))
+        inside = inner.where(suffix.isin(".whl", ".zip", ".tar.gz")).select("path", "entry", "content")
+        declared = dependencies(plain(routed).unionByName(inside))
         found.append(deps.dependency_findings(declared, deps.popular_packages(spark)))
     if "gguf" in wanted:
         files = taken_by("gguf")
@@ -167,34 +225,32 @@ def scan(
         files = taken_by("backdoor").where(suffix == ".safetensors")
         headers = metadata.safetensors_headers(files).where(F.col("text").isNotNull())
         numbers = binary.read_slices(binary.tensor_slices(binary.tensor_table(headers))).unionByName(
-            binary.pytorch_weights(contents.where(suffix.isin(".pth", ".pt")))
+            binary.pytorch_weights(inner.where(suffix.isin(".pth", ".pt")))
         )
         found.append(weights.verdicts(weights.anomalies(kept(numbers, "weights"))))
     if "external_ref" in wanted:
-        found.append(refs.reference_findings(_member_texts(contents, B.latin1)))
-    return algebra.union(found)
+        found.append(refs.reference_findings(_member_texts(inner, B.latin1)))
+    return found
 
 
-def scan_chunks(chunks: DataFrame) -> DataFrame:
-    """Text and byte rules over the chunks of files too large for one row."""
-    texts = gguf.chunk_texts(chunks)
-    return algebra.union(
-        [
-            textscan.rules_scan(texts, unique_source=False),
-            gguf.template_injection(texts),
-            gguf.path_traversal(texts),
-            gguf.chunk_byte_markers(texts),
-        ]
-    )
+def _pickled(files: DataFrame, inside: DataFrame) -> list[DataFrame]:
+    """Opcodes and imports of pickle files and of the pickles in archives."""
+    if "content" in files.columns:
+        streams = binary.pickle_streams(files, inside)
+        return [binary.opcodes(streams), binary.pickle_imports(streams)]
+    lone = files.where(F.col("archive_kind").isNull() | (F.col("archive_kind") != "zip")).select(F.col("path").alias("source"))
+    packed = binary.inner_streams(inside)
+    return [read(lone).unionByName(read(packed)) for read in (binary.opcodes, binary.pickle_imports)]
 
 
 def scan_path(spark: SparkSession, path: str, work: str | None = None, **options) -> DataFrame:
-    """Scan a file or folder; files above ``LARGE`` bytes are cut into chunks."""
+    """Scan a file or folder. A file that fits a chunk is one row; any other is read in chunks and pages, with equal findings."""
     files = read_artifacts(spark, path)
+    folder = lambda name: None if work is None else f"{work}/{name}"
     # The size filters reach the reader: large contents are never loaded as one value.
-    small = scan(files.where(F.col("length") <= LARGE), work=work, **options)
-    large = files.where(F.col("length") > LARGE).select("path", "length")
-    return small.unionByName(scan_chunks(read_chunks(plan_chunks(large))))
+    small = scan(files.where(F.col("length") <= CHUNK), work=folder("whole"), **options)
+    paged = scan_files(files.where(F.col("length") > CHUNK).select("path"), work=folder("paged"), **options)
+    return small.unionByName(paged)
 
 
 def dependencies(files: DataFrame) -> DataFrame:

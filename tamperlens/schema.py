@@ -81,6 +81,13 @@ OPCODES = _schema(
     ("arg", T.StringType()),
 )
 
+IMPORTS = _schema(
+    ("source", T.StringType()),
+    ("seq", T.LongType()),
+    ("module", T.StringType()),
+    ("name", T.StringType()),
+)
+
 GGUF_KV = _schema(
     ("path", T.StringType()),
     ("idx", T.IntegerType()),
@@ -110,3 +117,9 @@ WEIGHT_SLICES = _schema(
     ("first_pos", T.LongType()),
     ("values", T.ArrayType(T.FloatType())),
 )
+
+SAFETENSORS_HEADERS = _schema(
+    ("path", T.StringType()),
+    ("header_size", U64),
+    ("text", T.StringType()),
+)

@@ -6,7 +6,6 @@ fails nothing else. Pickles are disassembled, never loaded.
 
 from __future__ import annotations
 
-import io
 import pickletools
 import struct
 from collections.abc import Iterator
@@ -19,9 +18,13 @@ from pyspark.sql import functions as F
 
 from tamperlens.operators.pickles import MEMO_GET, MEMO_PUT, STRING_PUSH
 from tamperlens.rules import markers as M
-from tamperlens.schema import GGUF_KV, GGUF_TENSORS, OPCODES, WEIGHT_SLICES
+from tamperlens.schema import GGUF_KV, GGUF_TENSORS, IMPORTS, OPCODES, WEIGHT_SLICES
 from tamperlens.sources.chunks import _open
 from tamperlens.sources.frames import frames
+from tamperlens.sources.paged import Pages, per_file, stream
+
+# Dimensions of a tensor that are listed; more than a few are a violation.
+DIMS = 1024
 
 def pickle_streams(artifacts: DataFrame, member_contents: DataFrame) -> DataFrame:
     """(source, content): pickle files, and the pickles inside PyTorch zips.
@@ -30,18 +33,22 @@ def pickle_streams(artifacts: DataFrame, member_contents: DataFrame) -> DataFram
     """
     zipped = F.startswith("content", F.unhex(F.lit("504b0304")))
     lone = artifacts.where(~zipped).select(F.col("path").alias("source"), "content")
-    inside = member_contents.where(F.endswith("entry", F.lit(".pkl")) & F.col("content").isNotNull()).select(
+    return lone.unionByName(inner_streams(member_contents))
+
+
+def inner_streams(member_contents: DataFrame) -> DataFrame:
+    """(source, content) of the pickles among archive members."""
+    return member_contents.where(F.endswith("entry", F.lit(".pkl")) & F.col("content").isNotNull()).select(
         F.concat_ws(":", "path", "entry").alias("source"), "content"
     )
-    return lone.unionByName(inside)
 
 
-def _ops_of(source: str, content: bytes) -> Iterator[tuple]:
+def _ops_of(source: str, content: bytes | Pages) -> Iterator[tuple]:
     """Opcodes of all pickles in the content, one after another; a later one begins behind STOP."""
-    stream, seq = io.BytesIO(content), 0
+    file, seq = stream(content), 0
     try:
-        while stream.tell() < len(content):
-            for op, arg, pos in pickletools.genops(stream):
+        while file.tell() < len(content):
+            for op, arg, pos in pickletools.genops(file):
                 yield source, seq, pos, op.name, None if arg is None else str(arg)
                 seq += 1
     except Exception:  # a broken stream keeps the opcodes before the break
@@ -51,19 +58,15 @@ def _ops_of(source: str, content: bytes) -> Iterator[tuple]:
 def opcodes(streams: DataFrame) -> DataFrame:
     """Opcode rows of every stream."""
 
-    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (
-            row
-            for batch in batches
-            for source, content in zip(batch["source"], batch["content"])
-            for row in _ops_of(source, content)
-        )
-        return frames(rows, OPCODES.names)
+    return per_file(_by_source(streams), _ops_of, OPCODES)
+
 
-    return streams.select("source", "content").mapInPandas(job, OPCODES)
+def _by_source(streams: DataFrame) -> DataFrame:
+    """Streams under the name of their source; without a ``content`` column the source is a path to read."""
+    return streams.select(F.col("source").alias("path"), *(c for c in ("content",) if c in streams.columns))
 
 
-def _imports_of(source: str, content: bytes) -> Iterator[tuple]:
+def _imports_of(source: str, content: bytes | Pages) -> Iterator[tuple]:
     """Imports named by a pickle, read in one pass without building anything.
 
     Only strings are followed: the last two pushed, and those put in the memo.
@@ -98,21 +101,13 @@ def pickle_imports(streams: DataFrame) -> DataFrame:
     needed.
     """
 
-    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (
-            row
-            for batch in batches
-            for source, content in zip(batch["source"], batch["content"])
-            for row in _imports_of(source, content)
-        )
-        return frames(rows, ["source", "seq", "module", "name"])
-
-    schema = "source string, seq bigint, module string, name string"
-    return streams.select("source", "content").mapInPandas(job, schema)
+    return per_file(_by_source(streams), _imports_of, IMPORTS)
 
 
 class _Cursor:
-    def __init__(self, data: bytes, at: int):
+    """A place in bytes or pages; what is skipped is not read."""
+
+    def __init__(self, data: bytes | Pages, at: int):
         self.data, self.at = data, at
 
     def number(self, form: str) -> int | None:
@@ -120,7 +115,7 @@ class _Cursor:
         if self.at + width > len(self.data):
             self.at = len(self.data)
             return None
-        (value,) = struct.unpack_from(form, self.data, self.at)
+        (value,) = struct.unpack(form, self.data[self.at : self.at + width])
         self.at += width
         return value
 
@@ -158,7 +153,8 @@ def _kv_of(path: str, cursor: _Cursor, count: int) -> Iterator[tuple]:
         if key_len is None:
             yield path, idx, offset, None, None, None, None, None, None, None, True
             return
-        key = cursor.data[cursor.at : cursor.at + min(key_len, 10_000)].decode("utf-8", "replace")
+        # A longer key is a violation by its length alone.
+        key = cursor.data[cursor.at : cursor.at + min(key_len, M.GGUF_MAX_STRING)].decode("utf-8", "replace")
         cursor.skip(key_len)
         kind = cursor.number("<I")
         value_at, text_len, item_kind, items = cursor.at, None, None, None
@@ -186,41 +182,27 @@ def _tensors_of(path: str, cursor: _Cursor, count: int) -> Iterator[tuple]:
         cursor.skip(name_len)
         n_dims = cursor.number("<I")
         dims = []
-        for _ in range(min(n_dims or 0, 16)):
+        for _ in range(min(n_dims or 0, DIMS)):
             dim = cursor.number("<Q")
             if dim is None:
                 break
             dims.append(_u64(dim))
         yield path, idx, offset, _u64(name_len), n_dims, dims
-        if n_dims is None or n_dims > 16:
+        if n_dims is None:
             return
-        cursor.skip(12)  # type and data offset
+        # Dimensions that are not listed, type and data offset.
+        cursor.skip(8 * max(0, n_dims - DIMS) + 12)
 
 
-def _directory(content: bytes) -> tuple[_Cursor, int, int] | None:
+def _directory(content: bytes | Pages) -> tuple[_Cursor, int, int] | None:
     if len(content) < 24 or content[:4] != b"GGUF":
         return None
-    n_tensors, n_kv = struct.unpack_from("<QQ", content, 8)
+    n_tensors, n_kv = struct.unpack("<QQ", content[8:24])
     return _Cursor(content, 24), n_tensors, n_kv
 
 
-def _per_file(entries, columns: list[str]):
-    """A job that runs ``entries(path, content)`` over files and frames the rows."""
-
-    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (
-            row
-            for batch in batches
-            for path, content in zip(batch["path"], batch["content"])
-            for row in entries(path, content)
-        )
-        return frames(rows, columns)
-
-    return job
-
-
 def gguf_kv(artifacts: DataFrame) -> DataFrame:
-    """Metadata directory rows of GGUF content; every entry, not the first thousand."""
+    """Metadata directory rows of GGUF files, by content or by path; every entry, not the first thousand."""
 
     def entries(path: str, content: bytes) -> Iterator[tuple]:
         found = _directory(content)
@@ -228,7 +210,7 @@ def gguf_kv(artifacts: DataFrame) -> DataFrame:
             cursor, _, n_kv = found
             yield from _kv_of(path, cursor, n_kv)
 
-    kv = artifacts.select("path", "content").mapInPandas(_per_file(entries, GGUF_KV.names), GGUF_KV)
+    kv = per_file(artifacts, entries, GGUF_KV)
     sensitive = F.exists(
         F.array(*[F.lit(k) for k in M.GGUF_SENSITIVE_KEYS]), lambda k: F.contains("key", k)
     )
@@ -236,7 +218,7 @@ def gguf_kv(artifacts: DataFrame) -> DataFrame:
 
 
 def gguf_tensors(artifacts: DataFrame) -> DataFrame:
-    """Tensor directory rows of GGUF content."""
+    """Tensor directory rows of GGUF files, by content or by path."""
 
     def entries(path: str, content: bytes) -> Iterator[tuple]:
         found = _directory(content)
@@ -249,7 +231,7 @@ def gguf_tensors(artifacts: DataFrame) -> DataFrame:
             if passed == n_kv and (not n_kv or (kind is not None and kind <= M.GGUF_MAX_TYPE)):
                 yield from _tensors_of(path, cursor, n_tensors)
 
-    return artifacts.select("path", "content").mapInPandas(_per_file(entries, GGUF_TENSORS.names), GGUF_TENSORS)
+    return per_file(artifacts, entries, GGUF_TENSORS)
 
 
 _TENSOR = "struct<dtype:string,shape:array<bigint>,data_offsets:array<bigint>>"

@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tamperlens.schema import CHUNKS
 from tamperlens.sources.frames import frames
 
 # Bytes of a chunk, and of the overlap behind it.
 CHUNK, HALO = 8 * 1024 * 1024, 1024
-FULL_UP_TO, HEAD, TAIL = 150 * 1024 * 1024, 100 * 1024 * 1024, 50 * 1024 * 1024
 
 
 # Schemes by which Spark names stores that Arrow knows by another.
@@ -40,35 +40,31 @@ def _open(path: str):
 
 
 def plan(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(path, length, chunk_no, offset) of every chunk; the file content is not read."""
+    """(path, length, chunk_no, offset, and what else ``files`` has) of every chunk; the file content is not read."""
     last = F.greatest(F.ceil(F.col("length") / F.lit(chunk)) - 1, F.lit(0)).cast("int")
-    return files.select("path", "length", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no")).withColumn(
+    return files.select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no")).withColumn(
         "offset", F.col("chunk_no").cast("bigint") * chunk
     )
 
 
-def head_and_tail(plan: DataFrame) -> DataFrame:
-    """Option: of files over 150 MB, only the first 100 MB and the last 50 MB."""
-    edge = (F.col("offset") < HEAD) | (F.col("offset") + CHUNK > F.col("length") - TAIL)
-    return plan.where((F.col("length") <= FULL_UP_TO) | edge)
-
-
-def read(plan: DataFrame, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:
-    """Chunks with their bytes; the chunks of one file are spread over the tasks."""
+def read(plan: DataFrame, chunk: int = CHUNK, halo: int = HALO, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks with their bytes, and the columns of the plan named by ``carry``; the chunks of one file are spread over the tasks."""
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
-            for path, number, offset in zip(batch["path"], batch["chunk_no"], batch["offset"]):
-                with _open(path) as handle:
-                    handle.seek(int(offset))
+            for row in zip(*(batch[c] for c in ("path", "chunk_no", "offset", *carry))):
+                with _open(row[0]) as handle:
+                    handle.seek(int(row[2]))
                     data = handle.read(chunk + halo)
-                yield path, number, offset, data[:chunk], data[chunk:]
+                yield *row[:3], data[:chunk], data[chunk:], *row[3:]
+
+    schema = StructType([*CHUNKS, *(plan.schema[c] for c in carry)])
 
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return frames(pieces(batches), CHUNKS.names, heavy=3)
+        return frames(pieces(batches), schema.names, heavy=3)
 
-    spread = plan.select("path", "chunk_no", "offset").repartition("path", "chunk_no")
-    return spread.mapInPandas(job, CHUNKS)
+    spread = plan.select("path", "chunk_no", "offset", *carry).repartition("path", "chunk_no")
+    return spread.mapInPandas(job, schema)
 
 
 def chunks(spark: SparkSession, path: str, chunk: int = CHUNK, halo: int = HALO) -> DataFrame:
@@ -97,3 +93,22 @@ def coverage(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("path").agg(
         F.count(F.lit(1)).alias("chunks"), F.sum(F.octet_length("bytes").cast("bigint")).alias("bytes_scanned")
     )
+
+
+def aligned(chunk: int, halo: int) -> Column:
+    """Byte view of a chunk from the first break at or behind its beginning to that of the next one.
+
+    Aligned texts of a file are its bytes, each once: what they count adds up, and
+    no line is cut unless it is longer than the overlap. Both sides of a border
+    look for the break in the same bytes.
+    """
+    reach = min(chunk, halo)
+
+    def lead(view: Column) -> Column:
+        seen = F.substring(view, 1, reach)
+        at = F.length(F.regexp_extract(seen, "^[^\\x00\\n]*", 0))
+        return F.when(at < F.length(seen), at).otherwise(0)
+
+    own, rest = (F.decode(c, "ISO-8859-1") for c in ("bytes", "halo"))
+    start = F.when(F.col("offset") > 0, lead(F.concat(own, rest))).otherwise(0)
+    return F.substr(F.concat(own, rest), start + 1, F.greatest(F.length(own) - start + lead(rest), F.lit(0)))

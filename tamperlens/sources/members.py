@@ -1,24 +1,26 @@
 """Members of zip and tar archives, in bulk.
 
-Listings are column expressions over the bytes. Only compressed content needs
-Python, and nothing is written to disk.
+Zip listings are column expressions over the bytes, of whole files or of chunks.
+Tar headers, each of which says where the next one is, and compressed content
+are read in Python, page by page; nothing is written to disk.
 """
 
 from __future__ import annotations
 
-import io
 import tarfile
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamperlens.functions import bytesx as B
 from tamperlens.operators.formats import archive_kind, magic_format
 from tamperlens.schema import MEMBER_CONTENTS, MEMBERS
-from tamperlens.sources.frames import frames
+from tamperlens.sources.paged import Pages, per_file, stream
+
+# Bytes of an unpacked member that are held at once.
+MEMBER = 256 * 1024 * 1024
 
 # Record signatures, and offsets of fields behind the signature.
 _CENTRAL, _LOCAL = r"PK\x01\x02", r"PK\x03\x04"
@@ -29,8 +31,17 @@ def _name(piece: Column, start: int, length: Column) -> Column:
     return B.utf8(F.encode(raw, "ISO-8859-1"))
 
 
+def _pieces(columns: list[str], signature: str) -> Column:
+    """What follows each signature. A chunk has those that begin in its own bytes, and reads on behind its end."""
+    if "halo" not in columns:
+        return F.split(B.latin1(F.col("content")), signature)
+    own = F.split(B.latin1(F.concat("bytes", F.substring("halo", 1, 3))), signature)
+    rest = B.latin1(F.substring("halo", 4, 2**30))
+    return F.concat(F.slice(own, F.lit(1), F.size(own) - 1), F.array(F.concat(F.element_at(own, -1), rest)))
+
+
 def _records(artifacts: DataFrame, signature: str, fixed: int) -> DataFrame:
-    pieces = F.split(B.latin1(F.col("content")), signature)
+    pieces = _pieces(artifacts.columns, signature)
     return (
         artifacts.select("path", F.posexplode(pieces).alias("ordinal", "piece"))
         # What precedes the first signature is no record; nor is a piece too short for one.
@@ -43,7 +54,8 @@ def zip_members(artifacts: DataFrame) -> DataFrame:
     """Central and local records of zip files.
 
     A signature may also occur inside stored data; a record counts only when
-    its fixed fields make sense.
+    its fixed fields make sense. Rows may be whole files (``content``) or chunks
+    (``bytes`` and ``halo``), whose records are numbered per chunk.
     """
     piece = F.col("piece")
     central = (
@@ -85,65 +97,18 @@ def zip_members(artifacts: DataFrame) -> DataFrame:
     )
 
 
-def _field(block: Column, start: int, width: int) -> Column:
-    raw = F.substring_index(F.substring(block, start + 1, width), "\x00", 1)
-    return B.utf8(F.encode(raw, "ISO-8859-1"))
+def _tar_entries(path: str, data: bytes | Pages) -> Iterator[tuple]:
+    """Headers one after another, the data between them skipped; long-name records belong to the header behind them."""
+    with tarfile.open(fileobj=stream(data), mode="r:*") as tar:
+        for i, m in enumerate(tar):
+            link = m.issym() or m.islnk()
+            yield path, i, m.name, "tar", m.mode, link, m.linkname if link else None
+            tar.members.clear()  # else the listing of a large archive is held
 
 
 def tar_members(artifacts: DataFrame) -> DataFrame:
-    """Headers of uncompressed tar files, found among the 512-byte blocks."""
-    text = B.latin1(F.col("content"))
-    blocks = F.sequence(F.lit(0), F.greatest(F.floor(F.length("_text") / 512) - 1, F.lit(0)).cast("int"))
-    rows = (
-        artifacts.select("path", text.alias("_text"))
-        .where(F.length("_text") >= 512)
-        .select(
-            "path",
-            F.posexplode(F.transform(blocks, lambda i: F.substr("_text", i * 512 + 1, F.lit(512)))).alias("ordinal", "block"),
-        )
-        # The header magic stands at offset 257; the checksum sets headers apart from data.
-        .where(F.substring("block", 258, 5) == "ustar")
-        .withColumn("stated", F.conv(F.regexp_extract(F.substring("block", 149, 8), "([0-7]+)", 1), 8, 10).cast("int"))
-        .where(F.col("stated") == _checksum(F.col("block")))
-    )
-    prefix, name = _field(F.col("block"), 345, 155), _field(F.col("block"), 0, 100)
-    kind = F.substring("block", 157, 1)
-    link = kind.isin("1", "2")
-    return rows.where(~kind.isin("g", "x", "L", "K")).select(
-        "path",
-        "ordinal",
-        F.when(F.length(prefix) > 0, F.concat(prefix, F.lit("/"), name)).otherwise(name).alias("entry"),
-        F.lit("tar").alias("origin"),
-        F.conv(F.regexp_extract(F.substring("block", 101, 8), "([0-7]+)", 1), 8, 10).cast("int").alias("unix_mode"),
-        link.alias("is_link"),
-        F.when(link, _field(F.col("block"), 157, 100)).alias("link_target"),
-    )
-
-
-def _checksum(block: Column) -> Column:
-    """Sum of the header bytes, the checksum field counted as blanks."""
-    blanked = F.concat(F.substring(block, 1, 148), F.lit(" " * 8), F.substring(block, 157, 356))
-    return F.aggregate(F.split(blanked, ""), F.lit(0), lambda total, c: total + F.coalesce(F.ascii(c), F.lit(0)))
-
-
-def _tar_entries(path: str, content: bytes) -> Iterator[tuple]:
-    try:
-        with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as tar:
-            for i, m in enumerate(tar):
-                link = m.issym() or m.islnk()
-                yield path, i, m.name, "tar", m.mode, link, m.linkname if link else None
-    except Exception:  # the members before the break stand; member_contents names the problem
-        return
-
-
-def _packed_tar_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = (
-        row
-        for batch in batches
-        for path, content in zip(batch["path"], batch["content"])
-        for row in _tar_entries(path, content)
-    )
-    return frames(rows, MEMBERS.names)
+    """Headers of tar files, packed or not, up to a break; ``member_contents`` names the problem."""
+    return per_file(artifacts, _tar_entries, MEMBERS)
 
 
 def members(artifacts: DataFrame) -> DataFrame:
@@ -151,46 +116,57 @@ def members(artifacts: DataFrame) -> DataFrame:
     kind = archive_kind(F.col("path"), magic_format(F.col("content")))
     sorted_out = artifacts.select("path", "content", kind.alias("kind")).where(F.col("kind").isNotNull())
     zips = zip_members(sorted_out.where(F.col("kind") == "zip"))
-    tars = tar_members(sorted_out.where(F.col("kind") == "tar"))
-    packed = sorted_out.where(F.col("kind").isin("tar:gz", "tar:bz2")).select("path", "content")
-    return zips.unionByName(tars).unionByName(packed.mapInPandas(_packed_tar_rows, MEMBERS))
+    return zips.unionByName(tar_members(sorted_out.where(F.col("kind") != "zip")))
+
 
+def _read(path: str, entry: str, file) -> tuple:
+    """One member, at most ``MEMBER`` bytes of it held; a larger one is named as an issue."""
+    data = file.read(MEMBER + 1)
+    if len(data) > MEMBER:
+        return path, entry, None, f"member of over {MEMBER} bytes was not unpacked"
+    return path, entry, data, None
 
-def _zip_contents(path: str, content: bytes) -> Iterator[tuple]:
-    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+
+def _zip_contents(path: str, data: bytes | Pages) -> Iterator[tuple]:
+    with zipfile.ZipFile(stream(data)) as archive:
         for info in archive.infolist():
             if not info.is_dir():
                 try:
-                    yield path, info.filename, archive.read(info), None
+                    with archive.open(info) as file:
+                        yield _read(path, info.filename, file)
                 except Exception as problem:  # one bad member must not fail the job
                     yield path, info.filename, None, str(problem)
 
 
-def _tar_contents(path: str, content: bytes) -> Iterator[tuple]:
-    with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
+def _tar_contents(path: str, data: bytes | Pages) -> Iterator[tuple]:
+    with tarfile.open(fileobj=stream(data), mode="r:*") as archive:
         for m in archive:
             if m.isfile():
-                yield path, m.name, archive.extractfile(m).read(), None
-
+                yield _read(path, m.name, archive.extractfile(m))
+            archive.members.clear()
 
-def _unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    for batch in batches:
-        for path, content, kind in zip(batch["path"], batch["content"], batch["kind"]):
-            try:
-                yield from (_zip_contents if kind == "zip" else _tar_contents)(path, content)
-            except Exception as problem:  # hostile files raise far more than the libraries' own errors
-                yield path, None, None, str(problem)
 
+def _contents(kind: str):
+    def entries(path: str, data: bytes | Pages) -> Iterator[tuple]:
+        try:
+            yield from (_zip_contents if kind == "zip" else _tar_contents)(path, data)
+        except Exception as problem:  # hostile files raise far more than the libraries' own errors
+            yield path, None, None, str(problem)
 
-def _content_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    return frames(_unpacked(batches), MEMBER_CONTENTS.names, heavy=2)
+    return entries
 
 
 def member_contents(artifacts: DataFrame) -> DataFrame:
-    """(path, entry, content, error): unpacked members, one row at a time."""
-    kind = archive_kind(F.col("path"), magic_format(F.col("content")))
-    rows = artifacts.select("path", "content", kind.alias("kind")).where(F.col("kind").isNotNull())
-    return rows.mapInPandas(_content_rows, MEMBER_CONTENTS)
+    """(path, entry, content, error): unpacked members, one row at a time.
+
+    Archives are read from ``content``, or from their path where there is a
+    ``kind`` (zip or tar) instead.
+    """
+    if "kind" not in artifacts.columns:
+        kind = archive_kind(F.col("path"), magic_format(F.col("content")))
+        artifacts = artifacts.select("path", "content", kind.alias("kind"))
+    zips, tars = artifacts.where(F.col("kind") == "zip"), artifacts.where(F.col("kind") != "zip")
+    return per_file(zips, _contents("zip"), MEMBER_CONTENTS, heavy=2).unionByName(per_file(tars, _contents("tar"), MEMBER_CONTENTS, heavy=2))
 
 
 def member_issues(contents: DataFrame, scanner: str = "zip_slip") -> DataFrame:
