@@ -1,128 +1,240 @@
 """Statistics of weight tensors.
 
-``weights`` has ``path``, ``layer``, ``pos`` and ``value``, one row per number.
-A single layer may hold a large share of the rows: statistics are partial
-aggregates, joins back are spread, and differences are taken block by block.
+``slices`` has ``path``, ``layer``, ``first_pos`` and ``values``: a tensor in
+pieces of bounded size. A slice is summed up where it is read (count, mean,
+squares, extremes, edge values, moments of its steps), summaries of a layer are
+combined, and a second reading with the layer's statistics gives a histogram
+and a count of far values per slice. No row stands for a single number but in
+the count of distinct values, which travel in arrays by hash.
+
+A caller whose slices are only described (where to read them) gives ``load``,
+which adds ``values``: then the descriptions are shuffled, never the numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamperlens.functions.findings import as_findings
-from tamperlens.functions.groups import capped_lists, join_per_key
-from tamperlens.functions.ordered import previous_value
+from tamperlens.functions.groups import capped_lists
 
 KEYS = ["path", "layer"]
 MIN_VALUES = 100
+# Values of a slice, and distinct values that one task compares at a time.
+SLICE, BUCKET = 1 << 20, 1 << 16
+FAR = 3.0
+_FLAT = 1e-10
 
+Loader = Callable[[DataFrame], DataFrame]
 
-def layer_stats(weights: DataFrame) -> DataFrame:
-    value = F.col("value").cast("double")
-    return weights.groupBy(*KEYS).agg(
-        F.count("value").alias("n"),
-        F.avg(value).alias("mean"),
-        F.stddev_pop(value).alias("std"),
-        F.min(value).alias("low"),
-        F.max(value).alias("high"),
-    ).where(F.col("n") >= MIN_VALUES)
 
+def sliced(rows: DataFrame, width: int = SLICE) -> DataFrame:
+    """Slices out of single numbers (path, layer, pos, value); nulls are left out."""
+    numbered = F.array_sort(F.collect_list(F.struct("pos", F.col("value").cast("double").alias("value"))))
+    return (
+        rows.where(F.col("value").isNotNull())
+        .groupBy(*KEYS, F.floor(F.col("pos") / F.lit(width)).alias("_part"))
+        .agg(F.min("pos").alias("first_pos"), numbered.alias("_v"))
+        .select(*KEYS, "first_pos", F.transform("_v", lambda v: v["value"]).alias("values"))
+    )
 
-def _with_stats(weights: DataFrame, stats: DataFrame) -> DataFrame:
-    return join_per_key(weights, stats, KEYS, F.col("pos"))
 
+def _moments(values: np.ndarray) -> tuple[int, float, float]:
+    if not len(values):
+        return 0, 0.0, 0.0
+    mean = float(values.mean())
+    return len(values), mean, float(((values - mean) ** 2).sum())
 
-def outliers(weights: DataFrame, threshold: float = 3.0, share: float = 0.01) -> DataFrame:
-    """Layers in which over 1 % of the values lie beyond three deviations."""
-    joined = _with_stats(weights, layer_stats(weights).where(F.col("std") >= 1e-10))
-    z = F.abs((F.col("value").cast("double") - F.col("mean")) / F.col("std"))
-    return (
-        joined.groupBy(*KEYS)
-        .agg(
-            F.count_if(z > threshold).alias("outlier_count"),
-            (F.count_if(z > threshold) / F.count("value")).alias("outlier_ratio"),
-            F.max(z).alias("max_zscore"),
-        )
-        .where(F.col("outlier_ratio") > share)
+
+_SUMMARY = pa.schema([
+    ("n", pa.int64()), ("mean", pa.float64()), ("m2", pa.float64()), ("low", pa.float64()), ("high", pa.float64()),
+    ("first", pa.float64()), ("last", pa.float64()), ("step_n", pa.int64()), ("step_mean", pa.float64()), ("step_m2", pa.float64()),
+])
+
+
+def _per_slice(batches: Iterable[pa.RecordBatch], keep: list[str], make: Callable, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of ``make(values, row)`` beside the columns kept; one slice is held at a time."""
+    for batch in batches:
+        rows = batch.select([c for c in batch.schema.names if c != "values"]).to_pylist()
+        out = [make(batch.column("values")[k].values.to_numpy(zero_copy_only=False).astype(np.float64), row) for k, row in enumerate(rows)]
+        if out:
+            made = [pa.array(c, f.type) for c, f in zip(zip(*out), schema)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, *schema.names])
+
+
+def _summed_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(values: np.ndarray, _: dict) -> tuple:
+        return *_moments(values), float(values.min()), float(values.max()), float(values[0]), float(values[-1]), *_moments(np.diff(values))
+
+    return _per_slice(batches, [*KEYS, "first_pos"], make, _SUMMARY)
+
+
+def summaries(slices: DataFrame) -> DataFrame:
+    """One row of statistics per slice."""
+    kinds = ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'double'}" for f in _SUMMARY)
+    return slices.where(F.size("values") > 0).select(*KEYS, "first_pos", "values").mapInArrow(_summed_up, f"path string, layer string, first_pos long, {kinds}")
+
+
+def _combined(parts: Column) -> tuple[Column, Column, Column]:
+    """Count, mean and population deviation out of (n, mean, m2) of disjoint parts."""
+    add = lambda value, kind: F.aggregate(parts, F.lit(0).cast(kind), lambda total, p: total + value(p))
+    n = add(lambda p: p["n"], "bigint")
+    mean = add(lambda p: p["n"] * p["mean"], "double") / n
+    m2 = add(lambda p: p["m2"] + p["n"] * (p["mean"] - mean) * (p["mean"] - mean), "double")
+    return n, mean, F.when(n > 0, F.sqrt(m2 / n))
+
+
+def layer_stats(slices: DataFrame) -> DataFrame:
+    """(path, layer, n, mean, std, low, high, steps, diff_std) of every layer; steps run across slices."""
+    part = lambda p, n, mean, m2: F.struct(n.cast("bigint").alias("n"), mean.alias("mean"), m2.alias("m2"))
+    gathered = summaries(slices).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("first_pos", *_SUMMARY.names))).alias("s"))
+    values = F.transform("s", lambda p: part(p, p["n"], p["mean"], p["m2"]))
+    inside = F.transform("s", lambda p: part(p, p["step_n"], p["step_mean"], p["step_m2"]))
+    behind = F.slice("s", F.lit(2), F.size("s"))
+    between = F.zip_with(F.slice("s", F.lit(1), F.size("s") - 1), behind, lambda a, b: part(a, F.lit(1), b["first"] - a["last"], F.lit(0.0)))
+    told = gathered.select(*KEYS, "s", values.alias("v"), F.concat(inside, between).alias("d"))
+    n, mean, std = _combined(F.col("v"))
+    steps, _, diff_std = _combined(F.col("d"))
+    return told.select(
+        *KEYS, n.alias("n"), mean.alias("mean"), std.alias("std"),
+        F.array_min(F.transform("s", lambda p: p["low"])).alias("low"), F.array_max(F.transform("s", lambda p: p["high"])).alias("high"),
+        steps.alias("steps"), diff_std.alias("diff_std"),
+    )
+
+
+def bins_of(n: Column) -> Column:
+    return F.least(F.lit(100), F.floor(n / 10)).cast("bigint")
+
+
+_MEASURED = pa.schema([
+    ("far", pa.int64()), ("max_z", pa.float64()), ("filled", pa.list_(pa.int64())),
+    ("distinct", pa.list_(pa.struct([("bucket", pa.int32()), ("held", pa.list_(pa.float64()))]))),
+])
+
+
+def _measure(threshold: float):
+    def make(values: np.ndarray, row: dict) -> tuple:
+        far, most, filled, distinct = 0, None, [], []
+        if row["std"] >= _FLAT:
+            z = np.abs((values - row["mean"]) / row["std"])
+            far, most = int((z > threshold).sum()), float(z.max())
+        if row["high"] - row["low"] >= _FLAT and row["bins"]:
+            slot = np.floor((values - row["low"]) * row["bins"] / (row["high"] - row["low"])).astype(np.int64)
+            filled = np.bincount(np.minimum(slot, row["bins"] - 1), minlength=row["bins"])
+        if row["buckets"]:
+            # A zero and its negative are one value.
+            held = np.unique(values + 0.0)
+            bits = held.view(np.uint64)
+            bucket = ((bits ^ (bits >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(row["buckets"])
+            distinct = [{"bucket": int(b), "held": held[bucket == b]} for b in np.unique(bucket)]
+        return far, most, filled, distinct
+
+    return lambda batches: _per_slice(batches, KEYS, make, _MEASURED)
+
+
+def measured(slices: DataFrame, stats: DataFrame, threshold: float = FAR, unique_above: int = 1000, load: Loader | None = None) -> DataFrame:
+    """Per slice: far values, the largest deviation, counts per bin, and distinct values by hash for layers of over ``unique_above`` values."""
+    known = stats.select(
+        *KEYS, "mean", "std", "low", "high", bins_of(F.col("n")).alias("bins"),
+        F.when(F.col("n") > unique_above, F.ceil(F.col("n") / BUCKET)).otherwise(0).cast("bigint").alias("buckets"),
+    )
+    joined = slices.join(known, KEYS)
+    held = joined if load is None else load(joined)
+    kinds = "far long, max_z double, filled array<long>, distinct array<struct<bucket: int, held: array<double>>>"
+    names = [*KEYS, "values", "mean", "std", "low", "high", "bins", "buckets"]
+    return held.where(F.size("values") > 0).select(*names).mapInArrow(_measure(threshold), f"path string, layer string, {kinds}")
+
+
+def _outliers(found: DataFrame, stats: DataFrame, share: float) -> DataFrame:
+    per_layer = found.groupBy(*KEYS).agg(F.sum("far").alias("outlier_count"), F.max("max_z").alias("max_zscore"))
+    ratio = F.col("outlier_count") / F.col("n")
+    large = stats.where((F.col("n") >= MIN_VALUES) & (F.col("std") >= _FLAT)).select(*KEYS, "n")
+    return per_layer.join(large, KEYS).select(*KEYS, "outlier_count", ratio.alias("outlier_ratio"), "max_zscore").where(F.col("outlier_ratio") > share)
+
+
+def _uniqueness(found: DataFrame, stats: DataFrame, share: float, more_than: int) -> DataFrame:
+    per_bucket = found.select(*KEYS, F.inline("distinct")).groupBy(*KEYS, "bucket").agg(F.size(F.array_distinct(F.flatten(F.collect_list("held")))).cast("bigint").alias("u"))
+    counts = per_bucket.groupBy(*KEYS).agg(F.sum("u").alias("unique_values"))
+    large = stats.where(F.col("n") > more_than).select(*KEYS, F.col("n").alias("total_values"))
+    ratio = F.col("unique_values") / F.col("total_values")
+    return counts.join(large, KEYS).withColumn("uniqueness_ratio", ratio).where(F.col("uniqueness_ratio") < share)
+
+
+def _stepped(stats: DataFrame, tolerance: float) -> DataFrame:
+    return stats.where((F.col("steps") > 100) & (F.col("diff_std") < tolerance)).select(*KEYS, "steps", "diff_std")
+
+
+def _entropy(found: DataFrame, stats: DataFrame, threshold: float) -> DataFrame:
+    large = stats.where(F.col("n") >= MIN_VALUES)
+    constant = large.where(F.col("high") - F.col("low") < _FLAT).select(
+        *KEYS, F.lit(0.0).alias("entropy"), F.lit(None).cast("bigint").alias("bins"), F.lit("constant_values").alias("issue")
     )
+    added = F.aggregate(
+        F.slice("all", F.lit(2), F.size("all")), F.element_at("all", 1), lambda total, more: F.zip_with(total, more, lambda a, b: a + b)
+    )
+    filled = found.where(F.size("filled") > 0).groupBy(*KEYS).agg(F.collect_list("filled").alias("all")).select(*KEYS, added.alias("filled"))
+    varied = large.where(F.col("high") - F.col("low") >= _FLAT).select(*KEYS, "n", bins_of(F.col("n")).alias("bins"))
+    joined = filled.join(varied, KEYS)
+    share = lambda m: m / F.col("n")
+    bits = F.aggregate(F.filter("filled", lambda m: m > 0), F.lit(0.0), lambda total, m: total - share(m) * F.log2(share(m)))
+    measured = joined.select(*KEYS, (bits / F.log2(F.col("bins"))).alias("entropy"), "bins", F.lit("low_entropy").alias("issue"))
+    return constant.unionByName(measured.where(F.col("entropy") < threshold))
+
+
+def _loaded(slices: DataFrame, load: Loader | None) -> DataFrame:
+    return slices if load is None else load(slices)
 
 
-def uniqueness(weights: DataFrame, share: float = 0.5, more_than: int = 1000) -> DataFrame:
+def outliers(slices: DataFrame, threshold: float = FAR, share: float = 0.01, load: Loader | None = None) -> DataFrame:
+    """Layers in which over 1 % of the values lie beyond three deviations."""
+    stats = layer_stats(_loaded(slices, load))
+    large = stats.where((F.col("n") >= MIN_VALUES) & (F.col("std") >= _FLAT))
+    return _outliers(measured(slices, large, threshold, 2**62, load), large, share)
+
+
+def uniqueness(slices: DataFrame, share: float = 0.5, more_than: int = 1000, load: Loader | None = None) -> DataFrame:
     """Large layers in which fewer than half of the values differ.
 
-    Equal values are counted together first, so no task sees a whole layer.
+    Distinct values of a slice go to as many tasks as the layer needs, so none sees a whole layer.
     """
-    return (
-        weights.groupBy(*KEYS, "value")
-        .agg(F.count("value").alias("_n"))
-        .groupBy(*KEYS)
-        .agg(F.count("value").alias("unique_values"), F.sum("_n").alias("total_values"))
-        .withColumn("uniqueness_ratio", F.col("unique_values") / F.col("total_values"))
-        .where((F.col("uniqueness_ratio") < share) & (F.col("total_values") > more_than))
-    )
+    stats = layer_stats(_loaded(slices, load)).where(F.col("n") > more_than)
+    return _uniqueness(measured(slices, stats, FAR, more_than, load), stats, share, more_than)
 
 
-def constant_step(weights: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+def constant_step(slices: DataFrame, tolerance: float = 1e-6, load: Loader | None = None) -> DataFrame:
     """Layers whose successive differences hardly vary."""
-    steps = previous_value(
-        weights.select(*KEYS, "pos", F.col("value").cast("double").alias("value")),
-        KEYS, "pos", F.col("value"), "before",
-    ).withColumn("step", F.col("value") - F.col("before"))
-    return (
-        steps.groupBy(*KEYS)
-        .agg(F.count("step").alias("steps"), F.stddev_pop("step").alias("diff_std"))
-        .where((F.col("steps") > 100) & (F.col("diff_std") < tolerance))
-    )
+    return _stepped(layer_stats(_loaded(slices, load)), tolerance)
 
 
-def entropy(weights: DataFrame, threshold: float = 0.5) -> DataFrame:
+def entropy(slices: DataFrame, threshold: float = 0.5, load: Loader | None = None) -> DataFrame:
     """Layers whose histogram carries less than half of the possible entropy."""
-    stats = layer_stats(weights)
-    constant = stats.where(F.col("high") - F.col("low") < 1e-10).select(
-        *KEYS, F.lit(0.0).alias("entropy"), F.lit(None).cast("bigint").alias("bins"), F.lit("constant_values").alias("issue")
-    )
-    varied = stats.where(F.col("high") - F.col("low") >= 1e-10).withColumn(
-        "bins", F.least(F.lit(100), F.floor(F.col("n") / 10)).cast("bigint")
-    )
-    value = F.col("value").cast("double")
-    slot = F.least(
-        F.floor((value - F.col("low")) * F.col("bins") / (F.col("high") - F.col("low"))).cast("bigint"),
-        F.col("bins") - 1,
-    )
-    filled = (
-        _with_stats(weights, varied)
-        .groupBy(*KEYS, "n", "bins", slot.alias("slot"))
-        .agg(F.count("value").alias("filled"))
-    )
-    share = F.col("filled") / F.col("n")
-    measured = (
-        filled.groupBy(*KEYS, "bins")
-        .agg((-F.sum(share * F.log2(share)) / F.log2(F.col("bins"))).alias("entropy"))
-        .where(F.col("entropy") < threshold)
-        .select(*KEYS, "entropy", "bins", F.lit("low_entropy").alias("issue"))
-    )
-    return constant.unionByName(measured)
+    stats = layer_stats(_loaded(slices, load))
+    return _entropy(measured(slices, stats.where(F.col("n") >= MIN_VALUES), FAR, 2**62, load), stats, threshold)
 
 
-def anomalies(weights: DataFrame) -> DataFrame:
+def anomalies(slices: DataFrame, load: Loader | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """(path, layer, type) of every anomaly; a layer has at most one per type.
 
-    The step test is not run for layers that already lack distinct values.
+    The numbers are read twice: for the statistics of layers, and with them.
+    ``keep`` stores the two small tables, so that each reading happens once.
     """
-    repeated = uniqueness(weights).select(*KEYS)
-    large_enough = layer_stats(weights).select(*KEYS)
-    stepped = constant_step(weights).select(*KEYS).join(repeated, KEYS, "left_anti")
-    kinds = {
-        "outlier_weights": outliers(weights).select(*KEYS),
-        "unusual_pattern": repeated.unionByName(stepped.join(large_enough, KEYS, "left_semi")),
-        "low_entropy": entropy(weights).select(*KEYS),
-    }
-    found = None
+    keep = keep or (lambda df, name: df)
+    stats = keep(layer_stats(_loaded(slices, load)), "layer_stats")
+    found = keep(measured(slices, stats, load=load), "measured")
+    repeated = _uniqueness(found, stats, 0.5, 1000)
+    # A layer that lacks distinct values is not tested for steps: one anomaly of the kind.
+    patterns = repeated.select(*KEYS).unionByName(_stepped(stats.where(F.col("n") >= MIN_VALUES), 1e-6).select(*KEYS)).distinct()
+    kinds = {"outlier_weights": _outliers(found, stats, 0.01), "unusual_pattern": patterns, "low_entropy": _entropy(found, stats, 0.5)}
+    out = None
     for kind, rows in kinds.items():
-        tagged = rows.withColumn("type", F.lit(kind))
-        found = tagged if found is None else found.unionByName(tagged)
-    return found
+        tagged = rows.select(*KEYS, F.lit(kind).alias("type"))
+        out = tagged if out is None else out.unionByName(tagged)
+    return out
 
 
 def verdicts(anomalies: DataFrame) -> DataFrame:

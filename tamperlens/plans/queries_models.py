@@ -369,27 +369,32 @@ _ENTROPY = """bins AS (SELECT *, least(100, n // 10) AS k FROM st),
    UNION ALL SELECT path, layer, 0.0, 'constant_values' FROM st WHERE hi - lo < 1e-10)"""
 
 
+def _slices(spark, sf_dir):
+    """Numbers of all tables in slices: a layer has several."""
+    return weights.sliced(I.weights(spark, sf_dir), 2048)
+
+
 @query("wt_outliers", f"WITH {_W}, {_OUTLIERS} SELECT path, layer, outlier_count, round(outlier_ratio, 6) AS outlier_ratio, round(max_zscore, 4) AS max_zscore FROM o")
 def wt_outliers(spark, sf_dir):
-    found = weights.outliers(I.weights(spark, sf_dir))
+    found = weights.outliers(_slices(spark, sf_dir))
     return found.select("path", "layer", "outlier_count", F.round("outlier_ratio", 6).alias("outlier_ratio"), F.round("max_zscore", 4).alias("max_zscore"))
 
 
 @query("wt_uniqueness", f"WITH {_W}, {_UNIQUE} SELECT path, layer, unique_values, total_values, round(uniqueness_ratio, 6) AS uniqueness_ratio FROM u")
 def wt_uniqueness(spark, sf_dir):
-    found = weights.uniqueness(I.weights(spark, sf_dir))
+    found = weights.uniqueness(_slices(spark, sf_dir))
     return found.select("path", "layer", "unique_values", "total_values", F.round("uniqueness_ratio", 6).alias("uniqueness_ratio"))
 
 
 @query("wt_constant_step", f"WITH {_W}, {_STEPS} SELECT path, layer, steps, round(diff_std, 6) AS diff_std FROM c")
 def wt_constant_step(spark, sf_dir):
-    found = weights.constant_step(I.weights(spark, sf_dir))
+    found = weights.constant_step(_slices(spark, sf_dir))
     return found.select("path", "layer", "steps", F.round("diff_std", 6).alias("diff_std"))
 
 
 @query("wt_entropy", f"WITH {_W}, {_ENTROPY} SELECT path, layer, round(entropy, 6) AS entropy, issue FROM e")
 def wt_entropy(spark, sf_dir):
-    return weights.entropy(I.weights(spark, sf_dir)).select("path", "layer", F.round("entropy", 6).alias("entropy"), "issue")
+    return weights.entropy(_slices(spark, sf_dir)).select("path", "layer", F.round("entropy", 6).alias("entropy"), "issue")
 
 
 @query(
@@ -408,7 +413,7 @@ def wt_entropy(spark, sf_dir):
     + " FROM g",
 )
 def wt_verdict(spark, sf_dir):
-    found = weights.verdicts(weights.anomalies(I.weights(spark, sf_dir)))
+    found = weights.verdicts(weights.anomalies(_slices(spark, sf_dir)))
     return flat(found, "total_anomalies", "outlier_layers", "unusual_patterns", "low_entropy_regions", "sample_anomalies")
 
 
@@ -421,13 +426,13 @@ def wt_safetensors(spark, sf_dir):
     slices = binary.tensor_slices(binary.tensor_table(metadata.safetensors_headers(files)), values=2)
     at, size = (F.col("begin") + 1).cast("int"), F.col("size").cast("int")
     held = slices.join(files.select("path", "content"), "path").withColumn("data", F.substr("content", at, size))
-    return binary.decode_slices(held).withColumn("value", F.col("value").cast("double"))
+    return binary.exploded(binary.decode_slices(held)).withColumn("value", F.col("value").cast("double"))
 
 
 @query("wt_pytorch", f"SELECT 'z/' || file || '.zip' AS path, entry AS layer, 0 AS pos, value FROM ({_LINES}) WHERE contains(entry, 'data')")
 def wt_pytorch(spark, sf_dir):
     contents = members.member_contents(I.zip_files(spark, sf_dir))
-    return binary.pytorch_weights(contents).withColumn("value", F.col("value").cast("double"))
+    return binary.exploded(binary.pytorch_slices(contents)).withColumn("value", F.col("value").cast("double"))
 
 
 # --- metadata -------------------------------------------------------------------

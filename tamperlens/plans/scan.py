@@ -224,10 +224,12 @@ def _parsed(routed: DataFrame, wanted: list[str], kept, listed, contents, marks,
     if "backdoor" in wanted:
         files = taken_by("backdoor").where(suffix == ".safetensors")
         headers = metadata.safetensors_headers(files).where(F.col("text").isNotNull())
-        numbers = binary.read_slices(binary.tensor_slices(binary.tensor_table(headers))).unionByName(
-            binary.pytorch_weights(inner.where(suffix.isin(".pth", ".pt")))
-        )
-        found.append(weights.verdicts(weights.anomalies(kept(numbers, "weights"))))
+        tensors = binary.tensor_slices(binary.tensor_table(headers))
+        # Slices of plain files are described and read where they are needed; those of archives are unpacked already.
+        read = weights.anomalies(tensors, load=binary.read_slices, keep=lambda df, name: kept(df, f"tensors_{name}"))
+        unpacked = kept(binary.pytorch_slices(inner.where(suffix.isin(".pth", ".pt"))), "storages")
+        inside = weights.anomalies(unpacked, keep=lambda df, name: kept(df, f"storages_{name}"))
+        found.append(weights.verdicts(read.unionByName(inside)))
     if "external_ref" in wanted:
         found.append(refs.reference_findings(_member_texts(inner, B.latin1)))
     return found

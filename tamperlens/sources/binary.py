@@ -13,8 +13,10 @@ from decimal import Decimal
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tamperlens.operators.pickles import MEMO_GET, MEMO_PUT, STRING_PUSH
 from tamperlens.rules import markers as M
@@ -282,53 +284,109 @@ def _decode(data: bytes, dtype: str) -> np.ndarray:
     return (np.frombuffer(data, "<u2").astype("uint32") << 16).view("float32")
 
 
-def _exploded(slices: DataFrame) -> DataFrame:
+def exploded(slices: DataFrame) -> DataFrame:
+    """(path, layer, pos, value): one row per number, for small tables."""
     return slices.select("path", "layer", "first_pos", F.posexplode("values").alias("_i", "value")).select(
         "path", "layer", (F.col("first_pos") + F.col("_i")).alias("pos"), "value"
     )
 
 
-def read_slices(slices: DataFrame) -> DataFrame:
-    """Weights of the slices, read by range; the slices of one tensor go to many tasks."""
+def _with_values(slices: DataFrame, read) -> DataFrame:
+    """Add ``values`` to every slice, one slice held at a time; ``read`` gives the bytes of a row."""
+    names = [c for c in slices.columns if c != "data"]
+    schema = StructType([*(slices.schema[c] for c in names), WEIGHT_SLICES["values"]])
 
-    def values(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.itertuples():
-                with _open(r.path) as handle:
-                    handle.seek(int(r.begin))
-                    yield r.path, r.layer, r.first_pos, _decode(handle.read(int(r.size)), r.dtype)
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                row = {c: one.column(c)[0].as_py() for c in one.schema.names if c in ("path", "dtype", "begin", "size", "data")}
+                values = pa.array(_decode(read(row), row["dtype"]), pa.float32())
+                listed = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in names), listed], [*names, "values"])
 
-    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return frames(values(batches), WEIGHT_SLICES.names, heavy=3)
+    return slices.mapInArrow(job, schema)
+
+
+def read_slices(slices: DataFrame) -> DataFrame:
+    """Slices with their values, read by range, beside their other columns; the slices of one tensor go to many tasks."""
 
-    spread = slices.repartition("path", "layer", "first_pos")
-    return _exploded(spread.mapInPandas(job, WEIGHT_SLICES))
+    def read(row: dict) -> bytes:
+        with _open(row["path"]) as handle:
+            handle.seek(row["begin"])
+            return handle.read(row["size"])
+
+    return _with_values(slices.repartition("path", "layer", "first_pos"), read)
 
 
 def decode_slices(slices: DataFrame) -> DataFrame:
-    """Weights of slices whose bytes are a column ``data``."""
+    """Slices with their values out of their bytes, a column ``data``."""
+    return _with_values(slices, lambda row: row["data"])
 
-    def values(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-        for batch in batches:
-            for r in batch.itertuples():
-                yield r.path, r.layer, r.first_pos, _decode(r.data, r.dtype)
+
+# Number formats of storage classes; whole numbers are indices and counters, no weights.
+_STORAGES = {"FloatStorage": "F32", "HalfStorage": "F16", "BFloat16Storage": "BF16"}
+
+
+def _storages_of(path: str, entry: str, content: bytes) -> Iterator[tuple]:
+    """(path, member, class) of the storages that a model's pickle names, read off its persistent ids; nothing is built.
+
+    A persistent id is a tuple of the word ``storage``, a class, a key, a place and
+    a size. Only strings and classes are followed, through the memo as well.
+    """
+    memo: dict[str, tuple | None] = {}
+    stored, last = 0, []
+    for _, _, _, op, arg in _ops_of(path, content):
+        if op == "MEMOIZE" or op in MEMO_PUT:
+            memo[str(stored) if op == "MEMOIZE" else arg] = last[-1] if last else None
+            stored += 1
+            continue
+        if op == "GLOBAL" and arg and " " in arg:
+            last.append(("class", arg.split(" ", 1)[1]))
+        elif op == "STACK_GLOBAL" and len(last) > 1 and last[-1] is not None:
+            last[-2:] = [("class", last[-1][1])]
+        elif op in STRING_PUSH:
+            last.append(("text", arg))
+        elif op in MEMO_GET:
+            last.append(memo.get(arg))
+        elif op == "BINPERSID":
+            for k in range(len(last) - 3, -1, -1):
+                if last[k] == ("text", "storage") and last[k + 1] and last[k + 1][0] == "class" and last[k + 2] and last[k + 2][0] == "text":
+                    yield path, f"{entry.rpartition('/')[0]}/data/{last[k + 2][1]}".lstrip("/"), last[k + 1][1]
+                    break
+            last = []
+        elif op != "BININT" and op != "BININT1" and op != "BININT2" and op != "MARK" and not op.startswith("TUPLE"):
+            last.append(None)
+        last = last[-12:]
+
+
+def storage_classes(member_contents: DataFrame) -> DataFrame:
+    """(path, entry, storage): the class of each stored tensor of PyTorch archives."""
+    schema = "path string, entry string, storage string"
 
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return frames(values(batches), WEIGHT_SLICES.names, heavy=3)
+        rows = (row for batch in batches for found in zip(batch["path"], batch["entry"], batch["content"]) for row in _storages_of(*found))
+        return frames(rows, ["path", "entry", "storage"])
 
-    return _exploded(slices.select("path", "layer", "dtype", "first_pos", "data").mapInPandas(job, WEIGHT_SLICES))
+    named = member_contents.where(F.endswith("entry", F.lit("data.pkl")) & F.col("content").isNotNull())
+    return named.select("path", "entry", "content").mapInPandas(job, schema).distinct()
 
 
-def pytorch_weights(member_contents: DataFrame, window: int = 1024 * 1024, values: int = 1 << 16) -> DataFrame:
-    """Weights of storage members, their first MiB read as 32-bit floats."""
-    data = F.substring("content", 1, window)
-    count = F.floor(F.octet_length("data") / 4)
+def pytorch_slices(member_contents: DataFrame, values: int = 1 << 16) -> DataFrame:
+    """Slices of storage members, whole, in the number format that the model's pickle names (32-bit floats if it names none)."""
+    known = F.create_map(*[F.lit(x) for pair in _STORAGES.items() for x in pair])
+    kinds = storage_classes(member_contents).select("path", F.col("entry").alias("_entry"), "storage").groupBy("path", "_entry").agg(F.min("storage").alias("storage"))
     named = F.contains("entry", F.lit("data")) | F.endswith("entry", F.lit(".npy"))
+    stored = member_contents.where(named & F.col("content").isNotNull()).select("path", "entry", "content")
+    typed = stored.join(kinds.withColumnRenamed("path", "_path"), (F.col("path") == F.col("_path")) & (F.col("entry") == F.col("_entry")), "left")
+    dtype = F.when(F.col("storage").isNull(), "F32").otherwise(F.try_element_at(known, F.col("storage")))
+    width = F.when(F.col("dtype") == "F32", 4).otherwise(2)
     cut = (
-        member_contents.where(named & F.col("content").isNotNull())
-        .select("path", F.col("entry").alias("layer"), F.lit("F32").alias("dtype"), data.alias("data"))
-        .where(count > 0)
-        .withColumn("first_pos", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1, F.lit(values).cast("bigint"))))
-        .withColumn("data", F.substr("data", (F.col("first_pos") * 4 + 1).cast("int"), F.lit(values * 4)))
+        typed.select("path", F.col("entry").alias("layer"), dtype.alias("dtype"), "content")
+        .where(F.col("dtype").isNotNull())
+        .withColumn("_n", F.floor(F.octet_length("content") / width))
+        .where("_n > 0")
+        .withColumn("first_pos", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(values).cast("bigint"))))
+        .select("path", "layer", "dtype", "first_pos", F.substr("content", (F.col("first_pos") * width + 1).cast("int"), (width * values).cast("int")).alias("data"))
     )
     return decode_slices(cut)
