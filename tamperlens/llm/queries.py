@@ -102,6 +102,24 @@ SELECT conv_id, count(*) AS n_turns,
 FROM turns GROUP BY conv_id
 """
 
+def _segment_end(k: int) -> str:
+    return f"(greatest(n - {templates.LEADING}, 0) * {k} // {templates.SEGMENTS})"
+
+
+def _segment(s: int) -> str:
+    return f"array_to_string(t[{templates.LEADING} + {_segment_end(s)} + 1:{templates.LEADING} + {_segment_end(s + 1)}], ' ')"
+
+
+def _template(open_: tuple[int, ...]) -> str:
+    """A template as text, open segments marked; null where a segment is empty or too little would stay."""
+    sizes = [f"({_segment_end(s + 1)} - {_segment_end(s)})" for s in open_]
+    text = " || chr(1) || ".join("chr(2)" if s in open_ else f"s{s}" for s in range(templates.SEGMENTS))
+    if not open_:
+        return f"leaf || chr(1) || {text}"
+    tests = " AND ".join([f"5 * (n - ({' + '.join(sizes)})) >= 4 * n", *(f"{x} > 0" for x in sizes)])
+    return f"CASE WHEN {tests} THEN leaf || chr(1) || {text} END"
+
+
 OP8_SQL = rf"""
 WITH parts AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents
@@ -111,22 +129,13 @@ WITH parts AS (
   FROM parts
 ), seen AS (SELECT DISTINCT doc_id, masked FROM masked WHERE masked <> ''),
 members AS (
-  SELECT len(string_split(masked, ' ')) || ' ' || array_to_string(string_split(masked, ' ')[1:{templates.LEADING}], ' ') AS leaf,
-         masked, len(string_split(masked, ' ')) AS n, count(*) AS docs
-  FROM seen GROUP BY ALL
-), totals AS (SELECT leaf, sum(docs) AS total FROM members GROUP BY leaf HAVING sum(docs) >= {templates.MIN_DOCS}),
-tokens AS (
-  SELECT leaf, masked, docs, total, unnest(string_split(masked, ' ')) AS token, unnest(range(n)) AS pos FROM members JOIN totals USING (leaf)
-), agreeing AS (
-  SELECT leaf, pos, token FROM tokens WHERE token <> '{templates.FIELD}' GROUP BY leaf, pos, token, total HAVING 2 * sum(docs) >= total
-), agreed AS (SELECT leaf, masked, count(*) AS same FROM tokens JOIN agreeing USING (leaf, pos, token) GROUP BY leaf, masked),
-judged AS (
-  SELECT leaf, masked, docs, 5 * coalesce(same, 0) >= 4 * n AS fits FROM members JOIN totals USING (leaf) LEFT JOIN agreed USING (leaf, masked)
-), fitting AS (SELECT leaf, sum(docs) AS fitting FROM judged WHERE fits GROUP BY leaf),
-gone AS (
-  SELECT DISTINCT masked FROM judged LEFT JOIN fitting USING (leaf)
-  WHERE docs >= {templates.MIN_DOCS} OR (fits AND fitting >= {templates.MIN_DOCS})
-)
+  SELECT masked, string_split(masked, ' ') AS t, len(string_split(masked, ' ')) AS n, count(*) AS docs,
+         len(string_split(masked, ' ')) || ' ' || array_to_string(string_split(masked, ' ')[1:{templates.LEADING}], ' ') AS leaf
+  FROM seen GROUP BY masked
+), cut AS (SELECT *, {', '.join(f'{_segment(s)} AS s{s}' for s in range(templates.SEGMENTS))} FROM members),
+keyed AS (SELECT masked, docs, unnest([{', '.join(map(_template, templates.OPEN))}]) AS key FROM cut),
+often AS (SELECT key FROM keyed WHERE key IS NOT NULL GROUP BY key HAVING sum(docs) >= {templates.MIN_DOCS}),
+gone AS (SELECT DISTINCT masked FROM keyed WHERE key IN (SELECT key FROM often))
 SELECT doc_id, CAST(count(*) FILTER (WHERE m.masked <> '') AS BIGINT) AS n_lines, CAST(count(g.masked) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE g.masked IS NULL), '')) AS text_sha256
 FROM masked m LEFT JOIN gone g USING (masked) GROUP BY doc_id

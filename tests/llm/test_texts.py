@@ -66,6 +66,23 @@ def test_recurring_templates_go_and_other_lines_stay(spark):
         assert kept[k].n_lines == 4
 
 
+def test_a_leaf_keeps_several_templates(spark):
+    shapes = ["we are here selling {} shoes at good prices today in town", "we are here looking for {} friends who like to play outdoors", "we are here because of {} rain that fell upon us yesterday"]
+    colours = ["red", "blue", "green", "brown", "black", "white"]
+    rows = [(10 * s + k, shape.format(c) + f"\nquite unlike others {c} {s} of course {c * 2}") for s, shape in enumerate(shapes) for k, c in enumerate(colours)]
+    # Two spots vary in a line of ten tokens; more than a fifth of the tokens is too much.
+    rows += [(100 + k, f"dear {c} customer of ours the offer ends {c[:2]} soon") for k, c in enumerate(colours)]
+    rows += [(200 + k, f"the old man {c} saw {c * 2} dog {c[::-1]}") for k, c in enumerate(colours)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id: r for r in templates.drop_lines(docs).collect()}
+    assert all(kept[d].n_dropped == 1 and kept[d].text.startswith("quite unlike") for d, _ in rows if d < 100)
+    assert all(kept[d].n_dropped == 0 for d, _ in rows if d >= 200)
+    leads = {d: kept[d].n_dropped for d, _ in rows if 100 <= d < 200}
+    assert set(leads.values()) == {0}  # a varying leading token is a leaf of its own
+    other = [(d, t.replace("dear ", "dear dear dear ").replace("customer", "you and")) for d, t in rows if 100 <= d < 200]
+    assert {r.n_dropped for r in templates.drop_lines(spark.createDataFrame(other, "doc_id long, text string")).collect()} == {1}
+
+
 def test_awkward_lines(awkward, empty):
     rows = templates.drop_lines(awkward, min_docs=2).collect()
     assert len(rows) == awkward.count()
