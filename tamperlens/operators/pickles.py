@@ -1,19 +1,24 @@
 """Pickle opcode analytics over an opcode table. Nothing is ever loaded.
 
 ``opcodes`` has ``source``, ``seq`` (0, 1, 2, ... within a source), ``pos``,
-``opcode`` and ``arg``. One source may hold a large share of all rows, so every
-order-dependent step uses the block-wise helpers and equi-joins.
+``opcode`` and ``arg``. One source may hold a large share of all rows, so what
+depends on order is summed up per block of rows, and the summaries of a source
+are joined by one walk over them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamperlens.functions import bytesx as B
 from tamperlens.functions.findings import as_findings
 from tamperlens.functions.groups import capped_lists
-from tamperlens.functions.ordered import annotate, boxed, carry_forward, running_sum
+from tamperlens.functions.ordered import WIDTH
 from tamperlens.rules import markers as M
 
 # Opcodes by what they do to the stack and the memo.
@@ -26,92 +31,208 @@ MEMO_PUT = ["PUT", "BINPUT", "LONG_BINPUT"]
 _IMPORTS = ["GLOBAL", "STACK_GLOBAL"]
 
 
-def _values_pushed(opcodes: DataFrame) -> DataFrame:
-    """Rows that push a string or fill or read the memo, with ``text`` they push.
+# Opcodes that move strings, name imports or call them; the rest says nothing here.
+_SPEAKING = [*STRING_PUSH, *MEMO_GET, *MEMO_PUT, "MEMOIZE", *_IMPORTS, "REDUCE"]
+_KEYS = ["source", "blk"]
 
-    A put stores the string pushed by the row before it. A get gives the latest
-    string stored under its index before it, so a memo slot that is written
-    twice is read as the interpreter would read it.
-    """
-    pushed = F.when(F.col("opcode").isin(STRING_PUSH), F.col("arg"))
-    is_put = F.col("opcode").isin([*MEMO_PUT, "MEMOIZE"])
-    with_previous = annotate(
-        opcodes.select("source", "seq", "opcode", "arg"),
-        ["source"],
-        "seq",
-        sums={"puts": is_put.cast("bigint")},
-        carries={"before": (boxed(pushed), False)},
-    )
-    slot = (
-        F.when(F.col("opcode") == "MEMOIZE", F.col("puts") - 1)
-        .when(F.col("opcode").isin([*MEMO_PUT, *MEMO_GET]), F.expr("try_cast(arg AS bigint)"))
-    )
-    slots = (
-        with_previous.withColumn("slot", slot)
-        .withColumn("stored", F.when(is_put, F.struct(F.col("before")["v"].alias("text"))))
-        .where(F.col("slot").isNotNull())
-        .select("source", "seq", "slot", "opcode", "stored")
-    )
-    read = (
-        carry_forward(slots, ["source", "slot"], "seq", F.col("stored"), "latest")
-        .where(F.col("opcode").isin(MEMO_GET))
-        .select("source", "seq", F.col("latest")["text"].alias("text"))
-    )
-    direct = opcodes.where(F.col("opcode").isin(STRING_PUSH)).select(
-        "source", "seq", F.col("arg").alias("text")
-    )
-    return direct.unionByName(read.where(F.col("text").isNotNull()))
 
+def _blocks(opcodes: DataFrame, width: int) -> DataFrame:
+    """(source, blk, ops, puts before the block, string pushed last before it): runs of opcodes, bounded in number.
 
-def imports(opcodes: DataFrame) -> DataFrame:
+    Only two small facts cross from block to block here: how many memo slots were
+    filled, and whether the row in front of the block pushes a string.
+    """
+    # The others only stand between a string and a put.
+    speaks = F.col("opcode").isin(_SPEAKING)
+    op = F.struct("seq", F.when(speaks, F.col("opcode")).otherwise("").alias("opcode"), F.when(speaks, F.col("arg")).alias("arg"))
+    blocks = (
+        opcodes.groupBy("source", F.floor(F.col("seq") / F.lit(width)).cast("bigint").alias("blk"))
+        .agg(F.array_sort(F.collect_list(op)).alias("ops"), F.count_if(F.col("opcode").isin([*MEMO_PUT, "MEMOIZE"])).alias("puts"))
+    )
+    last = F.element_at("ops", -1)
+    before = Window.partitionBy("source").orderBy("blk")
+    facts = blocks.select("source", "blk", "puts", last.alias("last")).select(
+        F.col("source").alias("_source"), F.col("blk").alias("_blk"),
+        F.coalesce(F.sum("puts").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("filled"),
+        F.lag("last").over(before).alias("front"),
+    )
+    joined = blocks.join(facts, (F.col("source") == F.col("_source")) & (F.col("blk") == F.col("_blk")))
+    return joined.select("source", "blk", "ops", "filled", "front")
+
+
+class _Run:
+    """The opcodes of one block in order, with the memo they fill. ``known`` holds strings of slots filled before."""
+
+    def __init__(self, row: dict) -> None:
+        self.ops, self.filled, self.front = row["ops"], row["filled"], row["front"]
+        self.known = {m["slot"]: m["text"] for m in row.get("memo") or []}
+        self.memo: dict[int, str | None] = {}
+
+    def steps(self):
+        """(opcode row, slot, string or None): a put has the slot it fills, a get the slot it reads."""
+        previous, filled = self.front, self.filled
+        for op in self.ops:
+            name, slot = op["opcode"], None
+            if name == "MEMOIZE" or name in MEMO_PUT:
+                slot = filled if name == "MEMOIZE" else _integer(op["arg"])
+                filled += 1
+                pushed = previous is not None and previous["opcode"] in STRING_PUSH
+                text = previous["arg"] if pushed else None
+                if slot is not None:
+                    self.memo[slot] = text
+            elif name in MEMO_GET:
+                slot = _integer(op["arg"])
+                text = self.memo[slot] if slot in self.memo else self.known.get(slot)
+            else:
+                text = op["arg"]
+            yield op, slot, text
+            previous = op
+
+
+def _integer(text: str | None) -> int | None:
+    try:
+        return int(text)
+    except (TypeError, ValueError):
+        return None
+
+
+def _memo_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a block leaves in its slots, and the slots it reads without having filled them."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            run, read = _Run(row), set()
+            for op, slot, _ in run.steps():
+                if op["opcode"] in MEMO_GET and slot is not None and slot not in run.memo:
+                    read.add(slot)
+            out = [(slot, text, True) for slot, text in run.memo.items()] + [(slot, None, False) for slot in read]
+            n = len(out)
+            if n:
+                slots, texts, fills = zip(*out)
+                columns = [pa.array([row["source"]] * n, pa.string()), pa.array([row["blk"]] * n, pa.int64()), pa.array(slots, pa.int64()), pa.array(texts, pa.string()), pa.array(fills)]
+                yield pa.RecordBatch.from_arrays(columns, ["source", "blk", "slot", "text", "fills"])
+
+
+_NAMED = "struct<seq: bigint, module: string, name: string>"
+_SUMMARY = (
+    f"source string, blk bigint, imports array<{_NAMED}>, calls array<struct<module: string, name: string, n: bigint>>, "
+    "opening array<struct<kind: string, seq: bigint, module: string, name: string, n: bigint>>, "
+    "tail array<string>, called struct<module: string, name: string>"
+)
+_PAIR = pa.struct([("module", pa.string()), ("name", pa.string())])
+_SUMMARY_KINDS = {
+    "source": pa.string(), "blk": pa.int64(),
+    "imports": pa.list_(pa.struct([("seq", pa.int64()), ("module", pa.string()), ("name", pa.string())])),
+    "calls": pa.list_(pa.struct([("module", pa.string()), ("name", pa.string()), ("n", pa.int64())])),
+    "opening": pa.list_(pa.struct([("kind", pa.string()), ("seq", pa.int64()), ("module", pa.string()), ("name", pa.string()), ("n", pa.int64())])),
+    "tail": pa.list_(pa.string()), "called": _PAIR,
+}
+
+
+def _summary(row: dict) -> dict:
+    """Imports and calls of a block, as far as it knows them.
+
+    While fewer than two strings were pushed in the block, an import may need
+    strings from before it; until an import is known, calls may belong to one
+    before it. Such events stand in ``opening``, in order: ``i`` a known import,
+    ``p`` one that lacks strings (``name`` is the one string there is, ``n`` how many
+    there are), ``c`` a number of calls.
+    """
+    strings: list[str | None] = []
+    imports, opening, calls = [], [], Counter()
+    current, pushed = None, 0
+
+    def met(seq: int, module: str, name: str) -> tuple[str, str]:
+        imports.append({"seq": seq, "module": module, "name": name})
+        if open_:
+            opening.append({"kind": "i", "seq": None, "module": module, "name": name, "n": None})
+        return module, name
+
+    for op, slot, text in _Run(row).steps():
+        name, open_ = op["opcode"], pushed < 2 or current is None
+        if name in STRING_PUSH or (name in MEMO_GET and text is not None):
+            strings = [*strings, text][-2:]
+            pushed += 1
+        elif name == "GLOBAL" and text and " " in text:
+            current = met(op["seq"], *text.split(" ", 1))
+        elif name == "STACK_GLOBAL":
+            if pushed < 2:
+                opening.append({"kind": "p", "seq": op["seq"], "module": None, "name": strings[-1] if strings else None, "n": pushed})
+                current = None
+            elif None not in strings:
+                current = met(op["seq"], *strings)
+        elif name == "REDUCE":
+            if not open_:
+                calls[current] += 1
+            elif opening and opening[-1]["kind"] == "c":
+                opening[-1]["n"] += 1
+            else:
+                opening.append({"kind": "c", "seq": None, "module": None, "name": None, "n": 1})
+    called = None if current is None else dict(zip(("module", "name"), current))
+    told = [{"module": m, "name": n, "n": k} for (m, n), k in calls.items()]
+    return {"source": row["source"], "blk": row["blk"], "imports": imports, "calls": told, "opening": opening, "tail": strings, "called": called}
+
+
+def _summaries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            made = _summary(row)
+            yield pa.RecordBatch.from_arrays([pa.array([made[c]], kind) for c, kind in _SUMMARY_KINDS.items()], list(_SUMMARY_KINDS))
+
+
+def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events that wait for earlier blocks, resolved by one walk over the summaries of a source."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            strings: list[str | None] = []
+            current, found, calls = None, [], Counter()
+            for block in row["blocks"]:
+                for event in block["opening"]:
+                    if event["kind"] == "i":
+                        current = event["module"], event["name"]
+                    elif event["kind"] == "p":
+                        pair = [*strings, *[event["name"]] * min(event["n"], 1)][-2:]
+                        if len(pair) == 2 and None not in pair:
+                            current = tuple(pair)
+                            found.append({"seq": event["seq"], "module": pair[0], "name": pair[1]})
+                    elif current is not None:
+                        calls[current] += event["n"]
+                strings = [*strings, *block["tail"]][-2:]
+                if block["called"]:
+                    current = block["called"]["module"], block["called"]["name"]
+            told = [{"module": m, "name": n, "n": k} for (m, n), k in calls.items()]
+            columns = [pa.array([v], _SUMMARY_KINDS[c]) for c, v in (("source", row["source"]), ("imports", found), ("calls", told))]
+            yield pa.RecordBatch.from_arrays(columns, ["source", "imports", "calls"])
+
+
+def block_summaries(opcodes: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(source, imports, calls): imports in order of naming, and how often each is called, over blocks and over sources.
+
+    Blocks of a source are read apart. Strings that a block reads from memo slots it
+    did not fill come from the last block before it that did; what else depends on
+    earlier blocks is settled by one walk over a row per block.
+    """
+    blocks = _blocks(opcodes, width)
+    memo = blocks.mapInArrow(_memo_rows, "source string, blk bigint, slot bigint, text string, fills boolean")
+    before = Window.partitionBy("source", "slot").orderBy("blk", "fills").rowsBetween(Window.unboundedPreceding, -1)
+    latest = F.last(F.when(F.col("fills"), F.struct("text")), ignorenulls=True).over(before)
+    read = memo.withColumn("latest", latest).where(~F.col("fills") & F.col("latest.text").isNotNull())
+    known = read.groupBy(F.col("source").alias("_source"), F.col("blk").alias("_blk")).agg(F.collect_list(F.struct("slot", F.col("latest.text").alias("text"))).alias("memo"))
+    with_memo = blocks.join(known, (F.col("source") == F.col("_source")) & (F.col("blk") == F.col("_blk")), "left")
+    summaries = with_memo.select("source", "blk", "ops", "filled", "front", "memo").mapInArrow(_summaries, _SUMMARY)
+    told = summaries.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("blk", "opening", "tail", "called"))).alias("blocks"))
+    settled = told.mapInArrow(_joined, f"source string, imports array<{_NAMED}>, calls array<struct<module: string, name: string, n: bigint>>")
+    return summaries.select("source", "imports", "calls").unionByName(settled)
+
+
+def imports(opcodes: DataFrame, width: int = WIDTH) -> DataFrame:
     """(source, seq, module, name) of GLOBAL and STACK_GLOBAL.
 
-    A STACK_GLOBAL takes the last two strings pushed before it. Pushes are
-    numbered per source; the two it needs are found by their numbers.
+    A STACK_GLOBAL takes the last two strings pushed before it. A put stores the
+    string pushed by the row before it; a get pushes the latest string stored
+    under its slot, so a slot that is written twice is read as the interpreter
+    would read it.
     """
-    named = opcodes.where((F.col("opcode") == "GLOBAL") & F.contains("arg", F.lit(" "))).select(
-        "source",
-        "seq",
-        F.substring_index("arg", " ", 1).alias("module"),
-        F.regexp_replace("arg", r"(?s)^[^ ]* ", "").alias("name"),
-    )
-    stacked = opcodes.where(F.col("opcode") == "STACK_GLOBAL").select(
-        "source", "seq", F.lit(None).cast("string").alias("text"), F.lit(True).alias("takes")
-    )
-    pushes = _values_pushed(opcodes).withColumn("takes", F.lit(False))
-    lined_up = running_sum(
-        pushes.unionByName(stacked),
-        ["source"],
-        "seq",
-        (~F.col("takes")).cast("bigint"),
-        "number",
-    )
-    # Each push is offered as the name of its own number and the module of the next.
-    offered = (
-        lined_up.where(~F.col("takes"))
-        .select(
-            "source",
-            F.explode(
-                F.array(
-                    F.struct(F.col("number").alias("number"), F.lit("name").alias("role"), F.col("text")),
-                    F.struct((F.col("number") + 1).alias("number"), F.lit("module").alias("role"), F.col("text")),
-                )
-            ).alias("o"),
-        )
-        .groupBy("source", F.col("o.number").alias("number"))
-        .agg(
-            F.max(F.when(F.col("o.role") == "module", F.col("o.text"))).alias("module"),
-            F.max(F.when(F.col("o.role") == "name", F.col("o.text"))).alias("name"),
-        )
-    )
-    resolved = (
-        lined_up.where("takes")
-        .select("source", "seq", "number")
-        .join(offered, ["source", "number"])
-        .where(F.col("module").isNotNull() & F.col("name").isNotNull())
-        .select("source", "seq", "module", "name")
-    )
-    return named.unionByName(resolved)
+    return block_summaries(opcodes, width).select("source", F.inline("imports"))
 
 
 def triage_imports(contents: DataFrame) -> DataFrame:
@@ -266,24 +387,11 @@ def verdicts(opcodes: DataFrame, marks: DataFrame | None = None, found: DataFram
     return judged.unionByName(hidden)
 
 
-def call_summary(opcodes: DataFrame) -> DataFrame:
+def call_summary(opcodes: DataFrame, width: int = WIDTH) -> DataFrame:
     """(source, call, calls): dangerous callables whose import a REDUCE follows.
 
     Each REDUCE is taken to call the latest import before it in its source.
     """
-    found = imports(opcodes).select(
-        "source", "seq", F.struct("module", "name").alias("target"), F.lit(False).alias("reduce")
-    )
-    reduces = opcodes.where(F.col("opcode") == "REDUCE").select(
-        "source", "seq", F.lit(None).cast("struct<module:string,name:string>").alias("target"), F.lit(True).alias("reduce")
-    )
-    followed = carry_forward(
-        found.unionByName(reduces), ["source"], "seq", F.col("target"), "called", include_current=False
-    ).where(F.col("reduce") & F.col("called").isNotNull())
-    module, name = F.col("called")["module"], F.col("called")["name"]
-    dangerous = module.isin(M.CALL_MODULES) | name.isin(M.CALL_FUNCTIONS)
-    return (
-        followed.where(dangerous)
-        .groupBy("source", _pair(module, name).alias("call"))
-        .agg(F.count(F.lit(1)).alias("calls"))
-    )
+    called = block_summaries(opcodes, width).select("source", F.inline("calls"))
+    dangerous = F.col("module").isin(M.CALL_MODULES) | F.col("name").isin(M.CALL_FUNCTIONS)
+    return called.where(dangerous).groupBy("source", _pair(F.col("module"), F.col("name")).alias("call")).agg(F.sum("n").alias("calls"))

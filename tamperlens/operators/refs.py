@@ -131,12 +131,13 @@ def _sorted(items: Column) -> Column:
     return F.array_sort(F.array_distinct(items))
 
 
-def reference_columns(found: Column, internal: Column, allowed: list[str] = M.SAFE_DOMAINS) -> Column:
-    """Hits of one text from its arrays of URLs and of internal URLs.
+def _some(items: Column) -> Column:
+    """The array in an array, unless it is empty: what follows is computed only then."""
+    return F.filter(F.array(items), lambda g: F.size(g) > 0)
 
-    The lists stand in the row, so they are counted and cut there: no shuffle.
-    """
-    files = F.filter(found, lambda u: F.startswith(F.lower(u), F.lit("file://")))
+
+def unknown_domain_columns(found: Column, allowed: list[str] = M.SAFE_DOMAINS) -> Column:
+    """Hit of the URLs of one text that lie on domains not expected there."""
     with_hosts = F.transform(found, lambda u: F.struct(u.alias("url"), host_of(u).alias("host")))
     outside = F.filter(
         with_hosts,
@@ -162,6 +163,16 @@ def reference_columns(found: Column, internal: Column, allowed: list[str] = M.SA
             advice="Check these references; put expected domains on the allow-list.", cwe="CWE-829",
         )
 
+    return F.transform(_some(outside), lines)
+
+
+def reference_columns(found: Column, internal: Column, allowed: list[str] = M.SAFE_DOMAINS) -> Column:
+    """Hits of one text from its arrays of URLs and of internal URLs.
+
+    The lists stand in the row, so they are counted and cut there: no shuffle.
+    """
+    files = F.filter(found, lambda u: F.startswith(F.lower(u), F.lit("file://")))
+
     def listed(kind: str, score: float, urls: Column, key: str, words: str, advice: str, cwe: str) -> Column:
         return hit(
             "external_ref", kind, "High", score, F.concat(F.size(urls).cast("string"), F.lit(words)),
@@ -172,15 +183,14 @@ def reference_columns(found: Column, internal: Column, allowed: list[str] = M.SA
         "External Reference - SSRF Vector", 7.5, internal, "ssrf_urls", " URLs lead to internal hosts",
         "Load only where internal services cannot be reached.", "CWE-918",
     )
-    some = lambda items: F.filter(F.array(items), lambda g: F.size(g) > 0)
     file_hits = F.transform(
-        some(files),
+        _some(files),
         lambda g: listed(
             "External Reference - Local File Access", 7.0, g, "file_urls", " file URLs",
             "Check that these paths are meant.", "CWE-22",
         ),
     )
-    return F.concat(hits_if((F.size(internal) > 0, ssrf_hit)), file_hits, F.transform(some(outside), lines))
+    return F.concat(hits_if((F.size(internal) > 0, ssrf_hit)), file_hits, unknown_domain_columns(found, allowed))
 
 
 def urls_in(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tamperlens.functions.findings import flat
+from tamperlens.functions.findings import findings_of, flat
 from tamperlens.functions.groups import capped_lists
 from tamperlens.operators import algebra, graphs, refs, textscan
 from tamperlens.plans import inputs as I
@@ -191,7 +191,9 @@ def ref_allowed_domain(spark, sf_dir):
     + f" FROM urls WHERE {_OUTSIDE} GROUP BY source",
 )
 def ref_unknown_domains(spark, sf_dir):
-    found = refs.unknown_domains(refs.urls(I.derive(spark, sf_dir, I.LINKED)), _ALLOWED)
+    # Each text is a source of its own: its URLs are listed and counted in the row.
+    arrays = refs.url_arrays(I.derive(spark, sf_dir, I.LINKED))
+    found = findings_of(arrays, refs.unknown_domain_columns(F.col("found"), _ALLOWED))
     return flat(found, "domains", "sample_urls", "n_domains", "total_urls")
 
 
@@ -201,11 +203,11 @@ _BASE_RULES = R.ALL_RULES
 
 
 def base_findings(spark, sf_dir):
-    """Findings of three detectors over all texts."""
-    texts = I.derive(spark, sf_dir, I.TEXTS)
-    return algebra.union(
-        [textscan.rules_scan(texts, _BASE_RULES), textscan.secrets_scan(texts), graphs.graph_findings(texts)]
-    )
+    """Findings of three detectors over all texts: one projection reads a text once, its hits leave together."""
+    rows = I.derive(spark, sf_dir, I.TEXTS).select("path", "source", "text", F.lower("text").alias("_lower"))
+    text, lowered = F.col("text"), F.col("_lower")
+    hits = F.concat(textscan.rule_columns(text, lowered, _BASE_RULES), textscan.secret_columns(text, lowered), graphs.graph_columns(text))
+    return findings_of(rows, hits)
 
 
 BASE_SQL = f"""findings AS MATERIALIZED (
