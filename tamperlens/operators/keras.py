@@ -40,7 +40,7 @@ def _text_of(node: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(node, path, "string"), F.lit(""))
 
 
-def config_nodes(texts: DataFrame, depth: int = jsonwalk.DEPTH) -> DataFrame:
+def config_nodes(texts: DataFrame, depth: int | None = None) -> DataFrame:
     """Objects of a configuration: (path, source, config_path, class_name, module, node)."""
     nodes = jsonwalk.objects(texts, M.KERAS_CHILD_KEYS, depth).where(~F.col("open"))
     return nodes.select(

@@ -23,7 +23,7 @@ MAX_HEADER = 100 * 1024 * 1024
 HEADER_WINDOW = 1024 * 1024
 
 
-def json_fields(texts: DataFrame, depth: int = jsonwalk.DEPTH) -> DataFrame:
+def json_fields(texts: DataFrame, depth: int | None = None) -> DataFrame:
     """String values of object members: (path, source, json_path, name, value).
 
     Strings that stand directly in lists are not fields.

@@ -245,3 +245,22 @@ def test_checkpoint_folder_comes_from_the_session(spark):
         assert incremental.checkpoint_dir(spark, "x", lambda: "/tmp/base/") == "/tmp/base/x"
         with pytest.raises(ValueError):
             incremental.checkpoint_dir(spark, "x")
+
+
+def test_json_of_any_depth(spark):
+    from tamperlens.operators import jsonwalk, keras
+
+    text = '{"class_name": "Lambda", "config": {"function": "x"}}'
+    for _ in range(50):
+        text = '{"class_name": "Model", "config": {"layers": [' + text + "]}}"
+    rows = texts(spark, text, '{"a": [], "b": {}, "c": [[["deep", 1, null]]], "d": "x"}', "not json", '"lone"', "[" * 5000)
+    nodes = keras.config_nodes(rows)
+    layers = nodes.where("class_name = 'Lambda'").collect()
+    assert [(r.source, r.config_path) for r in layers] == [("t0", "/config/layers[0]" * 50)]
+    assert nodes.where("source = 't0' and class_name = 'Model'").count() == 50
+    found = {(r.source, r.json_path, r.name, r.in_list, r.value) for r in jsonwalk.leaves(rows.where("source <> 't0'")).collect()}
+    assert found == {
+        ("t1", "/a", "a", False, None), ("t1", "/b", "b", False, None), ("t1", "/c[0][0][0]", None, True, "deep"), ("t1", "/c[0][0][1]", None, True, None),
+        ("t1", "/c[0][0][2]", None, True, None), ("t1", "/d", "d", False, "x"), ("t3", "", None, False, "lone"),
+    }
+    assert sorted(r.path for r in jsonwalk.parse_issues(rows, "metadata").collect()) == ["t2", "t4"]
