@@ -24,7 +24,7 @@ def files(spark, model_dir):
 def findings(files, tmp_path_factory):
     # Scanned once; the tests read the written table.
     out = str(tmp_path_factory.mktemp("out") / "findings")
-    scan(files).write.parquet(out)
+    scan(files, work=str(tmp_path_factory.mktemp("work"))).write.parquet(out)
     return files.sparkSession.read.schema(FINDINGS).parquet(out).cache()
 
 
@@ -96,9 +96,9 @@ def test_issues(files):
     assert ("saved", "graph_injection") in rows
 
 
-def test_empty_input(spark, files):
+def test_empty_input(spark, files, tmp_path):
     nothing = files.where("false")
-    assert scan(nothing).count() == 0
+    assert scan(nothing, work=str(tmp_path)).count() == 0
 
 
 def test_gate_and_summary(findings):
