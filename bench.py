@@ -20,6 +20,7 @@ HEADLINE = [
     "ref_unknown_domains",
     "find_summary",
     "sarif_results",
+    "sarif_documents",
     "fmt_resolve",
     "route_scanners",
     "poly_embedded",
@@ -27,11 +28,14 @@ HEADLINE = [
     "zip_header_mismatch",
     "pkl_opcodes",
     "pkl_imports",
+    "pkl_verdict",
+    "pkl_call_summary",
     "gguf_tensor_count",
     "gguf_kv_dir",
     "gguf_cumulative",
     "wt_outliers",
     "wt_entropy",
+    "wt_verdict",
     "meta_json_fields",
     "keras_config_nodes",
     "dep_typosquat",
