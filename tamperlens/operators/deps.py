@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tamperlens.functions.findings import as_findings
 from tamperlens.functions.groups import small_table
@@ -140,12 +136,47 @@ def _normal(name: Column) -> Column:
     return F.translate(F.lower(name), "-_", "")
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Matching-blocks similarity of two names; no built-in computes it."""
-    return pd.Series(
-        [SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64"
-    )
+def _substrings(text: Column) -> Column:
+    """All substrings, longest first, those of a length by their start."""
+    of_length = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
+    return F.flatten(F.transform(F.sequence(F.length(text), F.lit(1), F.lit(-1)), of_length))
+
+
+def sequence_ratio(left: Column, right: Column) -> Column:
+    """Matching-blocks similarity of two names: twice the letters in matching blocks, over all letters.
+
+    A fold over a list of open pairs of texts: the longest common block of the
+    last pair (earliest on the left, then on the right) is counted, and what lies
+    before and behind it on both sides is open again. The number of pairs is
+    bounded by the letters of the shorter name.
+    """
+    pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    longest = lambda p: F.get(F.filter(_substrings(p["x"]), lambda s: F.contains(p["y"], s)), F.lit(0))
+    state = lambda pairs, matched: F.struct(pairs.alias("open"), matched.alias("matched"))
+
+    def split(p: Column, block: Column) -> Column:
+        """The pairs before and behind a block, where both sides have letters."""
+        i, j = F.instr(p["x"], block), F.instr(p["y"], block)
+        before = pair(F.substring(p["x"], F.lit(1), i - 1), F.substring(p["y"], F.lit(1), j - 1))
+        size = F.length(block)
+        behind = pair(F.substring(p["x"], i + size, F.length(p["x"])), F.substring(p["y"], j + size, F.length(p["y"])))
+        return F.filter(F.array(before, behind), lambda q: (q["x"] != "") & (q["y"] != ""))
+
+    def step(now: Column, _: Column) -> Column:
+        def counted(found: Column) -> Column:
+            rest = F.slice(now["open"], F.lit(1), F.size(now["open"]) - 1)
+            none = state(rest, now["matched"])
+            some = state(F.concat(rest, split(found["pair"], found["block"])), now["matched"] + F.length(found["block"]))
+            return F.when(found["block"].isNull(), none).otherwise(some)
+
+        last = F.element_at(now["open"], -1)
+        found = F.transform(F.array(last), lambda p: F.struct(p.alias("pair"), longest(p).alias("block")))
+        return F.when(F.size(now["open"]) == 0, now).otherwise(F.get(F.transform(found, counted), F.lit(0)))
+
+    steps = F.sequence(F.lit(1), F.least(F.length(left), F.length(right)) * 2 + 1)
+    start = state(F.filter(F.array(pair(left, right)), lambda q: (q["x"] != "") & (q["y"] != "")), F.lit(0))
+    matched = F.aggregate(steps, start, step)["matched"]
+    return matched * 2.0 / (F.length(left) + F.length(right))
 
 
 def popular_packages(spark: SparkSession, names: list[str] = M.POPULAR_PACKAGES) -> DataFrame:
@@ -206,8 +237,8 @@ def lookalikes(names: DataFrame, popular: DataFrame) -> DataFrame:
     """(name, target, similarity) of names that imitate a popular one.
 
     A ratio of 0.85 allows an insert/delete distance of 0.15 times the letters
-    of both names, and the edit distance is no larger: pairs beyond that never
-    reach Python.
+    of both names, and the edit distance is no larger: pairs beyond that are
+    not compared block by block.
     """
     pairs = _candidates(names, popular)
     allowed = F.floor((F.length("plain") + F.length("target")) * 0.15 + 1e-9)
@@ -215,7 +246,7 @@ def lookalikes(names: DataFrame, popular: DataFrame) -> DataFrame:
         F.col("edit").isNotNull() | (F.levenshtein("plain", "target") <= allowed)
     )
     scored = near.withColumn(
-        "score", F.greatest(F.coalesce("edit", F.lit(0.0)), sequence_ratio("plain", "target"))
+        "score", F.greatest(F.coalesce("edit", F.lit(0.0)), sequence_ratio(F.col("plain"), F.col("target")))
     ).where(F.col("score") >= THRESHOLD)
     return _best(scored, "score")
 

@@ -148,7 +148,31 @@ def dep_typosquat_edits(spark, sf_dir):
     return deps.single_edit_lookalikes(packages, deps.popular_packages(spark))
 
 
-@query("dep_typosquat")
+# Matching blocks by recursion over rows: a pair of texts leaves the pairs before and behind its longest common block.
+_BLOCK = """list_filter(flatten(list_transform(range(length(x), 0, -1), lambda n: list_transform(range(1, length(x) - n + 2),
+    lambda i: substr(x, i, n)))), lambda s: contains(y, s))[1]"""
+_RATIOS = f"""near AS (SELECT DISTINCT s, t FROM fresh JOIN popular ON least(length(s), length(t)) * 2 >= 0.85 * (length(s) + length(t))),
+cut(s, t, x, y, block) AS (SELECT s, t, x, y, {_BLOCK} FROM (SELECT s, t, s AS x, t AS y FROM near)
+  UNION ALL SELECT s, t, x, y, {_BLOCK} FROM (
+    SELECT s, t, CASE side WHEN 0 THEN substr(x, 1, instr(x, block) - 1) ELSE substr(x, instr(x, block) + length(block)) END AS x,
+      CASE side WHEN 0 THEN substr(y, 1, instr(y, block) - 1) ELSE substr(y, instr(y, block) + length(block)) END AS y
+    FROM cut, (VALUES (0), (1)) AS sides(side) WHERE block IS NOT NULL) WHERE x <> '' AND y <> ''),
+ratios AS (SELECT s, t, 2.0 * sum(coalesce(length(block), 0)) / (length(s) + length(t)) AS ratio FROM cut GROUP BY s, t),
+alike AS (SELECT name, popular, greatest(ratio, coalesce(similarity, 0)) AS similarity
+  FROM fresh JOIN ratios USING (s) JOIN popular USING (t) LEFT JOIN edits USING (name, popular)
+  UNION ALL SELECT name, popular, similarity FROM edits),
+imitations AS (SELECT name, popular AS target, similarity FROM alike WHERE similarity >= 0.85
+  QUALIFY row_number() OVER (PARTITION BY name ORDER BY similarity DESC, popular) = 1)"""
+_SIMILAR = f"WITH RECURSIVE {_DEPS}, {_EDITS}, {_RATIOS}"
+
+
+@query(
+    "dep_typosquat",
+    f"{_SIMILAR} SELECT "
+    + finding("source", "dependency", "'Dependency Hijacking - Typosquatting'", "'High'", "8.0", "CWE-494",
+              suspicious_package="name", likely_target="target", similarity="round(similarity, 6)")
+    + " FROM deps JOIN imitations USING (name) WHERE dep_type = 'package'",
+)
 def dep_typosquat(spark, sf_dir):
     found = _deps(spark, sf_dir)
     similar = deps.lookalikes(found.where(F.col("dep_type") == "package"), deps.popular_packages(spark))
@@ -160,13 +184,13 @@ _SHAPE = "CASE " + " ".join(f"WHEN regexp_matches(name, {q('(?i)' + p)}) THEN {q
 
 @query(
     "dep_suspicious_name",
-    f"WITH {_DEPS}, {_EDITS} SELECT "
+    f"{_SIMILAR} SELECT "
     + finding("source", "dependency", "'Dependency Hijacking - Suspicious Name'", "'Medium'", "5.0", "CWE-494", package="name", pattern=_SHAPE)
-    + f" FROM deps WHERE dep_type = 'package' AND {_SHAPE} IS NOT NULL AND name NOT IN (SELECT name FROM best)",
+    + f" FROM deps WHERE dep_type = 'package' AND {_SHAPE} IS NOT NULL AND name NOT IN (SELECT name FROM imitations)",
 )
 def dep_suspicious_name(spark, sf_dir):
     found = _deps(spark, sf_dir)
-    similar = deps.single_edit_lookalikes(found.where(F.col("dep_type") == "package"), deps.popular_packages(spark))
+    similar = deps.lookalikes(found.where(F.col("dep_type") == "package"), deps.popular_packages(spark))
     return flat(deps.suspicious_names(found, similar), "package", "pattern")
 
 
