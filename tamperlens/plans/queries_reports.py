@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tamperlens.functions.findings import flat
@@ -335,8 +333,7 @@ def src_external_guarddog(spark, sf_dir):
 @query("stream_scan", secrets_sql("SELECT 'doc/' || doc_id AS source, text FROM documents"))
 def stream_scan(spark, sf_dir):
     """Secrets in the documents, read as a stream and written by batches."""
-    run = incremental.checkpoint_dir(spark, "stream_scan", lambda: tempfile.mkdtemp(prefix="tamperlens-"))
-    work = f"{run}/{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}-{incremental.stamp()}"
+    work = f"{incremental.checkpoint_dir(spark, 'stream_scan')}/{spark.sparkContext.applicationId}-{incremental.stamp()}"
     documents = (
         spark.readStream.schema(I.table(spark, sf_dir, "documents").schema)
         .option("pathGlobFilter", "documents.parquet")
@@ -357,7 +354,8 @@ def stream_scan(spark, sf_dir):
     LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL OR l.quality = 0""",
 )
 def stream_changed_only(spark, sf_dir):
-    """Documents still to scan when those labelled good were scanned and the others have changed since."""
+    """Two runs of one stream: the labelled documents in earlier versions, of which those labelled good have not changed
+    since, then all documents as they are; what the second run takes up is still to scan."""
     docs = I.table(spark, sf_dir, "documents").select(
         "doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content")
     )
@@ -365,5 +363,10 @@ def stream_changed_only(spark, sf_dir):
     before = docs.join(labels, "doc_id").select(
         "path", F.when(F.col("quality") == 1, F.col("content")).otherwise(F.encode(F.lit("old"), "UTF-8")).alias("content")
     )
-    seen = incremental.with_quick_id(before)
-    return incremental.with_quick_id(incremental.changed_only(docs.drop("doc_id"), seen).select("path", "content")).drop("content")
+    work = f"{incremental.checkpoint_dir(spark, 'stream_changed_only')}/{spark.sparkContext.applicationId}-{incremental.stamp()}"
+    for run, drop in enumerate((before, docs)):
+        incremental.digested(drop, run).write.mode("append").parquet(f"{work}/inbox")
+        stream = incremental.versions(spark, f"{work}/inbox")
+        incremental.scan_changed_stream(stream, lambda rows: rows, f"{work}/changed-{run}", f"{work}/progress").awaitTermination()
+    todo = spark.read.schema(incremental.VERSIONS).parquet(f"{work}/changed-1").select("path")
+    return incremental.with_quick_id(docs.join(todo, "path")).select("path", "quick_id")

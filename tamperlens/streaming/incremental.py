@@ -1,30 +1,38 @@
-"""Scanning only what is new, with progress that survives a restart."""
+"""Scanning only what is new or has changed, with progress that survives a restart."""
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tamperlens.operators.formats import digests
 from tamperlens.schema import ARTIFACTS
+from tamperlens.sources.paged import PAGE, opened
 
 Detector = Callable[[DataFrame], DataFrame]
 
+# A version of an artifact: its digest may be null, then it is taken from the file where time or length differ.
+VERSIONS = "path string, modified long, length long, sha256 string"
+_KNOWN = "modified long, length long, sha256 string"
 
-def checkpoint_dir(spark: SparkSession, name: str, fallback: Callable[[], str] | None = None) -> str:
-    """Folder for the progress of a stream, inside the one the cluster shares.
+_LOCAL: dict[str, str] = {}
 
-    ``fallback`` names a folder where the session has none, as in tests.
-    """
+
+def checkpoint_dir(spark: SparkSession, name: str) -> str:
+    """Folder for the progress of a stream, inside the one the cluster shares; one of our own only in a local session."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and fallback is not None:
-        shared = fallback()
     if not shared:
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="tamperlens-"))
     return f"{shared.rstrip('/')}/{name}"
 
 
@@ -65,46 +73,94 @@ def scan_stream(
     )
 
 
-def changed_only(artifacts: DataFrame, seen: DataFrame) -> DataFrame:
-    """Artifacts whose (path, quick id) has not been scanned yet."""
-    ids = digests(artifacts).select("path", "quick_id")
-    return artifacts.join(ids, "path").join(seen.select("path", "quick_id"), ["path", "quick_id"], "left_anti")
+def digested(artifacts: DataFrame, modified: int) -> DataFrame:
+    """Versions of artifacts whose ``content`` is at hand."""
+    return artifacts.select(
+        "path", F.lit(modified).cast("long").alias("modified"), F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("sha256")
+    )
+
 
+def announce(spark: SparkSession, path: str, inbox: str) -> None:
+    """List a folder into ``inbox`` as one more drop of versions, without reading a file.
 
-def scan_changed_stream(
-    stream: DataFrame, detect: Detector, seen_table: str, output: str, checkpoint: str
-) -> StreamingQuery:
-    """Scan each new or changed artifact once; detectors may group and join.
+    A stream over the folder itself never sees a path again; one over the inbox
+    does, with its new time and length.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    listed = files.select("path", F.unix_micros("modificationTime").alias("modified"), "length", F.lit(None).cast("string").alias("sha256"))
+    listed.write.mode("append").parquet(inbox)
+
+
+def versions(spark: SparkSession, inbox: str, files_per_batch: int = 1000) -> DataFrame:
+    """The drops of an inbox as a stream."""
+    return spark.readStream.schema(VERSIONS).option("maxFilesPerTrigger", str(files_per_batch)).parquet(inbox)
+
+
+def _digest(path: str) -> str | None:
+    """Digest of a whole file, page by page; None when it cannot be read."""
+    try:
+        file, total, at = opened(path), hashlib.sha256(), 0
+        while part := file[at : at + PAGE]:
+            total.update(part)
+            at += len(part)
+        return total.hexdigest()
+    except Exception:  # a file may be gone since it was listed
+        return None
+
+
+def _newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The newest version of a path where its digest is not the one in the state, which then holds it."""
+    newest = None
+    for frame in frames:
+        for modified, length, sha in zip(frame["modified"], frame["length"], frame["sha256"]):
+            version = (int(modified), int(length), sha if isinstance(sha, str) else "")
+            newest = version if newest is None else max(newest, version)
+    known = state.get if state.exists else None
+    if newest is None or (not newest[2] and known is not None and known[:2] == newest[:2]):
+        return
+    sha = newest[2] or _digest(key[0])
+    if sha is None:
+        return
+    state.update((*newest[:2], sha))
+    if known is None or known[2] != sha:
+        yield pd.DataFrame({"path": [key[0]], "modified": [newest[0]], "length": [newest[1]], "sha256": [sha]})
+
+
+def changed(stream: DataFrame) -> DataFrame:
+    """Versions whose content is not what was last seen under their path.
+
+    The state of a path is its last time, length and whole digest, kept by key
+    on the executors; contents are neither shuffled nor kept. Several versions in a
+    batch count as the newest. A file that cannot be read leaves the state as it
+    is. Rows without path, time or length are passed over.
+    """
+    rows = stream.select("path", "modified", "length", "sha256").where("path is not null and modified is not null and length is not null")
+    return rows.groupBy("path").applyInPandasWithState(_newest, VERSIONS, _KNOWN, "append", GroupStateTimeout.NoTimeout)
+
+
+def scan_changed_stream(stream: DataFrame, detect: Detector, output: str, checkpoint: str) -> StreamingQuery:
+    """Scan each new or changed artifact of a stream of versions once, then stop.
 
-    Every batch goes to folders of its own, so a batch that is tried again
-    replaces what it wrote before and leaves the others alone.
+    ``detect`` takes the changed versions and reads the files itself, in chunks
+    or pages (as ``scan_files`` does); it may group and join. Every batch goes to a
+    folder of its own and the state is committed with the batch, so a batch that
+    is tried again sees the earlier state and replaces what it wrote before.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        earlier = _seen(spark, seen_table, number)
-        todo = with_quick_id(rows).join(earlier, ["path", "quick_id"], "left_anti")
-        detect(todo.drop("quick_id")).write.mode("overwrite").parquet(f"{output}/batch={number}")
-        todo.select("path", "quick_id").write.mode("overwrite").parquet(f"{seen_table}/batch={number}")
+        detect(rows).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     return (
-        stream.writeStream.foreachBatch(batch)
+        changed(stream).writeStream.foreachBatch(batch)
         .option("checkpointLocation", checkpoint)
+        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
 
 
 def with_quick_id(artifacts: DataFrame) -> DataFrame:
+    """Add the short name of a content that reports show: over its size and first MiB, never used to tell changes."""
     size = F.encode(F.octet_length("content").cast("string"), "UTF-8")
     quick = F.substring(F.md5(F.concat(size, F.substring("content", 1, 1024 * 1024))), 1, 16)
     return artifacts.withColumn("quick_id", quick)
-
-
-def _seen(spark: SparkSession, table: str, before: int) -> DataFrame:
-    """Scanned artifacts of the batches before this one."""
-    schema = "path string, quick_id string, batch int"
-    if before == 0:
-        return spark.createDataFrame([], schema).drop("batch")
-    rows = spark.read.schema(schema).parquet(table)
-    return rows.where(F.col("batch") < before).select("path", "quick_id").distinct()

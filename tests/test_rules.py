@@ -211,40 +211,48 @@ def test_preset_scores(spark):
     assert got["rce_network"] == (9.8, "Critical") and got["dos"] == (7.5, "High") and got["ssrf"] == (7.1, "High")
 
 
-def test_stream_resumes_and_skips_unchanged_files(spark, tmp_path):
+def test_stream_resumes_and_takes_changed_files_again(spark, tmp_path):
+    from tamperlens.plans.scan import scan_files
+
     source = tmp_path / "in"
     source.mkdir()
-    (source / "a.txt").write_text('token = "abcdefgh1234"')
-    detect = lambda files: textscan.secrets_scan(
-        files.select("path", F.col("path").alias("source"), F.col("content").cast("string").alias("text"))
-    )
-
-    def run():
-        stream = incremental.artifact_stream(spark, str(source))
-        incremental.scan_changed_stream(
-            stream, detect, str(tmp_path / "seen"), str(tmp_path / "out"), str(tmp_path / "progress")
-        ).awaitTermination()
-        return spark.read.parquet(str(tmp_path / "out")).count()
-
-    assert run() == 1
-    (source / "b.txt").write_text('password = "abcdefgh1234"')
-    assert run() == 2
-    assert run() == 2
+    (source / "a.txt").write_text('token = "abcdefgh12345678"')
+    scanned = lambda found: scan_files(found.select("path"), include=["secrets"], chunk=1 << 20).select("path")
+    runs = iter(range(100))
+
+    def run(detect=lambda found: found.select("path")):
+        out = str(tmp_path / f"out{next(runs)}")
+        incremental.announce(spark, str(source), str(tmp_path / "inbox"))
+        stream = incremental.versions(spark, str(tmp_path / "inbox"))
+        incremental.scan_changed_stream(stream, detect, out, str(tmp_path / "progress")).awaitTermination()
+        return sorted(r.path.rsplit("/", 1)[1] for r in spark.read.schema("path string").parquet(out).collect())
+
+    assert run(scanned) == ["a.txt"]
+    (source / "b.txt").write_text('password = "abcdefgh12345678"' + " " * 3_000_000 + "1")
+    assert run() == ["b.txt"]
+    assert run() == []
+    # Equal size, another byte behind the first pages; and a new time without a new byte.
+    (source / "b.txt").write_text('password = "abcdefgh12345678"' + " " * 3_000_000 + "2")
+    (source / "a.txt").write_text('token = "abcdefgh12345678"')
+    assert run() == ["b.txt"]
     plain = incremental.scan_stream(
-        incremental.artifact_stream(spark, str(source)), detect, str(tmp_path / "o2"), str(tmp_path / "p2")
+        incremental.artifact_stream(spark, str(source)),
+        lambda files: textscan.secrets_scan(files.select("path", F.col("path").alias("source"), F.col("content").cast("string").alias("text"))),
+        str(tmp_path / "o2"), str(tmp_path / "p2"),
     )
     plain.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "o2")).count() == 2
 
 
-def test_checkpoint_folder_comes_from_the_session(spark):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    if before:
-        assert incremental.checkpoint_dir(spark, "x", lambda: "/tmp/base/") == f"{before.rstrip('/')}/x"
-    else:
-        assert incremental.checkpoint_dir(spark, "x", lambda: "/tmp/base/") == "/tmp/base/x"
+def test_checkpoint_folder_is_shared_but_for_local_sessions(spark):
+    from types import SimpleNamespace as Made
+
+    session = lambda master, named: Made(conf=Made(get=lambda key, other: named), sparkContext=Made(master=master))
+    assert incremental.checkpoint_dir(session("spark://host:1", "/shared/base/"), "x") == "/shared/base/x"
+    assert incremental.checkpoint_dir(session("local[2]", None), "x").endswith("/x")
+    for master in ("spark://host:1", "local-cluster[2,1,512]"):
         with pytest.raises(ValueError):
-            incremental.checkpoint_dir(spark, "x")
+            incremental.checkpoint_dir(session(master, None), "x")
 
 
 def test_json_of_any_depth(spark):
