@@ -149,16 +149,16 @@ def _canonical_sql(text: str) -> str:
     return f"sha256(trim(regexp_replace({out}, '{licences.NOT_WORDS}', ' ', 'g')))"
 
 
-def _values_sql(texts: dict[str, str]) -> str:
-    rows = ", ".join("('{}', '{}')".format(name, t.replace("'", "''")) for name, t in texts.items())
-    return f"(SELECT {_canonical_sql('t')} AS digest, name FROM (VALUES {rows}) AS v(name, t))"
+def _values_sql(texts: list[tuple[str, str]]) -> str:
+    rows = ", ".join("('{}', '{}')".format(name, t.replace("'", "''")) for name, t in texts)
+    return f"(SELECT DISTINCT {_canonical_sql('t')} AS digest, name FROM (VALUES {rows}) AS v(name, t))"
 
 
 OP9_SQL = f"""
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 found AS (
   SELECT doc_id, string_agg(DISTINCT name, ',' ORDER BY name) AS notices, count(*) AS n
-  FROM lines JOIN {_values_sql(NOTICES)} AS k ON {_canonical_sql("line")} = k.digest
+  FROM lines JOIN {_values_sql(list(NOTICES.items()))} AS k ON {_canonical_sql("line")} = k.digest
   WHERE contains(lower(line), '{licences.ANCHOR}') GROUP BY doc_id
 )
 SELECT d.doc_id, k.name AS licence, coalesce(f.notices, '') AS notices, CAST(coalesce(f.n, 0) AS BIGINT) AS n_notices

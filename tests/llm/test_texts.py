@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import textwrap
 from pathlib import Path
 
 import pytest
@@ -93,8 +94,9 @@ def test_awkward_lines(awkward, empty):
 
 
 def test_licences(spark, empty):
-    variant = LICENCES["MIT"].upper().replace("LICENSE", "LICENCE").replace("\n\n", "\n").replace("<YEAR> <HOLDER>", "2020 Someone Else")
-    rows = [(1, variant), (2, LICENCES["ISC"] + "x"), (3, "text\n  licenced under the apache licence version 2.0\nmore"), (4, None), (5, ""), (6, LICENCES["ISC"])]
+    mit, isc = ("Copyright (c) 2020 Someone Else\n\n" + dict(reversed(LICENCES))[name] for name in ("MIT", "ISC"))
+    variant = "the mit licence\n" + mit.upper().replace("LICENSE", "LICENCE").replace("\n\n", "\n")
+    rows = [(1, variant), (2, isc + "x"), (3, "text\n  licenced under the apache licence version 2.0\nmore"), (4, None), (5, ""), (6, isc)]
     rows += [(10 + k, t) for k, t in enumerate(NOTICES.values())]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, digest string")
     got = {r.doc_id: r for r in licences.scan(df).collect()}
@@ -107,6 +109,39 @@ def test_licences(spark, empty):
     assert licences.scan(empty).count() == 0
 
 
+@pytest.mark.parametrize("width, mark", [(79, ""), (60, "# "), (100_000, " * "), (33, "")])
+def test_licences_wrapped_and_altered(spark, width, mark):
+    """Every form wrapped anew under another holder is known; with a word dropped or put in, none is."""
+    # A copyright line ends where its line does, so paragraphs with one keep their lines.
+    cut = lambda part: part.split("\n") if "copyright (c)" in part.lower() else textwrap.wrap(part, width, break_long_words=False) or [""]
+    wrap = lambda t: "\n".join(mark + line for part in t.split("\n\n") for line in cut(part))
+    owned = lambda t: f"{mark}Copyright (C) 1999-2024, A. Holder <a@b.example>. All rights reserved.\n{mark}Portions copyright 2001 Another\n{t}"
+    rows, names = [], []
+    for name, text in LICENCES:
+        words = [w for w in wrap(text).split(" ") if w]
+        at = len(words) // 2
+        rows += [owned(wrap(text)), " ".join([*words[:at], "not", *words[at:]]), " ".join(words[:at] + words[at + 2 :])]
+        names += [name, None, None]
+    df = spark.createDataFrame([*enumerate(rows)], "doc_id long, text string")
+    assert [r.licence for r in licences.scan(df).orderBy("doc_id").collect()] == names
+
+
+def test_licence_queries_agree_on_whole_licences(spark, tmp_path):
+    """The SQL on a made table: the given ones hold no whole licence."""
+    import duckdb
+
+    from tamperlens.llm.queries import CHECKS
+
+    texts = ["Copyright 2020 X\n" + t for _, t in LICENCES] + [t.replace(" of ", " off ") for _, t in LICENCES] + ["", "Released under the MIT License.", None]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
+    df.write.parquet(str(tmp_path / "documents"))
+    engine = duckdb.connect()
+    engine.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    want = sorted(engine.execute(CHECKS["op9_licences"]).fetchall())
+    assert sorted(tuple(r) for r in licences.scan(df).collect()) == want
+    assert sum(row[1] is not None for row in want) == len(LICENCES)
+
+
 def test_native_operators_run_no_python(spark, awkward):
     for frame in (templates.drop_lines(awkward), licences.scan(awkward)):
         plan = frame._jdf.queryExecution().executedPlan().toString()
