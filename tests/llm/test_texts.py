@@ -113,7 +113,7 @@ def test_licences(spark, empty):
 def test_licences_wrapped_and_altered(spark, width, mark):
     """Every form wrapped anew under another holder is known; with a word dropped or put in, none is."""
     # A copyright line ends where its line does, so paragraphs with one keep their lines.
-    cut = lambda part: part.split("\n") if "copyright (c)" in part.lower() else textwrap.wrap(part, width, break_long_words=False) or [""]
+    cut = lambda part: part.split("\n") if any(x in part.lower() for x in ("copyright (c)", "copyright [")) else textwrap.wrap(part, width, break_long_words=False) or [""]
     wrap = lambda t: "\n".join(mark + line for part in t.split("\n\n") for line in cut(part))
     owned = lambda t: f"{mark}Copyright (C) 1999-2024, A. Holder <a@b.example>. All rights reserved.\n{mark}Portions copyright 2001 Another\n{t}"
     rows, names = [], []
