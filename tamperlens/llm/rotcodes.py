@@ -1,11 +1,14 @@
 """Embedding near-duplicates by randomised-rotation binary codes with stored correction factors.
 
-A unit vector is rotated at random into ``BITS`` dimensions and kept as signs.
-With f = <signs / sqrt(BITS), rotated vector>, the product of the signs with
-another rotated vector, divided by sqrt(BITS) * f, is an unbiased estimate of
-the cosine; its error is below EPSILON * sqrt((1 - f^2) / f^2 / (BITS - 1)) but
-for a chance of about 1e-9. A pair whose upper bound stays below the threshold
-is given up, any other is computed exactly, in double precision.
+A unit vector is rotated at random into ``BITS`` dimensions (its own number, if
+that is more) and coded once: a bit plane of its signs, ``PLANES`` bit planes of its
+rotated values in equal steps, and the correction factor f = <signs / sqrt(BITS),
+rotated vector>. The product of the signs of one code with the values of another,
+divided by sqrt(BITS) * f, is an unbiased estimate of the cosine; its error is
+below EPSILON * sqrt((1 - f^2) / f^2 / (BITS - 1) + step^2 / 12 / f^2) but for a chance
+of about 1e-9. A pair whose upper bound stays below the threshold is given up, any
+other is computed exactly, in double precision. Codes are stored and travel to the
+buckets; vectors travel to the groups that the codes leave.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from tamperlens.llm.common import boundaries, forest, stored, whole_runs
 from tamperlens.llm.components import components
 
 THRESHOLD = 0.95
-BITS = 256
+BITS, PLANES = 256, 4
 EPSILON = 6.0
 MISS = 1e-6
 BLOCK = 512
@@ -38,19 +41,32 @@ def rotation(dim: int, out: int, seed: int) -> np.ndarray:
     return basis * np.sign(np.diag(triangle))
 
 
-def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signs, correction factors and rotated vectors of unit vectors."""
+def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Packed bit planes, correction factors, and lowest value and step of the planes of unit vectors."""
     turned = unit @ rotation(unit.shape[1], BITS, 1).T
-    signs = np.where(turned >= 0, 1.0, -1.0)
-    return signs, (signs * turned).sum(axis=1) / np.sqrt(turned.shape[1]), turned
+    low = turned.min(axis=1)
+    step = np.maximum((turned.max(axis=1) - low) / (2**PLANES - 1), 1e-12)
+    level = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
+    planes = np.stack([turned >= 0, *((level >> k) & 1 for k in range(PLANES))], axis=1).astype(np.uint8)
+    factors = np.abs(turned).sum(axis=1) / np.sqrt(turned.shape[1])
+    return np.packbits(planes, axis=2).reshape(len(unit), -1), factors, low, step
 
 
-def upper_bounds(signs: np.ndarray, factors: np.ndarray, turned: np.ndarray) -> np.ndarray:
-    """Upper confidence bounds of the cosines of coded rows with rotated vectors."""
-    width = signs.shape[1]
-    estimate = (signs.astype(np.float32) @ turned.T.astype(np.float32)) / (np.sqrt(width) * factors)[:, None]
-    spread = np.sqrt(np.maximum(1 - factors**2, 0) / factors**2 / max(width - 1, 1))
-    return estimate + EPSILON * spread[:, None]
+def estimates(packed: np.ndarray, factors: np.ndarray, low: np.ndarray, step: np.ndarray, width: int) -> np.ndarray:
+    """Estimates of the cosines: signs of the row's code, values of the column's."""
+    bits = np.unpackbits(packed.reshape(len(packed), PLANES + 1, -1), axis=2)[:, :, :width]
+    signs = bits[:, 0].astype(np.float32) * 2 - 1
+    level = sum(bits[:, 1 + k].astype(np.float32) * 2**k for k in range(PLANES))
+    values = low[:, None].astype(np.float32) + step[:, None].astype(np.float32) * level
+    return (signs @ values.T) / (np.sqrt(width) * factors)[:, None]
+
+
+def upper_bounds(packed: np.ndarray, factors: np.ndarray, low: np.ndarray, step: np.ndarray, width: int) -> np.ndarray:
+    """Upper confidence bounds of the cosines; both codes of a pair serve as the row once, the lesser bound holds."""
+    own = np.maximum(1 - factors**2, 0) / max(width - 1, 1)
+    spread = np.sqrt(own[:, None] + step[None, :] ** 2 / 12) / factors[:, None]
+    bound = estimates(packed, factors, low, step, width) + EPSILON * spread
+    return np.minimum(bound, bound.T)
 
 
 def _units(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
@@ -88,7 +104,9 @@ def plan(rows: int, dim: int) -> tuple[int, int]:
     return joined, ceil(log(MISS) / log(1 - agreement(dim) ** joined)) if dim > 1 else 1
 
 
-def _keys(plans: dict[int, tuple[int, int]]):
+def _coded(plans: dict[int, tuple[int, int]]):
+    """Code and keys of every vector, made once."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, vectors = batch.column("rep").to_numpy(), _units(batch.column("vec"))
@@ -104,24 +122,29 @@ def _keys(plans: dict[int, tuple[int, int]]):
                         key = key * 1_000_003 + _corner(unit, 1000 + t * joined + c)
                     out[:, t] = key
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, tables), pa.int32()), pa.array(out.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at]), lists], ["rep", "keys"])
+                packed, *numbers = codes(unit)
+                planes = pa.array([row.tobytes() for row in packed], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[at]), pa.array(np.full(len(at), dim, np.int32)), planes, *map(pa.array, numbers), lists],
+                    ["rep", "dim", "code", "factor", "low", "step", "keys"],
+                )
 
     return run
 
 
-def _near(table: pa.Table, s: int, e: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Which pairs of rows s..e can reach the threshold (equal widths, across sides), and the unit vectors."""
-    side = table.column("block").to_numpy()[s:e]
-    vectors = _units(table.column("vec").slice(s, e - s))
-    widths = np.array([len(v) for v in vectors])
+def _near(table: pa.Table, s: int, e: int) -> np.ndarray:
+    """Which pairs of rows s..e can reach the threshold by their codes (equal widths, across sides)."""
+    side, widths = (table.column(c).to_numpy()[s:e] for c in ("block", "dim"))
+    numbers = [table.column(c).to_numpy()[s:e] for c in ("factor", "low", "step")]
+    packed = table.column("code").slice(s, e - s).to_pylist()
     near = np.zeros((e - s, e - s), bool)
     for dim in np.unique(widths).tolist():
         at = np.flatnonzero(widths == dim)
-        unit = np.stack([vectors[k] for k in at])
-        near[np.ix_(at, at)] = upper_bounds(*codes(unit)) >= THRESHOLD
+        planes = np.stack([np.frombuffer(packed[k], np.uint8) for k in at])
+        near[np.ix_(at, at)] = upper_bounds(planes, *(x[at] for x in numbers), max(dim, BITS)) >= THRESHOLD
     if side[0] != side[-1]:
         near &= side[:, None] != side[None, :]
-    return np.triu(near, 1), vectors
+    return np.triu(near, 1)
 
 
 def _rough(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +153,7 @@ def _rough(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = table.column("rep").to_numpy()
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
             if e - s > 1:
-                near, _ = _near(table, s, e)
+                near = _near(table, s, e)
                 links = forest(zip(*(x.tolist() for x in np.nonzero(near))), e - s)
                 if links:
                     yield as_links(ids[s:e], links)
@@ -144,10 +167,10 @@ def _exact(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows]):
             if e - s < 2:
                 continue
-            near, vectors = _near(table, s, e)
-            a, b = np.nonzero(near)
+            a, b = np.nonzero(_near(table, s, e))
             if not len(a):
                 continue
+            vectors = _units(table.column("vec").slice(s, e - s))
             held = np.zeros(len(a), bool)
             for at in range(0, len(a), 20_000):
                 part = slice(at, at + 20_000)
@@ -178,7 +201,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     vectors are one node with a number of copies. Keys of corners of rotated
     cross-polytopes propose pairs; bounds from the codes tie what may reach the
     threshold into groups, without writing pairs; inside a group, pairs of
-    bounded blocks are bounded again and what remains is computed exactly.
+    bounded blocks are bounded again and what remains is computed exactly, from
+    the vectors that came with the codes.
 
     Vectors that are null, empty, zero or hold a null or non-finite component
     link with nothing, nor do rows without an id. Repeated rows count each
@@ -199,12 +223,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     )
     # One row per width of vectors: a handful.
     plans = {r[0]: plan(r[1], r[0]) for r in nodes.groupBy(F.size("vec")).count().collect()}
-    keyed = nodes.select("rep", "vec").mapInArrow(_keys(plans), "rep long, keys array<long>")
-    banded = stored(keyed, "keys").select("rep", F.explode("keys").alias("key"))
-    members = stored(shared_buckets(banded), "members").join(nodes.select("rep", "vec"), "rep")
+    kind = "rep long, dim int, code binary, factor double, low double, step double, keys array<long>"
+    coded = stored(nodes.select("rep", "vec").mapInArrow(_coded(plans), kind), "codes")
+    banded, light = coded.select("rep", F.explode("keys").alias("key")), coded.drop("keys")
+    members = stored(shared_buckets(banded), "members").join(light, "rep")
     rough = in_blocks(members, "key", "n", BLOCK).mapInArrow(_rough, "a long, b long")
     groups = stored(components(rough), "groups").select(F.col("node").alias("rep"), F.col("component").alias("key"))
-    sized = groups.join(groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").join(nodes, "rep")
+    sized = groups.join(groups.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").join(light, "rep").join(nodes, "rep")
     found = stored(in_blocks(sized, "key", "n", BLOCK).mapInArrow(_exact, "a long, b long, n long"), "found")
     degrees = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     linked = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "component")

@@ -118,12 +118,25 @@ def test_code_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(4)
     unit = rng.normal(size=(400, 64))
     unit /= np.linalg.norm(unit, axis=1)[:, None]
-    signs, factors, turned = rotcodes.codes(unit)
+    made = rotcodes.codes(unit)
+    assert made[0].shape == (400, 5 * 32)
     true = unit @ unit.T
-    estimate = (signs @ turned.T) / (np.sqrt(signs.shape[1]) * factors)[:, None]
     off = ~np.eye(400, dtype=bool)
-    assert abs((estimate - true)[off].mean()) < 0.002
-    assert (rotcodes.upper_bounds(signs, factors, turned) >= true - 1e-6).all()
+    error = (rotcodes.estimates(*made, 256) - true)[off]
+    assert abs(error.mean()) < 0.002 and error.std() < 0.06
+    assert (rotcodes.upper_bounds(*made, 256) >= true - 1e-6).all()
+
+
+def test_codes_spare_pairs_at_the_threshold_and_give_up_most_others():
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(2, 300, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    unit = np.concatenate([a, 0.95 * a + np.sqrt(1 - 0.95**2) * b])
+    bounds = rotcodes.upper_bounds(*rotcodes.codes(unit), 256)
+    assert all(bounds[k, k + 300] >= 0.95 for k in range(300))
+    assert (bounds[:300, :300][~np.eye(300, dtype=bool)] < 0.95).mean() > 0.95
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 50, 5000])

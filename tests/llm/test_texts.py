@@ -132,7 +132,7 @@ def test_licence_queries_agree_on_whole_licences(spark, tmp_path):
 
     from tamperlens.llm.queries import CHECKS
 
-    texts = ["Copyright 2020 X\n" + t for _, t in LICENCES] + [t.replace(" of ", " off ") for _, t in LICENCES] + ["", "Released under the MIT License.", None]
+    texts = ["Copyright 2020 X\n" + t for _, t in LICENCES] + [t + " odd" for _, t in LICENCES] + ["", "Released under the MIT License.", None]
     df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
     df.write.parquet(str(tmp_path / "documents"))
     engine = duckdb.connect()
