@@ -334,11 +334,8 @@ def src_external_guarddog(spark, sf_dir):
 def stream_scan(spark, sf_dir):
     """Secrets in the documents, read as a stream and written by batches."""
     work = f"{incremental.checkpoint_dir(spark, 'stream_scan')}/{spark.sparkContext.applicationId}-{incremental.stamp()}"
-    documents = (
-        spark.readStream.schema(I.table(spark, sf_dir, "documents").schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(sf_dir)
-    )
+    path = f"{sf_dir}/documents.parquet"
+    documents = incremental.table_stream(spark, path, spark.read.parquet(path).schema)
     texts = documents.select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"),
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("source"),

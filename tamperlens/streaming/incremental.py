@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from tamperlens.schema import ARTIFACTS
 from tamperlens.sources.paged import PAGE, opened
@@ -36,6 +38,19 @@ def checkpoint_dir(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several steps read to the shared folder, and read it back."""
+    path = f"{checkpoint_dir(df.sparkSession, 'kept')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def table_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A Parquet table as a stream, be it one file or a folder of them."""
+    # A stream does not take a file for its path, but it takes a pattern that only the file or folder matches.
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def stamp() -> str:
     """A name for the folders of one run."""
     return str(time.time_ns())
