@@ -80,30 +80,38 @@ def summaries(slices: DataFrame) -> DataFrame:
     return slices.where(F.size("values") > 0).select(*KEYS, "first_pos", "values").mapInArrow(_summed_up, f"path string, layer string, first_pos long, {kinds}")
 
 
-def _combined(parts: Column) -> tuple[Column, Column, Column]:
-    """Count, mean and population deviation out of (n, mean, m2) of disjoint parts."""
-    add = lambda value, kind: F.aggregate(parts, F.lit(0).cast(kind), lambda total, p: total + value(p))
-    n = add(lambda p: p["n"], "bigint")
-    mean = add(lambda p: p["n"] * p["mean"], "double") / n
-    m2 = add(lambda p: p["m2"] + p["n"] * (p["mean"] - mean) * (p["mean"] - mean), "double")
-    return n, mean, F.when(n > 0, F.sqrt(m2 / n))
+def _merged(parts: Column) -> Column:
+    """(n, mean, m2) of all of some disjoint parts, by one fold over them."""
+
+    def add(whole: Column, p: Column) -> Column:
+        n = whole["n"] + p["n"]
+        apart = p["mean"] - whole["mean"]
+        more = F.struct(
+            n.alias("n"), (whole["mean"] + apart * p["n"] / n).alias("mean"),
+            (whole["m2"] + p["m2"] + apart * apart * whole["n"] * p["n"] / n).alias("m2"),
+        )
+        # The first part with values starts the sums.
+        return F.when(p["n"] == 0, whole).when(whole["n"] == 0, p).otherwise(more)
+
+    nothing = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    return F.aggregate(parts, nothing, add)
 
 
 def layer_stats(slices: DataFrame) -> DataFrame:
     """(path, layer, n, mean, std, low, high, steps, diff_std) of every layer; steps run across slices."""
-    part = lambda p, n, mean, m2: F.struct(n.cast("bigint").alias("n"), mean.alias("mean"), m2.alias("m2"))
-    gathered = summaries(slices).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("first_pos", *_SUMMARY.names))).alias("s"))
-    values = F.transform("s", lambda p: part(p, p["n"], p["mean"], p["m2"]))
-    inside = F.transform("s", lambda p: part(p, p["step_n"], p["step_mean"], p["step_m2"]))
+    part = lambda n, mean, m2: F.struct(n.cast("bigint").alias("n"), mean.alias("mean"), m2.alias("m2"))
+    gathered = summaries(slices).groupBy(*KEYS).agg(
+        F.array_sort(F.collect_list(F.struct("first_pos", *_SUMMARY.names))).alias("s"), F.min("low").alias("low"), F.max("high").alias("high")
+    )
+    values = F.transform("s", lambda p: part(p["n"], p["mean"], p["m2"]))
+    inside = F.transform("s", lambda p: part(p["step_n"], p["step_mean"], p["step_m2"]))
     behind = F.slice("s", F.lit(2), F.size("s"))
-    between = F.zip_with(F.slice("s", F.lit(1), F.size("s") - 1), behind, lambda a, b: part(a, F.lit(1), b["first"] - a["last"], F.lit(0.0)))
-    told = gathered.select(*KEYS, "s", values.alias("v"), F.concat(inside, between).alias("d"))
-    n, mean, std = _combined(F.col("v"))
-    steps, _, diff_std = _combined(F.col("d"))
+    between = F.zip_with(F.slice("s", F.lit(1), F.size("s") - 1), behind, lambda a, b: part(F.lit(1), b["first"] - a["last"], F.lit(0.0)))
+    told = gathered.select(*KEYS, _merged(values).alias("v"), _merged(F.concat(inside, between)).alias("d"), "low", "high")
+    spread = lambda whole: F.when(F.col(whole)["n"] > 0, F.sqrt(F.col(whole)["m2"] / F.col(whole)["n"]))
     return told.select(
-        *KEYS, n.alias("n"), mean.alias("mean"), std.alias("std"),
-        F.array_min(F.transform("s", lambda p: p["low"])).alias("low"), F.array_max(F.transform("s", lambda p: p["high"])).alias("high"),
-        steps.alias("steps"), diff_std.alias("diff_std"),
+        *KEYS, F.col("v")["n"].alias("n"), F.col("v")["mean"].alias("mean"), spread("v").alias("std"),
+        "low", "high", F.col("d")["n"].alias("steps"), spread("d").alias("diff_std"),
     )
 
 
