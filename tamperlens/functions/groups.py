@@ -56,6 +56,13 @@ def join_per_key(df: DataFrame, per_key: DataFrame, keys: list[str], salt: Colum
     return spread.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
+def fixed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once a row: expressions above a generator cannot take theirs apart."""
+    made = F.struct(*[value.alias(name) for name, value in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(made)))
+
+
 def small_table(spark, rows: list[tuple], schema: str) -> DataFrame:
     """A fixed table made of literals, so that no Python worker has to run for it."""
     fields = spark.createDataFrame([], schema).schema.fields

@@ -24,8 +24,8 @@ def is_string(node: Column) -> Column:
 
 
 def _roots(texts: DataFrame) -> DataFrame:
-    parsed = texts.select("path", "source", F.try_parse_json("text").alias("node"))
-    return parsed.where(F.col("node").isNotNull()).select(
+    # A generator parses a text once, and lets go of what is no JSON.
+    return texts.select("path", "source", F.explode(F.array_compact(F.array(F.try_parse_json("text")))).alias("node")).select(
         "path",
         "source",
         F.lit("").alias("json_path"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tamperlens.functions import bytesx as B
 from tamperlens.functions.findings import as_findings, findings_of, hit
+from tamperlens.functions.groups import fixed
 from tamperlens.functions.text import first_match
 from tamperlens.operators import jsonwalk
 from tamperlens.rules import text_rules as R
@@ -58,9 +59,7 @@ def _script_tests(text):
 
 
 def embedded_script(fields: DataFrame) -> DataFrame:
-    rows = fields.withColumn("script_type", first_match(_script_tests(F.col("value")))).where(
-        F.col("script_type").isNotNull()
-    )
+    rows = fixed(fields, script_type=first_match(_script_tests(F.col("value")))).where(F.col("script_type").isNotNull())
     preview = B.utf8(F.substring(F.encode("value", "UTF-8"), 1, 200))
     return as_findings(
         rows, SCANNER, "Metadata - Embedded Script", "High", 7.0,
@@ -92,8 +91,7 @@ def safetensors_headers(artifacts: DataFrame) -> DataFrame:
     size = B.unsigned_le(F.col("content"), 0, 8)
     window = F.least(F.col("header_size"), F.lit(MAX_HEADER)).cast("int")
     return (
-        artifacts.withColumn("source", F.col("path"))
-        .withColumn("header_size", size)
+        fixed(artifacts.withColumn("source", F.col("path")), header_size=size)
         .where(F.col("header_size").isNotNull())
         .select(
             "path",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tamperlens.functions.findings import flat
+from tamperlens.functions.groups import fixed
 from tamperlens.operators import gguf, jsonwalk, keras, metadata, pickles, weights
 from tamperlens.plans import inputs as I
 from tamperlens.plans.queries_text import rules_sql
@@ -548,7 +549,7 @@ def meta_safetensors(spark, sf_dir):
 )
 def meta_header_size(spark, sf_dir):
     # Behind the first eight bytes the tensor count stands where a header size would.
-    files = I.derive(spark, sf_dir, I.HEADERS).select("path", F.substr("content", F.lit(9), F.lit(100)).alias("content"))
+    files = fixed(I.derive(spark, sf_dir, I.HEADERS).select("path", "content"), content=F.substr("content", F.lit(9), F.lit(100)))
     return flat(metadata.safetensors_findings(files), "header_size")
 
 
