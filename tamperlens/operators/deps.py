@@ -31,7 +31,8 @@ def _requirement(line: Column) -> Column:
 
 
 def _deps(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("dep").isNotNull()).select("path", "source", "dep.*")
+    # A generator reads a line once; a filter would read it again for every field that is asked for.
+    return rows.select("path", "source", F.inline(F.array_compact(F.array("dep"))))
 
 
 def requirements(texts: DataFrame) -> DataFrame:
