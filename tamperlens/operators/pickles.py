@@ -9,9 +9,11 @@ are joined by one walk over them.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,20 +98,41 @@ def _integer(text: str | None) -> int | None:
         return None
 
 
+def _read(batches: Iterable[pa.RecordBatch], column: str, make: Callable[[list[dict]], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches that ``make`` gives for some rows at a time: as many as hold ``WIDTH`` items of a list, one row at least."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + WIDTH, side="right")))
+            # Rows without items count as well.
+            stop = min(stop, at + WIDTH)
+            yield make(batch.slice(at, stop - at).to_pylist())
+            at = stop
+
+
+def _batch(columns: list[list], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds.values())], list(kinds))
+
+
+_MEMO_KINDS = {"source": pa.string(), "blk": pa.int64(), "slot": pa.int64(), "text": pa.string(), "fills": pa.bool_()}
+
+
 def _memo_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What a block leaves in its slots, and the slots it reads without having filled them."""
-    for batch in batches:
-        for row in batch.to_pylist():
+
+    def make(rows: list[dict]) -> pa.RecordBatch:
+        out = []
+        for row in rows:
             run, read = _Run(row), set()
             for op, slot, _ in run.steps():
                 if op["opcode"] in MEMO_GET and slot is not None and slot not in run.memo:
                     read.add(slot)
-            out = [(slot, text, True) for slot, text in run.memo.items()] + [(slot, None, False) for slot in read]
-            n = len(out)
-            if n:
-                slots, texts, fills = zip(*out)
-                columns = [pa.array([row["source"]] * n, pa.string()), pa.array([row["blk"]] * n, pa.int64()), pa.array(slots, pa.int64()), pa.array(texts, pa.string()), pa.array(fills)]
-                yield pa.RecordBatch.from_arrays(columns, ["source", "blk", "slot", "text", "fills"])
+            out += [(row["source"], row["blk"], slot, text, True) for slot, text in run.memo.items()]
+            out += [(row["source"], row["blk"], slot, None, False) for slot in read]
+        return _batch([list(c) for c in zip(*out)] if out else [[] for _ in _MEMO_KINDS], _MEMO_KINDS)
+
+    return _read(batches, "ops", make)
 
 
 _NAMED = "struct<seq: bigint, module: string, name: string>"
@@ -173,35 +196,37 @@ def _summary(row: dict) -> dict:
 
 
 def _summaries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            made = _summary(row)
-            yield pa.RecordBatch.from_arrays([pa.array([made[c]], kind) for c, kind in _SUMMARY_KINDS.items()], list(_SUMMARY_KINDS))
+    def make(rows: list[dict]) -> pa.RecordBatch:
+        made = [_summary(row) for row in rows]
+        return _batch([[m[c] for m in made] for c in _SUMMARY_KINDS], _SUMMARY_KINDS)
+
+    return _read(batches, "ops", make)
 
 
 def _joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Events that wait for earlier blocks, resolved by one walk over the summaries of a source."""
-    for batch in batches:
-        for row in batch.to_pylist():
-            strings: list[str | None] = []
-            current, found, calls = None, [], Counter()
-            for block in row["blocks"]:
-                for event in block["opening"]:
-                    if event["kind"] == "i":
-                        current = event["module"], event["name"]
-                    elif event["kind"] == "p":
-                        pair = [*strings, *[event["name"]] * min(event["n"], 1)][-2:]
-                        if len(pair) == 2 and None not in pair:
-                            current = tuple(pair)
-                            found.append({"seq": event["seq"], "module": pair[0], "name": pair[1]})
-                    elif current is not None:
-                        calls[current] += event["n"]
-                strings = [*strings, *block["tail"]][-2:]
-                if block["called"]:
-                    current = block["called"]["module"], block["called"]["name"]
-            told = [{"module": m, "name": n, "n": k} for (m, n), k in calls.items()]
-            columns = [pa.array([v], _SUMMARY_KINDS[c]) for c, v in (("source", row["source"]), ("imports", found), ("calls", told))]
-            yield pa.RecordBatch.from_arrays(columns, ["source", "imports", "calls"])
+    kinds = {c: _SUMMARY_KINDS[c] for c in ("source", "imports", "calls")}
+
+    def walked(row: dict) -> tuple:
+        strings: list[str | None] = []
+        current, found, calls = None, [], Counter()
+        for block in row["blocks"]:
+            for event in block["opening"]:
+                if event["kind"] == "i":
+                    current = event["module"], event["name"]
+                elif event["kind"] == "p":
+                    pair = [*strings, *[event["name"]] * min(event["n"], 1)][-2:]
+                    if len(pair) == 2 and None not in pair:
+                        current = tuple(pair)
+                        found.append({"seq": event["seq"], "module": pair[0], "name": pair[1]})
+                elif current is not None:
+                    calls[current] += event["n"]
+            strings = [*strings, *block["tail"]][-2:]
+            if block["called"]:
+                current = block["called"]["module"], block["called"]["name"]
+        return row["source"], found, [{"module": m, "name": n, "n": k} for (m, n), k in calls.items()]
+
+    return _read(batches, "blocks", lambda rows: _batch([list(c) for c in zip(*map(walked, rows))], kinds))
 
 
 def block_summaries(opcodes: DataFrame, width: int = WIDTH) -> DataFrame:
