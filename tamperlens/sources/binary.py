@@ -258,6 +258,8 @@ def tensor_table(headers: DataFrame) -> DataFrame:
 
 # Bytes per number.
 _WIDTHS = {"F32": 4, "F16": 2, "BF16": 2}
+# Numbers that leave in one batch.
+HELD = 1 << 20
 
 
 def tensor_slices(tensors: DataFrame, values: int = 1 << 20) -> DataFrame:
@@ -291,21 +293,27 @@ def exploded(slices: DataFrame) -> DataFrame:
     )
 
 
+def _valued(batches: Iterator[pa.RecordBatch], names: list[str], read, most: int = HELD) -> Iterator[pa.RecordBatch]:
+    """Slices beside their values: small ones leave together, about ``most`` numbers at a time."""
+    for batch in batches:
+        told = [c for c in batch.schema.names if c in ("path", "dtype", "begin", "size", "data")]
+        start, ends, held = 0, [0], []
+        for k in range(batch.num_rows):
+            row = {c: batch.column(c)[k].as_py() for c in told}
+            held.append(_decode(read(row), row["dtype"]))
+            ends.append(ends[-1] + len(held[-1]))
+            if ends[-1] >= most or k + 1 == batch.num_rows:
+                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(held), pa.float32()))
+                some = batch.slice(start, k + 1 - start)
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in names), listed], [*names, "values"])
+                start, ends, held = k + 1, [0], []
+
+
 def _with_values(slices: DataFrame, read) -> DataFrame:
-    """Add ``values`` to every slice, one slice held at a time; ``read`` gives the bytes of a row."""
+    """Add ``values`` to every slice; ``read`` gives the bytes of a row."""
     names = [c for c in slices.columns if c != "data"]
     schema = StructType([*(slices.schema[c] for c in names), WEIGHT_SLICES["values"]])
-
-    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                row = {c: one.column(c)[0].as_py() for c in one.schema.names if c in ("path", "dtype", "begin", "size", "data")}
-                values = pa.array(_decode(read(row), row["dtype"]), pa.float32())
-                listed = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in names), listed], [*names, "values"])
-
-    return slices.mapInArrow(job, schema)
+    return slices.mapInArrow(lambda batches: _valued(batches, names, read), schema)
 
 
 def read_slices(slices: DataFrame) -> DataFrame:
