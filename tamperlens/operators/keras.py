@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tamperlens.functions.bytesx import utf8
 from tamperlens.functions.findings import as_findings
+from tamperlens.functions.groups import fixed
 from tamperlens.functions.text import first_match
 from tamperlens.operators import jsonwalk
 from tamperlens.operators.textscan import rules_scan
@@ -125,9 +126,9 @@ def url_ssrf(nodes: DataFrame) -> DataFrame:
     """``weights_url``, or ``origin`` beside a ``get_file`` call, that leads inside."""
     weights = F.try_variant_get("node", "$.weights_url", "string")
     origin = F.when(F.contains(F.to_json("node"), F.lit("get_file")), F.try_variant_get("node", "$.origin", "string"))
-    rows = nodes.withColumn("url", F.coalesce(weights, origin)).where(F.length("url") > 0)
+    rows = fixed(nodes, url=F.coalesce(weights, origin)).where(F.length("url") > 0)
     tests = [(F.contains(F.lower("url"), F.lit(w)), w) for w in M.KERAS_SSRF_WORDS]
-    rows = rows.withColumn("indicator", first_match(tests)).where(F.col("indicator").isNotNull())
+    rows = fixed(rows, indicator=first_match(tests)).where(F.col("indicator").isNotNull())
     return _finding(
         rows, "Keras - SSRF in Model Config", "Critical", 9.0,
         F.concat(F.lit("Configuration fetches from "), F.col("url")), "CWE-918",

@@ -16,14 +16,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Rows that one task should take at most.
+TASK_ROWS = 100_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Hand a table of few splits to all cores; a table of many stays as it is.
+    """Deal the rows of a table out evenly; a table whose splits hold about as many rows each stays as it is.
 
-    The detectors are bound by computing. A file that is read by one or two
-    tasks would leave the other cores idle, and it is small enough to move.
+    The detectors are bound by computing, so tasks are measured in rows. Splits say
+    little: they are cut by bytes, and a row group is read whole by one of them. The
+    counts come from the footers; no column is read.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    held = [row["count"] for row in df.groupBy(F.spark_partition_id()).count().collect()]
+    rows, most = sum(held), max(held, default=0)
+    even = len(held) >= cores and most <= max(TASK_ROWS, 2 * rows // len(held)) and most <= 4 * TASK_ROWS
+    return df if even or not rows else df.repartition(max(cores, -(-rows // TASK_ROWS)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
