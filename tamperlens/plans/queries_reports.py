@@ -261,7 +261,7 @@ def sarif_results(spark, sf_dir):
 )
 def sarif_documents(spark, sf_dir):
     # Read back from the documents, in parts of at most a few findings.
-    documents = reports.sarif_documents(base_findings(spark, sf_dir), part_size=3)
+    documents = reports.sarif_documents(incremental.kept(base_findings(spark, sf_dir), "findings"), part_size=3)
     result = "struct<ruleId:string,level:string,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>>"
     parsed = F.from_json("document", f"struct<runs:array<struct<results:array<{result}>>>>")
     rows = documents.select("target", F.explode(parsed["runs"][0]["results"]).alias("r"))
@@ -277,7 +277,7 @@ def sarif_documents(spark, sf_dir):
     SELECT target, n AS findings, '{{"total_vulnerabilities":' || n || ',"critical":' || critical || '}}' AS counts, true AS redacted FROM g""",
 )
 def sink_json(spark, sf_dir):
-    made = reports.json_reports(base_findings(spark, sf_dir), part_size=4, include_evidence=False, include_references=False)
+    made = reports.json_reports(incremental.kept(base_findings(spark, sf_dir), "findings"), part_size=4, include_evidence=False, include_references=False)
     counts = F.from_json("summary", "struct<total_vulnerabilities:bigint,critical:bigint>")
     rows = F.from_json("vulnerabilities", "array<struct<id:string,evidence:map<string,string>,references:array<string>>>")
     hidden = F.forall(rows, lambda r: (r["evidence"]["redacted"] == "true") & r["references"].isNull())
@@ -291,7 +291,8 @@ def sink_json(spark, sf_dir):
     f"WITH {BASE_SQL} SELECT source, scanner, vulnerability_type, level, cvss_score, cwe_id FROM findings",
 )
 def src_report(spark, sf_dir):
-    documents = reports.json_documents(reports.json_reports(base_findings(spark, sf_dir), part_size=100))
+    found = incremental.kept(base_findings(spark, sf_dir), "findings")
+    documents = reports.json_documents(reports.json_reports(found, part_size=100))
     read = report_source.parse(documents.select(F.col("target").alias("path"), F.col("document").alias("text")))
     return flat(read).select("source", "scanner", "vulnerability_type", "level", "cvss_score", "cwe_id")
 
