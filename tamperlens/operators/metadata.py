@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamperlens.functions import bytesx as B
-from tamperlens.functions.findings import as_findings, findings_of, hit
+from tamperlens.functions.findings import as_findings, findings_of, hit, hits_if
 from tamperlens.functions.groups import fixed
 from tamperlens.functions.text import first_match
 from tamperlens.operators import jsonwalk
@@ -34,43 +34,61 @@ def json_fields(texts: DataFrame, depth: int | None = None) -> DataFrame:
     return kept.select("path", "source", "json_path", "name", "value")
 
 
-def field_length(fields: DataFrame, limit: int = MAX_FIELD) -> DataFrame:
-    rows = fields.withColumn("length", F.octet_length("value")).where(F.col("length") > limit)
-    return as_findings(
-        rows, SCANNER, "Metadata - Excessive Length", "Medium", 5.5,
+def _length_hit() -> Column:
+    return hit(
+        SCANNER, "Metadata - Excessive Length", "Medium", 5.5,
         F.concat(F.lit("Field "), F.col("name"), F.lit(" has "), F.col("length").cast("string"), F.lit(" bytes")),
         evidence={"field": F.col("name"), "length": F.col("length")}, cwe="CWE-120",
     )
 
 
-def format_string(fields: DataFrame) -> DataFrame:
-    tests = [(F.rlike("value", F.lit(p)), p) for p in R.FORMAT_STRINGS]
-    first = F.when(F.contains("value", F.lit("%")), first_match(tests))
-    rows = fields.withColumn("pattern", first).where(F.col("pattern").isNotNull())
-    return as_findings(
-        rows, SCANNER, "Metadata - Format String", "Medium", 6.0,
+def _format_hit() -> Column:
+    return hit(
+        SCANNER, "Metadata - Format String", "Medium", 6.0,
         F.concat(F.lit("Field "), F.col("name"), F.lit(" holds a printf directive")),
         evidence={"field": F.col("name"), "pattern": F.col("pattern")}, cwe="CWE-134",
     )
 
 
-def _script_tests(text):
-    return [(F.rlike(text, F.lit(f"(?i){p}")), d) for p, d in R.SCRIPTS]
-
-
-def embedded_script(fields: DataFrame) -> DataFrame:
-    rows = fixed(fields, script_type=first_match(_script_tests(F.col("value")))).where(F.col("script_type").isNotNull())
+def _script_hit() -> Column:
     preview = B.utf8(F.substring(F.encode("value", "UTF-8"), 1, 200))
-    return as_findings(
-        rows, SCANNER, "Metadata - Embedded Script", "High", 7.0,
+    return hit(
+        SCANNER, "Metadata - Embedded Script", "High", 7.0,
         F.concat(F.lit("Field "), F.col("name"), F.lit(" holds "), F.col("script_type")),
         evidence={"field": F.col("name"), "script_type": F.col("script_type"), "preview": preview},
         cwe="CWE-79",
     )
 
 
+def _length() -> Column:
+    return F.octet_length("value")
+
+
+def _format() -> Column:
+    return F.when(F.contains("value", F.lit("%")), first_match([(F.rlike("value", F.lit(p)), p) for p in R.FORMAT_STRINGS]))
+
+
+def _script() -> Column:
+    return first_match([(F.rlike("value", F.lit(f"(?i){p}")), d) for p, d in R.SCRIPTS])
+
+
+def field_length(fields: DataFrame, limit: int = MAX_FIELD) -> DataFrame:
+    return findings_of(fields.withColumn("length", _length()).where(F.col("length") > limit), F.array(_length_hit()))
+
+
+def format_string(fields: DataFrame) -> DataFrame:
+    return findings_of(fixed(fields, pattern=_format()).where(F.col("pattern").isNotNull()), F.array(_format_hit()))
+
+
+def embedded_script(fields: DataFrame) -> DataFrame:
+    return findings_of(fixed(fields, script_type=_script()).where(F.col("script_type").isNotNull()), F.array(_script_hit()))
+
+
 def field_findings(fields: DataFrame) -> DataFrame:
-    return field_length(fields).unionByName(format_string(fields)).unionByName(embedded_script(fields))
+    """All findings of fields, by one pass over them."""
+    rows = fixed(fields, length=_length(), pattern=_format(), script_type=_script())
+    tests = ((F.col("length") > MAX_FIELD, _length_hit()), (F.col("pattern").isNotNull(), _format_hit()), (F.col("script_type").isNotNull(), _script_hit()))
+    return findings_of(rows, hits_if(*tests))
 
 
 def _header_of(path: str, data: Pages | bytes) -> Iterator[tuple]:

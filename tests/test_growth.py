@@ -113,6 +113,15 @@ def test_script_of_a_field_is_told_once(spark):
     assert [r.evidence["field"] for r in found.collect()] == ["f"]
 
 
+def test_fields_are_walked_once(spark):
+    values = ["<script>x %5$x", "plain", "x" * 100_001, "100%n", None]
+    fields = spark.createDataFrame([("a", "a", f"f{k}", v) for k, v in enumerate(values)], "path string, source string, name string, value string")
+    apart = [metadata.field_length(fields), metadata.format_string(fields), metadata.embedded_script(fields)]
+    told = lambda df: sorted((r.vulnerability_type, r.description, sorted(r.evidence.items()), r.finding_id, r.severity, r.cwe_id) for r in df.collect())
+    assert told(metadata.field_findings(fields)) == sorted(row for df in apart for row in told(df))
+    assert _plan(metadata.field_findings(fields)).count("LogicalRDD") + _plan(metadata.field_findings(fields)).count("LocalRelation") == 1
+
+
 def test_small_blocks_leave_together():
     kind = pa.list_(pa.struct([("seq", pa.int64()), ("opcode", pa.string()), ("arg", pa.string())]))
     ops = [{"seq": 0, "opcode": "GLOBAL", "arg": "os system"}, {"seq": 1, "opcode": "REDUCE", "arg": None}]
