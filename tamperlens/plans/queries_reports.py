@@ -355,16 +355,18 @@ def stream_changed_only(spark, sf_dir):
     """Two runs of one stream: the labelled documents in earlier versions, of which those labelled good have not changed
     since, then all documents as they are; what the second run takes up is still to scan."""
     docs = I.table(spark, sf_dir, "documents").select(
-        "doc_id", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content")
-    )
-    labels = I.table(spark, sf_dir, "labels")
-    before = docs.join(labels, "doc_id").select(
-        "path", F.when(F.col("quality") == 1, F.col("content")).otherwise(F.encode(F.lit("old"), "UTF-8")).alias("content")
+        F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.encode("text", "UTF-8").alias("content")
     )
+    # Texts are digested where they are read; what is joined is their digests.
+    good = F.col("quality").eqNullSafe(1)
+    labels = I.table(spark, sf_dir, "labels").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), good.alias("good"))
+    same = incremental.digested(docs, 0).join(labels.where("good").select("path"), "path")
+    other = docs.select("path").join(labels.where("not good"), "path").select("path", F.encode(F.lit("old"), "UTF-8").alias("content"))
+    before = same.unionByName(incremental.digested(other, 0))
     work = f"{incremental.checkpoint_dir(spark, 'stream_changed_only')}/{spark.sparkContext.applicationId}-{incremental.stamp()}"
-    for run, drop in enumerate((before, docs)):
-        incremental.digested(drop, run).write.mode("append").parquet(f"{work}/inbox")
+    for run, drop in enumerate((before, incremental.digested(docs, 1))):
+        drop.write.mode("append").parquet(f"{work}/inbox")
         stream = incremental.versions(spark, f"{work}/inbox")
         incremental.scan_changed_stream(stream, lambda rows: rows, f"{work}/changed-{run}", f"{work}/progress").awaitTermination()
     todo = spark.read.schema(incremental.VERSIONS).parquet(f"{work}/changed-1").select("path")
-    return incremental.with_quick_id(docs.join(todo, "path")).select("path", "quick_id")
+    return incremental.with_quick_id(docs).select("path", "quick_id").join(todo, "path")

@@ -22,7 +22,10 @@ Detector = Callable[[DataFrame], DataFrame]
 
 # A version of an artifact: its digest may be null, then it is taken from the file where time or length differ.
 VERSIONS = "path string, modified long, length long, sha256 string"
-_KNOWN = "modified long, length long, sha256 string"
+# What was last seen of the paths of a group.
+_KNOWN = "path array<string>, modified array<long>, length array<long>, sha256 array<string>"
+# Groups of paths that keep a state: a group costs far more than a path. A stream keeps the number it began with.
+GROUPS = 4096
 
 _LOCAL: dict[str, str] = {}
 
@@ -124,33 +127,43 @@ def _digest(path: str) -> str | None:
 
 
 def _newest(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The newest version of a path where its digest is not the one in the state, which then holds it."""
-    newest = None
+    """The newest versions of a group's paths whose digest is not the one in the state, which then holds them."""
+    newest: dict[str, tuple[int, int, str]] = {}
     for frame in frames:
-        for modified, length, sha in zip(frame["modified"], frame["length"], frame["sha256"]):
-            version = (int(modified), int(length), sha if isinstance(sha, str) else "")
-            newest = version if newest is None else max(newest, version)
-    known = state.get if state.exists else None
-    if newest is None or (not newest[2] and known is not None and known[:2] == newest[:2]):
-        return
-    sha = newest[2] or _digest(key[0])
-    if sha is None:
-        return
-    state.update((*newest[:2], sha))
-    if known is None or known[2] != sha:
-        yield pd.DataFrame({"path": [key[0]], "modified": [newest[0]], "length": [newest[1]], "sha256": [sha]})
+        shas = (sha if isinstance(sha, str) else "" for sha in frame["sha256"])
+        for path, *version in zip(frame["path"], frame["modified"].tolist(), frame["length"].tolist(), shas):
+            newest[path] = max(newest.get(path, tuple(version)), tuple(version))
+    known = {path: version for path, *version in zip(*state.get)} if state.exists else {}
+    out, renewed = [], False
+    for path, (modified, length, sha) in newest.items():
+        before = known.get(path)
+        if not sha and before is not None and before[:2] == [modified, length]:
+            continue
+        sha = sha or _digest(path)
+        if sha is None:
+            continue
+        if before != [modified, length, sha]:
+            known[path], renewed = [modified, length, sha], True
+        if before is None or before[2] != sha:
+            out.append((path, modified, length, sha))
+    if renewed:
+        state.update(([*known], *map(list, zip(*known.values()))))
+    if out:
+        yield pd.DataFrame(out, columns=["path", "modified", "length", "sha256"])
 
 
 def changed(stream: DataFrame) -> DataFrame:
     """Versions whose content is not what was last seen under their path.
 
-    The state of a path is its last time, length and whole digest, kept by key
-    on the executors; contents are neither shuffled nor kept. Several versions in a
-    batch count as the newest. A file that cannot be read leaves the state as it
-    is. Rows without path, time or length are passed over.
+    The last time, length and whole digest of a path are kept on the executors,
+    in the state of the group that the hash of the path names; a group is read
+    and written as a whole, contents are neither shuffled nor kept. Several
+    versions in a batch count as the newest. A file that cannot be read leaves its
+    state as it is. Rows without path, time or length are passed over.
     """
     rows = stream.select("path", "modified", "length", "sha256").where("path is not null and modified is not null and length is not null")
-    return rows.groupBy("path").applyInPandasWithState(_newest, VERSIONS, _KNOWN, "append", GroupStateTimeout.NoTimeout)
+    grouped = rows.withColumn("paths", F.pmod(F.xxhash64("path"), F.lit(GROUPS))).groupBy("paths")
+    return grouped.applyInPandasWithState(_newest, VERSIONS, _KNOWN, "append", GroupStateTimeout.NoTimeout)
 
 
 def scan_changed_stream(stream: DataFrame, detect: Detector, output: str, checkpoint: str) -> StreamingQuery:

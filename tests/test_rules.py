@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import struct
 from difflib import SequenceMatcher
@@ -244,6 +245,33 @@ def test_stream_resumes_and_takes_changed_files_again(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o2")).count() == 2
 
 
+def test_stream_keeps_one_state_for_many_paths(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "GROUPS", 3, raising=False)
+    there = tmp_path / "there.txt"
+    there.write_text("words")
+    runs = iter(range(100))
+
+    def run(*drop):
+        out = str(tmp_path / f"out{next(runs)}")
+        spark.createDataFrame(drop, incremental.VERSIONS).coalesce(1).write.mode("append").parquet(str(tmp_path / "inbox"))
+        stream = incremental.versions(spark, str(tmp_path / "inbox"))
+        query = incremental.scan_changed_stream(stream, lambda rows: rows, out, str(tmp_path / "progress"))
+        query.awaitTermination()
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 3
+        return sorted(tuple(r) for r in spark.read.schema(incremental.VERSIONS).parquet(out).drop("batch").collect())
+
+    first = [(f"p{k:02}", 1, 5, f"a{k}") for k in range(40)]
+    file, gone = (str(there), 1, 5, None), (str(tmp_path / "gone.txt"), 1, 5, None)
+    read = hashlib.sha256(b"words").hexdigest()
+    assert run(*first, file, gone, (None, 1, 5, "x"), ("n", None, 5, "x")) == sorted([*first, (*file[:3], read)])
+    # The newest of a batch counts, the latest batch even where its time is earlier; a new time alone is no change.
+    later = [("p00", 2, 5, "b"), ("p00", 3, 5, "c"), ("p01", 2, 6, "a1"), ("p02", 0, 5, "z"), first[3], file, ("q", 1, 1, "q")]
+    assert run(*later) == [("p00", 3, 5, "c"), ("p02", 0, 5, "z"), ("q", 1, 1, "q")]
+    there.write_text("other")
+    assert run(first[0], ("p01", 1, 5, "a1"), first[2], file) == [first[0], first[2]]
+    assert run((str(there), 2, 5, None)) == [(str(there), 2, 5, hashlib.sha256(b"other").hexdigest())]
+
+
 def test_checkpoint_folder_is_shared_but_for_local_sessions(spark):
     from types import SimpleNamespace as Made
 
