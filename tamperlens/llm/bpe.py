@@ -32,8 +32,9 @@ NONE = 2**31 - 1
 SLICE, KNOWN = 4_000_000, 400_000
 # A word longer than this is merged with a heap: a fold takes time with the square of its length.
 LONG = 512
-_PRIMES = (149_993, 160_001)
 _RANK = 2**17
+# The rank in front of an element without a pair to merge, an empty place of the table, and an id beside a word.
+_NONE, _EMPTY, _SIDE = (_RANK - 1) << 27, 2**62, 65_535
 
 
 @lru_cache
@@ -56,23 +57,40 @@ def pair_ranks(path: str) -> dict[tuple[int, int], int]:
 
 
 @lru_cache
-def rank_table(path: str) -> str:
-    """The literal map as text: a two-place (cuckoo) table of key * 2^17 + rank; key k lies at k mod p or at
-    p + k mod q, empty places hold -1."""
-    p, q = _PRIMES
-    table = [-1] * (p + q)
-    for (a, b), rank in pair_ranks(path).items():
-        entry = (a * 65536 + b) * _RANK + rank
-        at = entry // _RANK % p
-        for _ in range(1000):
-            table[at], entry = entry, table[at]
-            if entry < 0:
+def rank_table(path: str) -> tuple[str, str]:
+    """The literal map as two texts of numbers: rows of a sparse table laid over each other. The pair (a, b) lies at
+    place b of the row of a, which begins at the a-th offset; an entry is a * 2^44 + rank * 2^27, an empty place 2^62."""
+    rows: dict[int, list[int]] = {}
+    for a, b in pair_ranks(path):
+        rows.setdefault(a, []).append(b)
+    free = np.ones(_SIDE + 1 + 3 * len(pair_ranks(path)), bool)
+    table, draw = np.full(len(free) + _SIDE + 1, _EMPTY, np.int64), np.random.default_rng(0)
+    offsets = np.zeros(_SIDE + 1, np.int64)
+    for a in sorted(rows, key=lambda k: (-len(rows[k]), k)):
+        places = np.array(rows[a])
+        tries = 16
+        while True:
+            found = draw.integers(0, len(free) - places.max(), tries)
+            for b in places:
+                found = found[free[found + b]]
+                if not len(found):
+                    break
+            if len(found):
                 break
-            key = entry // _RANK
-            at = p + key % q if at < p else key % p
-        else:
-            raise RuntimeError("the table is too small")
-    return ",".join(map(str, table))
+            tries = min(4 * tries, 2**20)
+        offsets[a] = found[0]
+        free[found[0] + places] = False
+        table[found[0] + places] = [(a << 44) + (pair_ranks(path)[a, b] << 27) for b in rows[a]]
+    return ",".join(map(str, offsets)), ",".join(map(str, table))
+
+
+@lru_cache
+def byte_ranks(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of single bytes, and for each two bytes the rank of their pair (``_RANK - 1``: none)."""
+    known = ranks(path)
+    single = np.array([known[bytes([k])] for k in range(256)], np.int64)
+    pairs = [[known.get(bytes([a, b]), _RANK - 1) for b in range(256)] for a in range(256)]
+    return single, np.array(pairs, np.int64)
 
 
 def heap_merge(ids: list[int], known: dict[tuple[int, int], int]) -> list[int]:
@@ -97,7 +115,7 @@ def heap_merge(ids: list[int], known: dict[tuple[int, int], int]) -> list[int]:
 
 
 class _Words:
-    """Numbers the distinct words that a task has met; each is handed on once, as an array of ids of its bytes.
+    """Numbers the distinct words that a task has met; each is handed on once, as its bytes or, where it needs no fold, its ids.
 
     ``number`` gives the words that are new and, per text, the numbers of all its
     words. When ``KNOWN`` words are exceeded it starts again, and says so.
@@ -105,18 +123,18 @@ class _Words:
 
     def __init__(self, path: str, pattern: str) -> None:
         self.path, self.known, self.find = path, ranks(path), regex.compile(pattern).findall
-        self.single = [self.known[bytes([k])] for k in range(256)]
         self.words: dict[str, int] = {}
         self.split: dict[str, list[int]] = {}
 
-    def start(self, word: str) -> list[int]:
+    def start(self, word: str) -> bytes | list[int]:
         data = word.encode("utf-8", "replace")
         if (whole := self.known.get(data)) is not None:
             return [whole]
-        ids = [self.single[x] for x in data]
-        return heap_merge(ids, pair_ranks(self.path)) if len(ids) > LONG else ids
+        if len(data) <= LONG:
+            return data
+        return heap_merge(byte_ranks(self.path)[0][list(data)].tolist(), pair_ranks(self.path))
 
-    def number(self, texts: list[str]) -> tuple[bool, list[list[int]], list[np.ndarray]]:
+    def number(self, texts: list[str]) -> tuple[bool, list[bytes | list[int]], list[np.ndarray]]:
         again = len(self.words) > KNOWN
         if again:
             self.words.clear()
@@ -145,6 +163,25 @@ def _lists(values: list, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
 
 
+def _states(words: list[bytes | list[int]], path: str) -> pa.ListArray:
+    """First states of the fold: an element for each byte, or for each final id, and one that stands on either side."""
+    single, pairs = byte_ranks(path)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.concatenate([[0], np.cumsum(sizes + 2)])
+    out = np.full(ends[-1], _NONE + _SIDE, np.int64)
+    raw = np.fromiter((isinstance(w, bytes) for w in words), bool, len(words))
+    data = np.frombuffer(b"".join(w for w in words if isinstance(w, bytes)), np.uint8)
+    if len(data):
+        last = np.cumsum(sizes[raw]) - 1
+        rank = pairs[data, np.append(data[1:], 0)]
+        rank[last] = _RANK - 1
+        place = np.arange(len(data)) - np.repeat(last + 1 - sizes[raw], sizes[raw])
+        out[np.repeat(ends[:-1][raw] + 1, sizes[raw]) + place] = (rank << 27) + (place << 17) + single[data]
+    for at in np.flatnonzero(~raw):
+        out[ends[at] + 1 : ends[at + 1] - 1] = _NONE + np.array(words[at], np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))
+
+
 def _one(values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
@@ -156,7 +193,7 @@ def _number(path: str, pattern: str):
             for batch in slices(whole, "text", SLICE):
                 again, words, rows = maker.number([x or "" for x in batch.column("text").to_pylist()])
                 docs = pa.StructArray.from_arrays([batch.column("doc_id"), _lists(rows, pa.int32())], ["doc_id", "at"])
-                columns = [pa.array([again]), _one(_lists(words, pa.int32())), _one(docs)]
+                columns = [pa.array([again]), _one(_states(words, path)), _one(docs)]
                 yield pa.RecordBatch.from_arrays(columns, ["again", "words", "docs"])
 
     return run
@@ -171,9 +208,10 @@ def _spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 flat, starts, sizes = flat[:0], starts[:0], sizes[:0]
             words, docs = batch.column("words")[k].values, batch.column("docs")[k].values
             more = np.diff(words.offsets.to_numpy()).astype(np.int64)
-            starts = np.concatenate([starts, len(flat) + np.cumsum(more) - more])
-            sizes = np.concatenate([sizes, more])
-            flat = np.concatenate([flat, words.flatten().to_numpy().astype(np.int32)])
+            # The first and the last element of a state only stand beside the word.
+            starts = np.concatenate([starts, len(flat) + np.cumsum(more) - more + 1])
+            sizes = np.concatenate([sizes, more - 2])
+            flat = np.concatenate([flat, (words.flatten().to_numpy() & (_RANK - 1)).astype(np.int32)])
             named, at = docs.field("doc_id"), docs.field("at")
             for lo in range(0, len(docs), 500):
                 some = at.slice(lo, 500)
@@ -187,58 +225,41 @@ def _spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([named.slice(lo, 500), lists], ["doc_id", "ids"])
 
 
-def _bind(value: Column, use) -> Column:
-    """Name a value inside a lambda, so that it is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def fold(word: Column, path: str) -> Column:
-    """Ids of a word out of the ids of its bytes, at most ``LONG`` of them.
+    """The last state of a word out of its first one, for words of at most ``LONG`` bytes.
 
     An element of the state is a number: rank of the pair that starts here, then
     the place of its first byte (10 bits), then its id (17 bits). The least
-    element is the pair to merge, leftmost among equal ranks.
+    element is the pair to merge, leftmost among equal ranks. The first and the
+    last element stand beside the word and never merge.
     """
-    table = F.split(F.lit(rank_table(path)), ",").cast("array<bigint>")
-    p, q = _PRIMES
-    low, sign = F.lit(_RANK - 1).cast("long"), F.lit(2**63 - 1)
-    none, nothing = F.lit(_RANK - 1).cast("long"), F.lit(65_535).cast("long")
-
-    def ranked(packed: Column) -> Column:
-        """(place, id, id of the successor) with the rank of the two ids in front, and without the successor."""
-
-        def found(place: Column, key: Column) -> Column:
-            # An entry of another key is off by at least 2^17 or negative, which is larger still without its sign.
-            return (F.get(table, place.cast("int")) - F.shiftleft(key, 17)).bitwiseAND(sign)
-
-        key = F.shiftleft(F.shiftright(packed, 17).bitwiseAND(low), 16).bitwiseOR(packed.bitwiseAND(low))
-        rank = F.least(found(key % p, key), found(key % q + p, key), none)
-        return F.shiftleft(rank, 27).bitwiseOR(F.shiftright(packed, 17))
-
-    first = F.transform(
-        word,
-        lambda b, k: ranked(
-            F.shiftleft(F.shiftleft(k.cast("long"), 17).bitwiseOR(b.cast("long")), 17).bitwiseOR(F.coalesce(F.get(word, k + 1).cast("long"), nothing))
-        ),
-    )
+    offsets, table = (F.split(F.lit(x), ",").cast("array<bigint>") for x in rank_table(path))
+    low, none = F.lit(_RANK - 1).cast("long"), F.lit(_NONE).cast("long")
+
+    def ranked(a: Column, b: Column) -> Column:
+        """Rank of two ids, at its place in an element. What is found of another row differs from 2^44 on: more than none."""
+        return table[offsets[a] + b].bitwiseXOR(F.shiftleft(a, 44))
 
     def step(state: Column, _: Column) -> Column:
-        def merge(at: Column) -> Column:
-            least = F.get(state, at - 1)
-            rank = F.shiftright(least, 27)
-            own = F.shiftleft(F.shiftright(least, 17).bitwiseAND(F.lit(1023).cast("long")), 34).bitwiseOR(F.shiftleft(rank, 17))
-            before = F.shiftleft(F.get(state, at - 2).bitwiseAND(F.lit(2**27 - 1)), 17).bitwiseOR(rank)
-            after = F.coalesce(F.get(state, at + 1).bitwiseAND(low), nothing)
-            beside = F.transform(F.slice(F.array(before, own.bitwiseOR(after)), F.when(at > 1, 1).otherwise(2), F.lit(2)), ranked)
-            return F.flatten(F.array(F.slice(state, F.lit(1), F.greatest(at - 2, F.lit(0))), beside, F.slice(state, at + 2, F.lit(LONG))))
+        # A fold over one value gives it a name, so that it is computed once.
+        def some(state: Column, least: Column) -> Column:
+            new = F.shiftright(least, 27)
+
+            def merge(state: Column, before: Column) -> Column:
+                own = ranked(new, state[before + 3].bitwiseAND(low)).bitwiseOR(least.bitwiseAND(F.lit(1023 << 17))).bitwiseOR(new)
+
+                def renew(e: Column, k: Column) -> Column:
+                    first = ranked(e.bitwiseAND(low), new).bitwiseOR(e.bitwiseAND(F.lit(2**27 - 1)))
+                    return F.when(e == least, own).when(k == before, first).otherwise(e)
+
+                return F.array_remove(F.transform(state, renew), state[before + 2])
 
-        def some(least: Column) -> Column:
-            return F.when(least >= F.shiftleft(none, 27), state).otherwise(_bind(F.array_position(state, least).cast("int"), merge))
+            before = F.array_position(state, least).cast("int") - 2
+            return F.when(least >= none, state).otherwise(F.aggregate(F.array(before), state, merge))
 
-        return _bind(F.array_min(state), some)
+        return F.aggregate(F.array(F.array_min(state)), state, some)
 
-    ids = F.aggregate(F.slice(word, F.lit(2), F.lit(LONG)), first, step)
-    return F.transform(ids, lambda e: e.bitwiseAND(low).cast("int"))
+    return F.aggregate(F.slice(word, F.lit(4), F.lit(LONG)), word, step)
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -250,10 +271,10 @@ def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_
     of texts is handled inside one task, so nothing is shuffled.
     """
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind = "again boolean, words array<array<int>>, docs array<struct<doc_id: long, at: array<int>>>"
+    kind = "again boolean, words array<array<bigint>>, docs array<struct<doc_id: long, at: array<int>>>"
     folded = texts.mapInArrow(_number(path, pattern), kind).select(
         "again",
-        F.transform("words", lambda w: F.when((F.size(w) < 2) | (F.size(w) > LONG), w).otherwise(fold(w, path))).alias("words"),
+        F.transform("words", lambda w: F.when((F.size(w) < 4) | (F.size(w) > LONG + 2), w).otherwise(fold(w, path))).alias("words"),
         "docs",
     )
     return folded.mapInArrow(_spell, "doc_id long, ids array<int>")
@@ -268,7 +289,7 @@ def decode(ids: Column, path: str) -> Column:
 
 def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: number of ids, digest of the ids in decimal, digest of the decoded bytes."""
-    decimal = F.array_join(F.transform("ids", lambda k: k.cast("string")), " ")
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
     return encode(df, path, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

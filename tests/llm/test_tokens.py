@@ -41,6 +41,27 @@ def test_words_start_again_when_too_many(awkward, monkeypatch):
     assert all(OWN.encode_ordinary(texts[k]) == ids for k, ids in got.items())
 
 
+def test_a_rank_is_found_at_one_place():
+    """The fold looks a pair up once: offset of the first id, then the second id; all else is no rank there."""
+    offsets, table = (np.array(x.split(","), np.int64) for x in bpe.rank_table(RANKS))
+    pairs = bpe.pair_ranks(RANKS)
+    a, b = np.array(list(pairs)).T
+    assert (((table[offsets[a] + b] ^ (a << 44)) >> 27) == list(pairs.values())).all()
+    draw = np.random.default_rng(1)
+    a, b = draw.integers(0, 65536, (2, 200_000))
+    other = np.array([p not in pairs for p in zip(a.tolist(), b.tolist())])
+    assert ((table[offsets[a] + b] ^ (a << 44)) >= bpe._NONE)[other].all()
+
+
+def test_folded_words_have_the_ids_of_the_library(spark):
+    """Words of every length up to the fold's limit and beyond it, with ties, with no merge and with one byte left over."""
+    draw = np.random.default_rng(2)
+    words = ["".join(draw.choice(list(letters), n)) for letters in ("ab", "etaoinshr", "zqxé你") for n in (2, 3, 5, 9, 28, 200, 511, 512, 513, 700)]
+    rows = [(k, f" {w}") for k, w in enumerate([*words, "aaaa", "zq", "thethe"])]
+    got = {r.doc_id: r.ids for r in bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), RANKS, P.PATTERN).collect()}
+    assert got == {k: OWN.encode_ordinary(t) for k, t in rows}
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab é\n\t 1'!z你 \x1c"), max_size=40))
 def test_cutting_at_blanks_keeps_the_tokens(text):
