@@ -33,8 +33,9 @@ SLICE, KNOWN = 4_000_000, 400_000
 # A word longer than this is merged with a heap: a fold takes time with the square of its length.
 LONG = 512
 _RANK = 2**17
-# The rank in front of an element without a pair to merge, an empty place of the table, and an id beside a word.
-_NONE, _EMPTY, _SIDE = (_RANK - 1) << 27, 2**62, 65_535
+# The rank in front of an element without a pair to merge, and an id beside a word. In states and the table, ids and
+# ranks count from 1, so that an empty place of the table is 0 (plans spell literals out).
+_NONE, _SIDE = (_RANK - 1) << 27, 65_535
 
 
 @lru_cache
@@ -59,12 +60,13 @@ def pair_ranks(path: str) -> dict[tuple[int, int], int]:
 @lru_cache
 def rank_table(path: str) -> tuple[str, str]:
     """The literal map as two texts of numbers: rows of a sparse table laid over each other. The pair (a, b) lies at
-    place b of the row of a, which begins at the a-th offset; an entry is a * 2^44 + rank * 2^27, an empty place 2^62."""
+    place b of the row of a, which begins at the a-th offset; an entry is a * 2^44 + rank * 2^27, an empty place 0.
+    Ids and ranks count from 1."""
     rows: dict[int, list[int]] = {}
     for a, b in pair_ranks(path):
-        rows.setdefault(a, []).append(b)
+        rows.setdefault(a + 1, []).append(b + 1)
     free = np.ones(_SIDE + 1 + 3 * len(pair_ranks(path)), bool)
-    table, draw = np.full(len(free) + _SIDE + 1, _EMPTY, np.int64), np.random.default_rng(0)
+    table, draw = np.zeros(len(free) + _SIDE + 1, np.int64), np.random.default_rng(0)
     offsets = np.zeros(_SIDE + 1, np.int64)
     for a in sorted(rows, key=lambda k: (-len(rows[k]), k)):
         places = np.array(rows[a])
@@ -80,16 +82,16 @@ def rank_table(path: str) -> tuple[str, str]:
             tries = min(4 * tries, 2**20)
         offsets[a] = found[0]
         free[found[0] + places] = False
-        table[found[0] + places] = [(a << 44) + (pair_ranks(path)[a, b] << 27) for b in rows[a]]
+        table[found[0] + places] = [(a << 44) + (pair_ranks(path)[a - 1, b - 1] + 1 << 27) for b in rows[a]]
     return ",".join(map(str, offsets)), ",".join(map(str, table))
 
 
 @lru_cache
 def byte_ranks(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of single bytes, and for each two bytes the rank of their pair (``_RANK - 1``: none)."""
+    """Ids of single bytes, and for each two bytes the rank of their pair, from 1 (``_RANK - 1``: none)."""
     known = ranks(path)
     single = np.array([known[bytes([k])] for k in range(256)], np.int64)
-    pairs = [[known.get(bytes([a, b]), _RANK - 1) for b in range(256)] for a in range(256)]
+    pairs = [[known.get(bytes([a, b]), _RANK - 2) + 1 for b in range(256)] for a in range(256)]
     return single, np.array(pairs, np.int64)
 
 
@@ -176,9 +178,9 @@ def _states(words: list[bytes | list[int]], path: str) -> pa.ListArray:
         rank = pairs[data, np.append(data[1:], 0)]
         rank[last] = _RANK - 1
         place = np.arange(len(data)) - np.repeat(last + 1 - sizes[raw], sizes[raw])
-        out[np.repeat(ends[:-1][raw] + 1, sizes[raw]) + place] = (rank << 27) + (place << 17) + single[data]
+        out[np.repeat(ends[:-1][raw] + 1, sizes[raw]) + place] = (rank << 27) + (place << 17) + single[data] + 1
     for at in np.flatnonzero(~raw):
-        out[ends[at] + 1 : ends[at + 1] - 1] = _NONE + np.array(words[at], np.int64)
+        out[ends[at] + 1 : ends[at + 1] - 1] = _NONE + 1 + np.array(words[at], np.int64)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))
 
 
@@ -211,7 +213,7 @@ def _spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # The first and the last element of a state only stand beside the word.
             starts = np.concatenate([starts, len(flat) + np.cumsum(more) - more + 1])
             sizes = np.concatenate([sizes, more - 2])
-            flat = np.concatenate([flat, (words.flatten().to_numpy() & (_RANK - 1)).astype(np.int32)])
+            flat = np.concatenate([flat, ((words.flatten().to_numpy() & (_RANK - 1)) - 1).astype(np.int32)])
             named, at = docs.field("doc_id"), docs.field("at")
             for lo in range(0, len(docs), 500):
                 some = at.slice(lo, 500)

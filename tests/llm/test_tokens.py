@@ -45,11 +45,11 @@ def test_a_rank_is_found_at_one_place():
     """The fold looks a pair up once: offset of the first id, then the second id; all else is no rank there."""
     offsets, table = (np.array(x.split(","), np.int64) for x in bpe.rank_table(RANKS))
     pairs = bpe.pair_ranks(RANKS)
-    a, b = np.array(list(pairs)).T
-    assert (((table[offsets[a] + b] ^ (a << 44)) >> 27) == list(pairs.values())).all()
+    a, b = np.array(list(pairs)).T + 1
+    assert (((table[offsets[a] + b] ^ (a << 44)) >> 27) == np.array(list(pairs.values())) + 1).all()
     draw = np.random.default_rng(1)
-    a, b = draw.integers(0, 65536, (2, 200_000))
-    other = np.array([p not in pairs for p in zip(a.tolist(), b.tolist())])
+    a, b = draw.integers(1, 65536, (2, 200_000))
+    other = np.array([p not in pairs for p in zip((a - 1).tolist(), (b - 1).tolist())])
     assert ((table[offsets[a] + b] ^ (a << 44)) >= bpe._NONE)[other].all()
 
 
