@@ -1,14 +1,14 @@
 """Byte-level BPE in Spark expressions: a fold of ranked merges over the bytes of distinct words.
 
 Tasks cut texts into words and number the distinct ones, which go on once per
-task, as arrays of byte ids. A higher-order fold merges each distinct word: it
-looks up the rank of every pair in a literal map, merges the leftmost pair of
-least rank and renews the two ranks beside it, until none is left. The ids of a
-document are those of its words, and decoding joins the bytes of its ids.
-
-The literal map is a literal array keyed by pairs of ids: a key lies in one of
-two places, so a look-up reads two elements, where a map column of this size
-would be searched from end to end.
+task, as arrays of byte ids with the ranks of their pairs. A higher-order fold
+merges each distinct word: it takes the leftmost pair of least rank and renews
+the two ranks beside it, until none is left. The ids of a document are those of
+its words, and decoding joins the bytes of its ids.
+
+The literal map is two literal arrays: rows of a sparse table laid over each
+other, and where each row begins. A look-up reads one element of each, where a
+map column of this size would be searched from end to end.
 """
 
 from __future__ import annotations
