@@ -17,15 +17,16 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tamperlens.functions.findings import as_findings
-from tamperlens.functions.groups import capped_lists
+from tamperlens.functions.groups import capped_lists, join_per_key
 
 KEYS = ["path", "layer"]
 MIN_VALUES = 100
-# Values of a slice, and distinct values that one task compares at a time.
+# Values of a slice (and those that a Python task holds at a time), and distinct values that one task compares at a time.
 SLICE, BUCKET = 1 << 20, 1 << 16
 FAR = 3.0
 _FLAT = 1e-10
@@ -57,11 +58,19 @@ _SUMMARY = pa.schema([
 ])
 
 
+def _pieces(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut into pieces of about ``most`` values, or of one slice."""
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column("values")).to_numpy(zero_copy_only=False))
+        cuts = [0, *(np.flatnonzero(np.diff((ends - 1) // most)) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
+
+
 def _per_slice(batches: Iterable[pa.RecordBatch], keep: list[str], make: Callable, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows of ``make(values, row)`` beside the columns kept; one slice is held at a time."""
+    """Rows of ``make(values, row)`` beside the columns kept."""
     for batch in batches:
         rows = batch.select([c for c in batch.schema.names if c != "values"]).to_pylist()
-        out = [make(batch.column("values")[k].values.to_numpy(zero_copy_only=False).astype(np.float64), row) for k, row in enumerate(rows)]
+        out = [make(batch.column("values")[k].values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False), row) for k, row in enumerate(rows)]
         if out:
             made = [pa.array(c, f.type) for c, f in zip(zip(*out), schema)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, *schema.names])
@@ -120,41 +129,96 @@ def bins_of(n: Column) -> Column:
 
 
 _MEASURED = pa.schema([
-    ("far", pa.int64()), ("max_z", pa.float64()), ("filled", pa.list_(pa.int64())),
+    ("n", pa.int64()), ("far", pa.int64()), ("max_z", pa.float64()), ("filled", pa.list_(pa.int64())),
     ("distinct", pa.list_(pa.struct([("bucket", pa.int32()), ("held", pa.list_(pa.float64()))]))),
 ])
 
 
-def _measure(threshold: float):
-    def make(values: np.ndarray, row: dict) -> tuple:
-        far, most, filled, distinct = 0, None, [], []
-        if row["std"] >= _FLAT:
-            z = np.abs((values - row["mean"]) / row["std"])
-            far, most = int((z > threshold).sum()), float(z.max())
-        if row["high"] - row["low"] >= _FLAT and row["bins"]:
-            slot = np.floor((values - row["low"]) * row["bins"] / (row["high"] - row["low"])).astype(np.int64)
-            filled = np.bincount(np.minimum(slot, row["bins"] - 1), minlength=row["bins"])
-        if row["buckets"]:
-            # A zero and its negative are one value.
-            held = np.unique(values + 0.0)
-            bits = held.view(np.uint64)
-            bucket = ((bits ^ (bits >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(row["buckets"])
-            distinct = [{"bucket": int(b), "held": held[bucket == b]} for b in np.unique(bucket)]
-        return far, most, filled, distinct
+class _Distinct:
+    """Distinct values of the slices of a task, by layer.
+
+    They leave in one row per layer, by hash. A slice alone has few values for each
+    of a large layer's buckets; those of many slices make arrays that are worth a row.
+    """
 
-    return lambda batches: _per_slice(batches, KEYS, make, _MEASURED)
+    def __init__(self, most: int):
+        self.most, self.count, self.held = most, 0, {}
+
+    def add(self, layer: tuple, values: np.ndarray) -> None:
+        # A zero and its negative are one value.
+        self.held.setdefault(layer, []).append(values + 0.0)
+        self.count += len(values)
+
+    def full(self) -> bool:
+        """Whether too many values are held, even when each is held once."""
+        if self.count < self.most:
+            return False
+        self.held = {layer: [np.unique(np.concatenate(parts))] for layer, parts in self.held.items()}
+        self.count = sum(len(parts[0]) for parts in self.held.values())
+        return self.count >= self.most // 2
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """All that is held, which is then left behind."""
+        held, self.held, self.count = self.held, {}, 0
+        if not held:
+            return
+        buckets, sizes, values, entries = [], [], [], [0]
+        for (_, _, _, among), parts in held.items():
+            once = np.unique(np.concatenate(parts))
+            bits = once.view(np.uint64)
+            bucket = ((bits ^ (bits >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(among)
+            found, size = np.unique(bucket, return_counts=True)
+            buckets.append(found)
+            sizes.append(size)
+            values.append(once[np.argsort(bucket, kind="stable")])
+            entries.append(entries[-1] + len(found))
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values)))
+        pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(buckets).astype(np.int32)), lists], ["bucket", "held"])
+        told = [(path, layer, n, 0, None, []) for path, layer, n, _ in held]
+        kinds = [pa.string(), pa.string(), *_MEASURED.types]
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*told), kinds)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(entries, pa.int32()), pairs)], [*KEYS, *_MEASURED.names])
+
+
+def _measure(threshold: float, most: int = SLICE):
+    def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distinct = _Distinct(most)
+
+        def make(values: np.ndarray, row: dict) -> tuple:
+            far, largest, filled = 0, None, []
+            if row["std"] >= _FLAT:
+                z = np.abs((values - row["mean"]) / row["std"])
+                far, largest = int((z > threshold).sum()), float(z.max())
+            if row["high"] - row["low"] >= _FLAT and row["bins"]:
+                slot = np.floor((values - row["low"]) * row["bins"] / (row["high"] - row["low"])).astype(np.int64)
+                filled = np.bincount(np.minimum(slot, row["bins"] - 1), minlength=row["bins"])
+            if row["buckets"]:
+                distinct.add((row["path"], row["layer"], row["n"], row["buckets"]), values)
+            return row["n"], far, largest, filled, []
+
+        for told in _per_slice(_pieces(batches, most), KEYS, make, _MEASURED):
+            yield told
+            if distinct.full():
+                yield from distinct.rows()
+        yield from distinct.rows()
+
+    return measure
 
 
 def measured(slices: DataFrame, stats: DataFrame, threshold: float = FAR, unique_above: int = 1000, load: Loader | None = None) -> DataFrame:
-    """Per slice: far values, the largest deviation, counts per bin, and distinct values by hash for layers of over ``unique_above`` values."""
+    """Per slice: values of its layer, far values, the largest deviation and counts per bin; beside them,
+    rows of the distinct values by hash for layers of over ``unique_above`` values."""
     known = stats.select(
-        *KEYS, "mean", "std", "low", "high", bins_of(F.col("n")).alias("bins"),
+        *KEYS, "n", "mean", "std", "low", "high", bins_of(F.col("n")).alias("bins"),
         F.when(F.col("n") > unique_above, F.ceil(F.col("n") / BUCKET)).otherwise(0).cast("bigint").alias("buckets"),
     )
-    joined = slices.join(known, KEYS)
+    # The slices of a large layer go to several tasks.
+    joined = join_per_key(slices, known, KEYS, F.xxhash64("first_pos"))
     held = joined if load is None else load(joined)
-    kinds = "far long, max_z double, filled array<long>, distinct array<struct<bucket: int, held: array<double>>>"
-    names = [*KEYS, "values", "mean", "std", "low", "high", "bins", "buckets"]
+    kinds = "n long, far long, max_z double, filled array<long>, distinct array<struct<bucket: int, held: array<double>>>"
+    # With the same columns as ``summaries`` reads, slices that have to be made are made once for both.
+    names = [*KEYS, "first_pos", "values", "n", "mean", "std", "low", "high", "bins", "buckets"]
     return held.where(F.size("values") > 0).select(*names).mapInArrow(_measure(threshold), f"path string, layer string, {kinds}")
 
 
@@ -165,12 +229,14 @@ def _outliers(found: DataFrame, stats: DataFrame, share: float) -> DataFrame:
     return per_layer.join(large, KEYS).select(*KEYS, "outlier_count", ratio.alias("outlier_ratio"), "max_zscore").where(F.col("outlier_ratio") > share)
 
 
-def _uniqueness(found: DataFrame, stats: DataFrame, share: float, more_than: int) -> DataFrame:
-    per_bucket = found.select(*KEYS, F.inline("distinct")).groupBy(*KEYS, "bucket").agg(F.size(F.array_distinct(F.flatten(F.collect_list("held")))).cast("bigint").alias("u"))
-    counts = per_bucket.groupBy(*KEYS).agg(F.sum("u").alias("unique_values"))
-    large = stats.where(F.col("n") > more_than).select(*KEYS, F.col("n").alias("total_values"))
+def _uniqueness(found: DataFrame, share: float, more_than: int) -> DataFrame:
+    # The number of a layer's values came along: asking the statistics for it would work them out again.
+    listed = found.select(*KEYS, F.col("n").alias("total_values"), F.inline("distinct"))
+    per_bucket = listed.groupBy(*KEYS, "total_values", "bucket").agg(F.size(F.array_distinct(F.flatten(F.collect_list("held")))).cast("bigint").alias("u"))
+    counts = per_bucket.groupBy(*KEYS, "total_values").agg(F.sum("u").alias("unique_values"))
     ratio = F.col("unique_values") / F.col("total_values")
-    return counts.join(large, KEYS).withColumn("uniqueness_ratio", ratio).where(F.col("uniqueness_ratio") < share)
+    large = counts.where(F.col("total_values") > more_than).select(*KEYS, "unique_values", "total_values", ratio.alias("uniqueness_ratio"))
+    return large.where(F.col("uniqueness_ratio") < share)
 
 
 def _stepped(stats: DataFrame, tolerance: float) -> DataFrame:
@@ -208,10 +274,11 @@ def outliers(slices: DataFrame, threshold: float = FAR, share: float = 0.01, loa
 def uniqueness(slices: DataFrame, share: float = 0.5, more_than: int = 1000, load: Loader | None = None) -> DataFrame:
     """Large layers in which fewer than half of the values differ.
 
-    Distinct values of a slice go to as many tasks as the layer needs, so none sees a whole layer.
+    Distinct values of slices go to as many tasks as the layer needs, so none sees a whole layer.
     """
+    slices = slices.where(F.col("path").isNotNull() & F.col("layer").isNotNull())
     stats = layer_stats(_loaded(slices, load)).where(F.col("n") > more_than)
-    return _uniqueness(measured(slices, stats, FAR, more_than, load), stats, share, more_than)
+    return _uniqueness(measured(slices, stats, FAR, more_than, load), share, more_than)
 
 
 def constant_step(slices: DataFrame, tolerance: float = 1e-6, load: Loader | None = None) -> DataFrame:
@@ -234,7 +301,7 @@ def anomalies(slices: DataFrame, load: Loader | None = None, keep: Callable[[Dat
     keep = keep or (lambda df, name: df)
     stats = keep(layer_stats(_loaded(slices, load)), "layer_stats")
     found = keep(measured(slices, stats, load=load), "measured")
-    repeated = _uniqueness(found, stats, 0.5, 1000)
+    repeated = _uniqueness(found, 0.5, 1000)
     # A layer that lacks distinct values is not tested for steps: one anomaly of the kind.
     patterns = repeated.select(*KEYS).unionByName(_stepped(stats.where(F.col("n") >= MIN_VALUES), 1e-6).select(*KEYS)).distinct()
     kinds = {"outlier_weights": _outliers(found, stats, 0.01), "unusual_pattern": patterns, "low_entropy": _entropy(found, stats, 0.5)}

@@ -143,3 +143,70 @@ def test_small_slices_leave_together():
     assert len(out) == 1 and out[0].column("values").to_pylist() == [[float(k), k + 1.0] for k in range(300)]
     cut = list(binary._valued([rows], ["path", "dtype"], lambda row: row["data"], most=100))
     assert [b.num_rows for b in cut] == [50] * 6 and [v for b in cut for v in b.column("values").to_pylist()] == out[0].column("values").to_pylist()
+
+
+def _measurable(layers, buckets):
+    """A batch of slices with the statistics of their layers, as ``measured`` hands them out."""
+    rows = [(layer, values, float(np.mean(np.concatenate(slices))), sum(map(len, slices))) for layer, slices in layers.items() for values in slices]
+    names, held, means, counts = zip(*rows)
+    same = lambda x, kind: pa.array([x] * len(rows), kind)
+    columns = {
+        "path": same("p", pa.string()), "layer": pa.array(names), "first_pos": pa.array(range(len(rows))), "values": pa.array([v.tolist() for v in held], pa.list_(pa.float64())),
+        "n": pa.array(counts), "mean": pa.array(means), "std": same(1.0, pa.float64()), "low": same(0.0, pa.float64()), "high": same(9.0, pa.float64()),
+        "bins": same(0, pa.int64()), "buckets": same(buckets, pa.int64()),
+    }
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def test_distinct_values_of_many_slices_travel_together():
+    """A slice of a large layer had an array for almost each of its values, all held until the end of a batch."""
+    rng = np.random.default_rng(8)
+    layers = {"wide": [rng.normal(size=200) for _ in range(100)], "few": [np.array([0.0, -0.0, 1.0, 1.0] * 50) for _ in range(100)]}
+    batch = _measurable(layers, 400)
+    out = list(weights._measure(3.0)([batch.slice(0, 150), batch.slice(150)]))
+    rows = [row for b in out for row in b.to_pylist()]
+    assert sum(len(row["distinct"]) for row in rows) <= 2 * 400
+    for layer, slices in layers.items():
+        lists = [d for row in rows if row["layer"] == layer for d in row["distinct"]]
+        assert sorted(v for d in lists for v in d["held"]) == np.unique(np.concatenate(slices) + 0.0).tolist()
+        assert all(0 <= d["bucket"] < 400 for d in lists)
+        far = sum(int((np.abs(v - np.mean(np.concatenate(slices))) > 3).sum()) for v in slices)
+        assert sum(row["far"] for row in rows if row["layer"] == layer) == far
+
+
+def test_distinct_values_held_are_bounded():
+    layers = {"wide": [np.arange(k * 200, (k + 1) * 200) + 0.5 for k in range(100)], "few": [np.arange(200) % 3.0 for k in range(100)]}
+    out = list(weights._measure(3.0, most=1000)([_measurable(layers, 7)]))
+    held = [sum(len(d["held"]) for row in b.to_pylist() for d in row["distinct"]) for b in out]
+    assert max(held) <= 2000 and sum(1 for h in held if h) >= 10
+    told = {layer: {} for layer in layers}
+    for row in (row for b in out for row in b.to_pylist()):
+        for d in row["distinct"]:
+            for v in d["held"]:
+                # A value always goes to the same place.
+                assert told[row["layer"]].setdefault(v, d["bucket"]) == d["bucket"]
+    assert {layer: sorted(v) for layer, v in told.items()} == {layer: np.unique(np.concatenate(s)).tolist() for layer, s in layers.items()}
+
+
+def test_slices_of_a_layer_go_to_several_tasks(spark):
+    rows = [("p", "l", k * 50, [float(v % 3) for v in range(50)]) for k in range(400)]
+    slices = spark.createDataFrame(rows, "path string, layer string, first_pos long, values array<double>")
+    stats = spark.createDataFrame(weights.layer_stats(slices).collect())
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"]
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name, value in zip(names, ["-1", "false"]):
+            spark.conf.set(name, value)
+        found = weights.measured(slices, stats)
+        assert found.groupBy(F.spark_partition_id()).count().count() > 1
+        assert [(r.unique_values, r.total_values) for r in weights.uniqueness(slices).collect()] == [(3, 20_000)]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_statistics_of_layers_are_worked_out_once(spark):
+    numbers = spark.range(3000).select(F.lit("p").alias("path"), F.lit("l").alias("layer"), F.col("id").alias("pos"), (F.col("id") % 5).cast("double").alias("value"))
+    found = weights.uniqueness(weights.sliced(numbers, 50))
+    assert _plan(found).count("_summed_up") == 1
+    assert [(r.unique_values, r.total_values, round(r.uniqueness_ratio, 6)) for r in found.collect()] == [(5, 3000, 0.001667)]
